@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, token_count
-from .common import table
+from . import decontaminate, packing, quality, simhash, substring, token_count, toxicity
+from .common import fold, table
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     """The public tokenizer file of the agreed results; each node has its own copy."""
     import public_tokenizers
 
@@ -17,12 +17,12 @@ def _tokenizer() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), _tokenizer()))
+    found = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
     return found.withColumnRenamed("id", "doc_id")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_count.token_counts(table(spark, sf_dir, "documents"), _tokenizer())
+    found = token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer())
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > packing.SEQUENCE).alias("over_limit"))
 
 
@@ -31,11 +31,28 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judge(docs, quality.model_for(docs, table(spark, sf_dir, "labels")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without the passages that a document with a smaller id has."""
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("_n_cut").alias("n_cut"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("id", 5) != 0)
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
