@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, substring, token_count, toxicity, url_filter
+from . import decontaminate, language, packing, pitman_yor, quality, simhash, substring, token_count, toxicity, url_filter
 from .common import fold, table
 
 
@@ -31,6 +31,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pitman_yor.score(table(spark, sf_dir, "documents"), fold("id", 10) != 0)
+    held_out = (fold("id", 10) == 0).alias("held_out")
+    return found.select(F.col("id").alias("doc_id"), held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The agreed rules: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
