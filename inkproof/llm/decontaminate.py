@@ -66,7 +66,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: ``id, n_words, n_hit, n_items, items`` (sorted, comma-joined) and ``contaminated``."""
     windows = benchmark_windows(items, item_col, item_text_col)
-    hits = window_hits(docs, windows, id_col, text_col)
+    hits = materialise(window_hits(docs, windows, id_col, text_col))
     spot = hits.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     n_hit = spot.groupBy("id").agg(F.count("*").alias("n_hit"))
     named = hits.select("id", "window").distinct().join(windows.select("window", F.col("item").cast("string").alias("item")), "window")
