@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grounded_number, grounded_text, iso_currency, money, parse_date, present
+from ..plans.shape import built_once, settled
 
 # The fields' weights, in the order of the scores; the fields without which nothing can be trusted.
 WEIGHTS = {"invoice_number": 0.20, "invoice_date": 0.15, "vendor_name": 0.15, "currency": 0.05, "subtotal": 0.10, "tax_amount": 0.10, "total": 0.20, "line_items": 0.05}
@@ -64,7 +65,7 @@ def _weighed(score: Column) -> Column:
 
 def scores(df: DataFrame, source: str = "source_text") -> DataFrame:
     """Add ``scores``, an array with one score for each field in fixed order."""
-    made = [
+    make = lambda: [
         field_score("invoice_number", "text", source),
         field_score("invoice_date", "text", source, parse_date(F.col("invoice_date")).isNotNull()),
         field_score("vendor_name", "text", source),
@@ -74,7 +75,9 @@ def scores(df: DataFrame, source: str = "source_text") -> DataFrame:
         field_score("total", "number", source),
         items_score(),
     ]
-    return df.withColumn("_scores", F.array(*made)).withColumn("scores", F.transform("_scores", _weighed)).drop("_scores")
+    df = settled(df.withColumn("_scores", built_once(("scores", source), lambda: F.array(*make()))), "_scores")
+    weighed = built_once(("weighed",), lambda: F.transform("_scores", _weighed))
+    return settled(df.withColumn("scores", weighed).drop("_scores"), "scores")
 
 
 def _weight(weights: dict[str, float], field: Column) -> Column:
@@ -108,9 +111,9 @@ def overall(strategy: str | Column, weights: dict[str, float] = WEIGHTS, critica
 
 def report(df: DataFrame, strategy: str = "min_gated", weights: dict[str, float] = WEIGHTS, critical: tuple[str, ...] = CRITICAL) -> DataFrame:
     """Add ``scores`` and ``confidence``, a struct of strategy, overall, fields and critical fields."""
-    scored = scores(df).withColumn("_overall", overall(strategy, weights, critical))
+    scored = scores(df).withColumn("_overall", built_once(("overall", strategy, weights, critical), lambda: overall(strategy, weights, critical)))
     made = F.struct(F.lit(strategy).alias("strategy"), F.col("_overall").alias("overall"), F.col("scores").alias("fields"), F.array(*map(F.lit, sorted(critical))).alias("critical_fields"))
-    return scored.withColumn("confidence", made).drop("_overall")
+    return settled(scored.withColumn("confidence", made).drop("_overall"), "confidence")
 
 
 def band(c: Column) -> Column:

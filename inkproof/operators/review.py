@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, Rule
+from ..plans.shape import settled
 from ..sources.records import DECISIONS, STATUS_OF_DECISION
 from .state import stored
 
@@ -41,6 +42,7 @@ def classify(df: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     A failure of a rule that no reading can clear blocks; so does one whose scored fields were all
     found in the source, as reading again would give the same.
     """
+    df = settled(df, "results", "confidence")
     can = F.array(*(F.lit(k) for k, r in (RULES if rules is None else rules).items() if r.retryable)).cast("array<string>")
     fields = F.col("confidence.fields")
     scored, grounded = F.transform(fields, lambda f: f["field"]), grounded_fields(fields)
@@ -58,7 +60,7 @@ def classify(df: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
         )
         return F.struct(r["rule_id"].alias("rule_id"), F.when(fixed | faithful, "blocking").otherwise("retryable").alias("class"), why.alias("why"))
 
-    df = df.withColumn("classes", F.transform(bad, judge).cast(_CLASS))
+    df = settled(df.withColumn("classes", F.transform(bad, judge).cast(_CLASS)), "classes")
     ids = lambda kind: F.transform(F.filter("classes", lambda c: c["class"] == kind), lambda c: c["rule_id"])
     return df.withColumn("blocking", ids("blocking")).withColumn("retryable", ids("retryable"))
 
@@ -117,7 +119,7 @@ def review(df: DataFrame, propose: Callable[[DataFrame], DataFrame], reprocess:
     ``max_attempts`` rounds nothing is left. Adds ``decision``, ``attempts``, ``history``, ``status``.
     """
     can = F.lit(reprocess is not None)
-    todo = df.withColumn("attempts", F.lit(1)).withColumn("history", F.array().cast(HISTORY))
+    todo = stored(df).withColumn("attempts", F.lit(1)).withColumn("history", F.array().cast(HISTORY))
     todo = todo if "has_reprocessor" in df.columns else todo.withColumn("has_reprocessor", can)
     done = None
     for n in range(1, max_attempts + 1):

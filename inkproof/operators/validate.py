@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, SEVERITIES, Rule
+from ..plans.shape import built_once, settled
 
 _BAD = ("fail", "warning")
 
@@ -26,14 +27,16 @@ def results(policy: dict[str, dict], rules: dict[str, Rule] | None = None, extra
         own = policy.get(rule_id, {})
         if own.get("enabled", True):
             params = (own.get("params") or {}) | (extra or {})
-            out.append(_overridden(rules[rule_id].build(params), own.get("severity")))
+            make = lambda: _overridden(rules[rule_id].build(params), own.get("severity"))  # noqa: B023, E731
+            given = rules[rule_id] is RULES.get(rule_id)
+            out.append(built_once((rule_id, params, own.get("severity")), make) if given else make())
     return F.array(*out)
 
 
 def validate(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> DataFrame:
     """Add ``results``, ``counts`` (of all four severities) and ``overall``."""
     made = invoices.withColumn("results", results(policy, rules, extra | {"now": now}))
-    return summarise(made)
+    return summarise(settled(made, "results"))
 
 
 def summarise(df: DataFrame) -> DataFrame:

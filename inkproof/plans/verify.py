@@ -22,12 +22,13 @@ def verify(
 ) -> DataFrame:
     """Add lookups, ``confidence``, ``results``, ``counts``, ``overall``, ``needs_review`` and ``status``.
 
-    One lazy plan: a window over vendor and number, a join with the vendors, and projections. A
+    One lazy plan: a window over vendor and number, a join with the vendors, and projections. The
+    source text is needed by the scores only, so they come before the shuffle of the window. A
     missing directory or ``scope=None`` skips its rule.
     """
-    df = lookup.duplicates(invoices, scope) if scope else invoices
+    df = confidence.report(invoices, strategy)
+    df = lookup.duplicates(df, scope) if scope else df
     df = lookup.known_vendors(df, vendors) if vendors is not None else df
-    df = confidence.report(df, strategy)
     df = validate.validate(df, DEFAULT_POLICY if policy is None else policy, rules, now, lookup=bool(scope), directory=vendors is not None)
     df = df.withColumn("needs_review", review.needs_review(threshold))
     return df.withColumn("status", F.when(F.col("needs_review"), "review").otherwise("completed"))
