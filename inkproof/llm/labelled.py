@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialise
 
 #: At most so many rows of each class are learned from, and only texts of at most so many bytes.
-PER_CLASS, MOST_BYTES = 1500, 10_000
+PER_CLASS, MOST_BYTES = 1000, 8_000
 #: Of the sampled rows, those with crc32 of the id modulo 5 equal to 1 are for calibration.
 CALIBRATION = 1
 

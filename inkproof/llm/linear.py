@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
 _PRIME, _GOLDEN = np.uint32(0x01000193), np.uint32(0x9E3779B1)

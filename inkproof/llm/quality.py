@@ -63,11 +63,17 @@ def _features(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and share for each feature that a text has."""
-    keys = [(owner[at] << BITS) | f for data, owner in blocks(texts) for at, f, _ in _features(data)]
-    key, n = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
-    row, feature = key >> BITS, key & (1 << BITS) - 1
+    keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for data, owner in blocks(texts):
+        for at, f, _ in _features(data):
+            key, n = np.unique((owner[at] << BITS) | f, return_counts=True)
+            keys.append(key)
+            sizes.append(n)
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(where, np.concatenate(sizes), len(key))
+    row, feature = (key >> BITS).astype(np.int32), (key & (1 << BITS) - 1).astype(np.int32)
     group = 2 * row + (feature >> BITS - 1)
-    return row, feature, n / np.bincount(group, n, 2 * len(texts))[group]
+    return row, feature, (n / np.bincount(group, n, 2 * len(texts))[group]).astype(np.float32)
 
 
 def learn(rows: list[dict]) -> tuple[np.ndarray, float, float, float] | None:
