@@ -89,11 +89,16 @@ def _sum(scores: Column, value) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda a, s: a + value(s))
 
 
+def _exact(scores: Column, value) -> Column:
+    """A sum of decimals, as a double: the order of the fields can't change it."""
+    return F.aggregate(scores, F.lit(0).cast("decimal(38,10)"), lambda a, s: (a + value(s)).cast("decimal(38,10)")).cast("double")
+
+
 def overall(strategy: str | Column, weights: dict[str, float] = WEIGHTS, critical: tuple[str, ...] = CRITICAL, column: str = "scores") -> Column:
     """The document's confidence by a strategy's name, or by a column of names; an unknown name is an error."""
     s = F.col(column)
-    total = _sum(s, lambda x: _weight(weights, x["field"]))
-    mean = F.when(total > 0, _sum(s, lambda x: _weight(weights, x["field"]) * x["confidence"]) / total).otherwise(0.0)
+    total = _exact(s, lambda x: _weight(weights, x["field"]).cast("decimal(10,4)"))
+    mean = F.when(total > 0, _exact(s, lambda x: _weight(weights, x["field"]).cast("decimal(10,4)") * x["confidence"].cast("decimal(10,6)")) / total).otherwise(0.0)
     logs = _sum(s, lambda x: _weight(weights, x["field"]) * F.ln(F.greatest(x["confidence"], F.lit(FLOOR))))
     geometric = F.when(total > 0, F.exp(logs / total)).otherwise(0.0)
     weakest = F.array_min(F.transform(F.filter(s, lambda x: x["field"].isin(*critical)), lambda x: x["confidence"]))

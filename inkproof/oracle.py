@@ -168,11 +168,11 @@ def _scores(name: str, source: str) -> tuple[str, str]:
 
 
 _CRIT = ", ".join(f"'{f}'" for f in CRITICAL)
-_MEAN = "sum(w * confidence) / sum(w)"
+_MEAN = "CAST(sum(CAST(w AS DECIMAL(10,4)) * CAST(confidence AS DECIMAL(10,6))) AS DOUBLE) / CAST(sum(CAST(w AS DECIMAL(10,4))) AS DOUBLE)"
 _STRATEGY = {
-    "arithmetic": f"round({_MEAN}, 4)",
+    "arithmetic": f"CAST(round(CAST({_MEAN} AS DECIMAL(18,8)), 4) AS DOUBLE)",
     "geometric": "round(exp(sum(w * ln(greatest(confidence, 1e-6))) / sum(w)), 4)",
-    "min_gated": f"round(least({_MEAN}, min(confidence) FILTER (field IN ({_CRIT}))), 4)",
+    "min_gated": f"CAST(round(CAST(least({_MEAN}, min(confidence) FILTER (field IN ({_CRIT}))) AS DECIMAL(18,8)), 4) AS DOUBLE)",
 }
 
 
