@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shape import settled
+
 LEAST_PER_PAGE = 50
 
 # The characters that end a line.
@@ -100,8 +102,8 @@ def compose(text: Column) -> Column:
 def sanitise(df: DataFrame, text: str = "text", composed: bool = True) -> DataFrame:
     """Add ``clean_text`` and ``notes``: composed, without control characters, with imitated frames removed."""
     plain = F.regexp_replace(compose(F.col(text)) if composed else F.col(text), r"[\p{C}&&[^\n\t]]", "")
-    out, notes = df.withColumn("clean_text", plain), [F.when(F.col("_plain") != F.col(text), F.lit("normalized_unicode_and_stripped_control_chars"))]
-    out = out.withColumn("_plain", F.col("clean_text"))
+    out, notes = settled(df.withColumn("clean_text", plain), "clean_text"), [F.when(F.col("_plain") != F.col(text), F.lit("normalized_unicode_and_stripped_control_chars"))]
+    out = settled(out.withColumn("_plain", F.col("clean_text")), "_plain")
     step = F.col("_plain")
     for p in SPOOFS:
         pattern = f"(?iU){p}"
@@ -128,5 +130,6 @@ def prompt(text: Column, hint: Column | None = None) -> Column:
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
     """Normalise, sanitise, scan: adds ``clean_text``, ``notes`` and ``injection_flags``."""
-    out = sanitise(df.withColumn("_normal", normalise(F.col(text))), "_normal").drop("_normal")
+    out = sanitise(settled(df.withColumn("_normal", normalise(F.col(text))), "_normal"), "_normal").drop("_normal")
+    out = settled(out, "clean_text")
     return out.withColumn("injection_flags", scan(F.col("clean_text")))
