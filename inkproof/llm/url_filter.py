@@ -48,14 +48,24 @@ def alias_key(url: Column) -> Column:
 
 
 def resolve(link: Column, base: Column) -> Column:
-    """A link as an absolute URL: with a scheme, without one, or from the host's root; other forms are null."""
+    """A link of a page as an absolute URL, read from the page's own; null for a fragment or a scheme other than HTTP."""
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?", 1))
+    beside = F.when(path == "", path_of(base)).when(path.startswith("/"), _undotted(path)).otherwise(_undotted(F.concat(folder, path)))
     return (
         F.when(link.rlike(r"(?i)^https?://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host_of(base), link))
+        .when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$") & (host_of(base) != ""), F.concat(F.lit("http://"), host_of(base), beside, rest))
     )
 
 
+def _undotted(path: Column) -> Column:
+    """A path from the root without its segments ``.`` and ``..``; a last one leaves its slash."""
+    parts = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step), "/"))
+
+
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
 
@@ -75,7 +85,8 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """``a, b``: alias keys of pages and of what they name as canonical or refresh to."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     found = F.array(*(F.regexp_extract(html, p, 1) for p in (_CANONICAL, _REFRESH)))
-    named = pages.where(html.rlike("(?i)canonical|refresh")).select(url.alias("url"), F.explode(found).alias("link")).where("link <> ''")
+    named = pages.where(html.rlike("(?i)canonical|refresh")).select(url.alias("url"), F.explode(found).alias("link"))
+    named = named.select("url", F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
     return named.select(alias_key(F.col("url")).alias("a"), alias_key(resolve(F.col("link"), F.col("url"))).alias("b"))
 
 

@@ -30,6 +30,11 @@ def test_rules_aliases_and_odd_rows(spark):
         (15, "http://notcom/", page(), ""),
         (7, "http://free.net/d", page(), ""),
         (16, "http://late.net/1", page(), ""),
+        (17, "http://free.net/p/q/r", page("../../a"), ""),
+        (18, "http://free.net/p/q", page("./../x/../b#top", "refresh"), ""),
+        (19, "http://free.net/p", page("mailto:x@s.org"), ""),
+        (20, "http://s2.net/k", page("?u=1&amp;v=2"), ""),
+        (21, "http://s2.net/k?u=1&v=2", page("http://s.org/x/7"), ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string")
     redirects = spark.createDataFrame([("http://late.net/1", "http://free.net/c"), (None, "http://x.y/")], "from_url string, to_url string")
@@ -52,6 +57,11 @@ def test_rules_aliases_and_odd_rows(spark):
         (14, "x.org", "/X", None, "allow"),
         (15, "notcom", "/", None, "allow"),
         (16, "late.net", "/1", None, "block"),
+        (17, "free.net", "/p/q/r", None, "block"),
+        (18, "free.net", "/p/q", None, "block"),
+        (19, "free.net", "/p", None, "allow"),
+        (20, "s2.net", "/k", None, "block"),
+        (21, "s2.net", "/k", None, "block"),
     ]
     assert got == want
 
