@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 WINDOW = 13
 BROADCAST_WINDOWS = 1_000_000
@@ -80,5 +80,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Remove the contaminated documents; the others stay as they are."""
-    bad = contamination(docs, items, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
+    own = unused("_bad", docs.columns)
+    bad = contamination(docs, items, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("id").alias(own)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_anti")

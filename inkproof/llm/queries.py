@@ -65,8 +65,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without the passages that a document with a smaller id has."""
-    found = substring.deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.col("_n_cut").alias("n_cut"))
+    return substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_cut")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

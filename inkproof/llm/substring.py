@@ -9,7 +9,7 @@ The first document keeps the passage, and repeats within one document are left a
 
 Null texts stay null, and texts without such runs stay as they are. Documents without an id lose
 nothing and own nothing. Rows that repeat an id are one document: none loses to the other. An
-empty table gives no rows. Extra columns pass through.
+empty table gives no rows. Extra columns pass through, whatever their names and nulls.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .common import unused
+
 MOST_WORDS, LEAST_WORDS = 32, 20
 #: The hash has 16 bits; bit k depends on the last k + 1 bytes, so these two see 12 bytes.
 _MASK = np.uint16(0b11 << 10)
@@ -124,10 +126,11 @@ def cut_out(text: bytes, cuts: list[dict]) -> bytes:
     return b"".join(kept) + text[at:]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with repeated passages cut from the text; ``_n_cut`` counts the chunks cut."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "_n_cut") -> DataFrame:
+    """The rows with repeated passages cut from the text; ``count_col`` counts the chunks cut (none if null; underscores are added to a name that is taken)."""
     names, at = docs.columns, docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("_n_cut", IntegerType())])
+    added = [unused(count_col, names)] if count_col else []
+    schema = StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,9 +140,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts = columns[at].to_pylist()
                 texts = [cut_out(t.encode(), c).decode() if c and t else t for t, c in zip(texts, cuts)]
                 columns[at] = pa.array(texts, columns[at].type)
-            columns.append(pa.array([len(c or ()) for c in cuts], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n_cut"])
+            if added:
+                columns.append(pa.array([len(c or ()) for c in cuts], pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("cuts").alias("_cuts"))
-    joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
+    own, cuts = unused("_id", names), unused("_cuts", names)
+    found = repeats(docs, id_col, text_col).select(F.col("id").alias(own), F.col("cuts").alias(cuts))
+    joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(own), "left").drop(own)
     return joined.mapInArrow(run, schema)
