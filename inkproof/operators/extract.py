@@ -24,7 +24,7 @@ def infer(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]],
         for b in batches:
             yield b[names].assign(**{out: [ask(p) for p in b[prompt]]})
 
-    return df.select(*keep, prompt).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys((*keep, prompt))).mapInPandas(run, schema)
 
 
 def strip_fences(text: Column) -> Column:
