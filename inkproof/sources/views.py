@@ -38,6 +38,7 @@ TOKENS = {
         "END": "",
         "BIN": "encode(",
         "ENDB": ", 'UTF-8')",
+        "PAGES": "explode(sequence(1, CAST((LENGTH(text) + 399) DIV 400 AS INT)))",
     },
     "ansi": {
         "STR": "VARCHAR",
@@ -52,6 +53,7 @@ TOKENS = {
         "END": ")",
         "BIN": "encode(",
         "ENDB": ")",
+        "PAGES": "CAST(unnest(range(1, (LENGTH(text) + 399) // 400 + 1)) AS INT)",
     },
 }
 
@@ -127,10 +129,9 @@ SELECT doc_id,
   m.method, p.page_number,
   CASE WHEN m.method = 'native' AND doc_id % 6 = 2 THEN SUBSTR(text, (p.page_number - 1) * 400 + 1, 9)
        ELSE TRIM(SUBSTR(text, (p.page_number - 1) * 400 + 1, 400)) END AS text
-FROM documents
+FROM (SELECT doc_id, text, {PAGES} AS page_number FROM documents WHERE LENGTH(text) > 0) p
 CROSS JOIN (SELECT 'native' AS method UNION ALL SELECT 'ocr') m
-CROSS JOIN (SELECT 1 AS page_number UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p
-WHERE (p.page_number - 1) * 400 < n_chars AND NOT (m.method = 'native' AND doc_id % 6 IN (0, 1))
+WHERE NOT (m.method = 'native' AND doc_id % 6 IN (0, 1))
 """,
     "responses": r"""
 WITH x AS (SELECT document_id, seq,

@@ -9,6 +9,7 @@ from inkproof.operators import confidence, export, extract, ingest, listing, loo
 from inkproof.plans.verify import verify
 from inkproof.sources import readers
 from inkproof.sources.records import INVOICE
+from inkproof.sources.views import view
 
 GOOD = ("INV-1", "2026-05-20", "Acme", None, "USD", 100.0, 18.0, None, 118.0, [("a", 1.0, 60.0, 60.0), ("b", 2.0, 20.0, 40.0)])
 NOW = "2026-06-01 00:00:00"
@@ -169,3 +170,13 @@ def test_state(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "x")], "document_id string, at int, v string")
     new = spark.createDataFrame([("a", 1, "y"), ("b", 4, "y"), ("c", 1, "y")], "document_id string, at int, v string")
     assert {r.document_id: r.v for r in state.upsert(old, new, "at").collect()} == {"a": "y", "b": "x", "c": "y"}
+
+
+def test_page_text_has_all_pages_of_a_text(spark, tmp_path):
+    text = "".join(f"{i:07d}é" for i in range(2000))
+    rows = [(d, text[:n]) for d, n in ((3, 16000), (9, 1601), (8, 1600), (6, 4001), (4, 0))] + [(10, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = texts.rollup(view(spark, str(tmp_path), "page_text"), ["doc_id", "method"]).collect()
+    ocr = {r.doc_id: (r.full_text.replace("\n\n", ""), r.total_chars, r.page_count) for r in got if r.method == "ocr"}
+    assert ocr == {d: (t, len(t), -(-len(t) // 400)) for d, t in rows if t}
+    assert {r.doc_id: r.page_count for r in got if r.method == "native"} == {3: 40, 9: 5, 8: 4}
