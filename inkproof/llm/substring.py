@@ -3,9 +3,14 @@
 A gear hash rolls over the bytes of a text; a chunk begins at a word where the hash of the bytes
 just before it has zeros under a mask (one word in four), so chunks depend on their content alone
 and an insertion moves no boundary but the nearest. A stretch of ``MOST_WORDS`` words without a
-boundary is cut. Each distinct digest belongs to the smallest id that has it; a document loses
-runs of consecutive chunks that belong to others, if the run has at least ``LEAST_WORDS`` words.
-The first document keeps the passage, and repeats within one document are left alone.
+boundary is cut. Consecutive chunks that together have just ``LEAST_WORDS`` words or more, counted on from
+each chunk and back from each chunk, are a window with a joint digest. Each joint digest belongs to
+the smallest id that has it; a document loses the chunks of windows that belong to others. So one
+earlier document has all words of a window, in a row. The first document keeps the passage, and
+repeats within one document are left alone.
+
+A batch keeps for each joint digest the rows of its smallest id to be compared with other batches;
+the rest are lost whatever those have and are dealt out by id, so a common passage fills no task.
 
 Null texts stay null, and texts without such runs stay as they are. Documents without an id lose
 nothing and own nothing. Rows that repeat an id are one document: none loses to the other. An
@@ -104,7 +109,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, cuts``: the chunks (no, digest) that each document with any loses."""
+    """``id, cuts``: the chunks (no, digest) of each document's runs that smaller ids have chunk by chunk, together or not. Texts are cut by :func:`passages`."""
     cut = chunks(docs, id_col, text_col)
     owners = cut.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("digest", "owner")
     dup = cut.join(owners, "digest").where("id > owner").select("id", "no", "words", "digest").distinct()
@@ -113,6 +118,58 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return run.groupBy("id").agg(F.collect_list(F.struct("no", "digest")).alias("cuts"))
 
 
+def windows_of(owner: np.ndarray, words: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the chunks: its first chunk, how many it has, and their joint digest."""
+    total = np.cumsum(words)
+    before = total - words
+    to = np.searchsorted(total, before + LEAST_WORDS)
+    on = np.flatnonzero(to < np.searchsorted(owner, owner, "right"))
+    since = np.searchsorted(before, total - LEAST_WORDS, "right") - 1
+    back = np.flatnonzero(since >= np.searchsorted(owner, owner))
+    back = back[to[since[back]] != back]
+    first = np.concatenate((on, since[back]))
+    n = np.concatenate((to[on], back)) - first + 1
+    joint, each = np.zeros(len(first), np.uint64), digest.view(np.uint64)
+    for k in range(n.max(initial=0)):
+        at = np.flatnonzero(n > k)
+        h = (joint[at] ^ each[first[at] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        joint[at] = h ^ (h >> np.uint64(32))
+    return first, n, joint.view(np.int64)
+
+
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, place, digest, lost`` for each window of each row; ``place`` is 32 times its first chunk's number and how many it has, ``lost`` the id if a smaller one in the batch has the digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, number, _, words, digest = chunks_of([t or b"" for t in b.column(1).to_pylist()])
+            first, n, joint = windows_of(owner, words, digest)
+            ids = b.column(0).to_numpy()[owner[first]]
+            order = np.lexsort((ids, joint))
+            group = joint[order]
+            least = np.empty_like(ids)
+            least[order] = ids[order][np.searchsorted(group, group)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(number[first] << 5 | n), pa.array(joint), pa.array(ids, mask=ids == least)], names=["id", "place", "digest", "lost"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
+    return rows.mapInArrow(run, "id long, place long, digest long, lost long")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, cuts``: the windows (place, digest) that each document with any loses."""
+    seen = Window.partitionBy("digest", "lost").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = windows(docs, id_col, text_col).withColumn("owner", F.min("id").over(seen)).where("lost is not null or id > owner")
+    return others.groupBy("id").agg(F.collect_list(F.struct("place", "digest")).alias("cuts"))
+
+
+def cut_passages(text: bytes, cuts: list[dict]) -> tuple[bytes, int]:
+    """The text without the chunks of the given windows, and how many they are; a place whose digest differs is another text's and is left."""
+    owner, _, _, words, digest = chunks_of([text])
+    mine = {(a << 5 | n, d): (a, n) for a, n, d in zip(*(x.tolist() for x in windows_of(owner, words, digest)))}
+    gone = {k for c in cuts if (w := mine.get((c["place"], c["digest"]))) for k in range(w[0], sum(w))}
+    return cut_out(text, [{"no": k, "digest": int(digest[k])} for k in gone]), len(gone)
+
+
 def cut_out(text: bytes, cuts: list[dict]) -> bytes:
     """The text without the given chunks; a number whose digest differs is another text's and is left."""
     _, _, start, _, digest = chunks_of([text])
@@ -138,13 +195,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = list(b.columns[:-1])
             if any(cuts):
                 texts = columns[at].to_pylist()
-                texts = [cut_out(t.encode(), c).decode() if c and t else t for t, c in zip(texts, cuts)]
-                columns[at] = pa.array(texts, columns[at].type)
+                texts = [(t, 0) if not (c and t) else ((cut := cut_passages(t.encode(), c))[0].decode(), cut[1]) for t, c in zip(texts, cuts)]
+                columns[at] = pa.array([t for t, _ in texts], columns[at].type)
             if added:
-                columns.append(pa.array([len(c or ()) for c in cuts], pa.int32()))
+                columns.append(pa.array([n for _, n in texts] if any(cuts) else [0] * len(cuts), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     own, cuts = unused("_id", names), unused("_cuts", names)
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias(own), F.col("cuts").alias(cuts))
+    found = passages(docs, id_col, text_col).select(F.col("id").alias(own), F.col("cuts").alias(cuts))
     joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(own), "left").drop(own)
     return joined.mapInArrow(run, schema)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from inkproof.llm import substring
 
 
@@ -91,3 +93,47 @@ def test_chunks_cover_the_text_and_do_not_depend_on_neighbours():
 
 def test_empty_table(spark):
     assert substring.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_words_in_a_row_of_one_earlier_document_are_cut(spark):
+    r = random.Random(5)
+    texts = {i: say(r, 600) for i in (0, 1)}
+    parts = []
+    for i in (0, 1):
+        t = texts[i].encode()
+        start = [*substring.chunks_of([t])[2].tolist(), len(t)]
+        parts += [t[a:b].decode() for a, b in zip(start, start[1:]) if b - a > 30 and len(t[a:b].split()) < 15]
+    texts |= {k: "".join(r.sample(parts, len(parts))) for k in (2, 3)}
+    texts |= {4: "no " * 3, 5: "so it is no no " + "no " * 60, 6: "so it is no no " + "no " * 60, 7: say(r, 40) + " " + texts[1][600:1100]}
+    texts |= {k: texts[1][600:1100] + " " + say(r, 30) for k in range(8, 30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def shared(i):
+        rows = lambda t: [tuple(w[a : a + 20]) for w in [t.split()] for a in range(len(w) - 19)]
+        earlier = {w for j in range(i) for w in rows(texts[j])}
+        return {a + k for a, w in enumerate(rows(texts[i])) if w in earlier for k in range(20)}
+
+    for n in (1, 3, 30):  # across batches and within one
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+        got = {x.doc_id: (x.text, x._n_cut) for x in substring.deduplicate(docs).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for i, t in texts.items():
+            lost = len(t.split()) - len(got[i][0].split())
+            assert lost <= len(shared(i)) and (lost > 0) == (got[i][1] > 0), i
+            assert lost >= len(shared(i)) - 2 * substring.MOST_WORDS, i
+        assert [got[i][0] for i in range(6)] == [texts[i] for i in range(6)] and len(got[6][0]) < len(texts[6]) / 2
+        assert all(len(got[k][0].split()) < len(texts[k].split()) - 20 for k in range(7, 30))
+
+
+def test_windows_within_a_repeat_cover_it():
+    r = random.Random(2)
+    for _ in range(30):
+        words = [r.choice([1, 2, 4, 9, 19, 20, 32]) for _ in range(r.randint(1, 12))]
+        each = np.array(words)
+        first, n, _ = substring.windows_of(each * 0, each, each)
+        found = list(zip(first.tolist(), n.tolist()))
+        assert len(set(found)) == len(found)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                inside = {k for i, m in found if a <= i and i + m <= b for k in range(i, i + m)}
+                assert inside == (set(range(a, b)) if sum(words[a:b]) >= substring.LEAST_WORDS else set())
