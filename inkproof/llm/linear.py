@@ -1,42 +1,62 @@
 """Hashed n-grams and logistic regression in numpy, for one task's batch of texts.
 
-A text over ``BLOCK`` bytes is read in blocks cut at white space, and no n-gram crosses a cut.
+A text over ``BLOCK`` bytes is read in blocks that end before white space. Each begins with the end
+of the block before (its last word, and at least ``_OVERLAP`` bytes), so no word, pair or n-gram is
+cut or lost: those that lie in the repeated bytes alone are left to the block before.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 BLOCK = 1 << 20
+_OVERLAP = 16
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
 _PRIME, _GOLDEN = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _POWERS = np.cumprod(np.full(64, _PRIME, np.uint32), dtype=np.uint32)
 
 
-def _segments(text: bytes) -> Iterator[bytes]:
-    while len(text) > BLOCK:
-        cut = max(text.rfind(b" ", 0, BLOCK), text.rfind(b"\n", 0, BLOCK)) + 1 or BLOCK
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+def segments(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``BLOCK`` bytes, each but the first beginning with white space; no word is cut."""
+    at = 0
+    while len(text) - at > BLOCK and (cut := _WHITE.search(text, at + BLOCK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
-def blocks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts, A-Z lower-cased and each ended by a zero byte, in blocks: the bytes and the text's number for each."""
+def _end_of(segment: bytes) -> bytes:
+    """What the next block repeats of this one: its last word, from that word's beginning on, and at least ``_OVERLAP`` bytes."""
+    stop = len(segment.rstrip(b" \t\n\x0b\x0c\r"))
+    begin = max((segment.rfind(w, 0, stop) for w in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")), default=-1) + 1
+    if len(segment) - stop > _OVERLAP:  # of long white space its end will do
+        return segment[begin:stop] + segment[-_OVERLAP:]
+    return segment[min(begin, max(0, len(segment) - _OVERLAP)) :]
+
+
+def blocks(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Texts, A-Z lower-cased and each ended by a zero byte, in blocks: the bytes, the text's number for each, and how many the block before had already."""
     part, owner, size = [], [], 0
     for i, text in enumerate(texts):
-        for segment in _segments(text.lower()):
-            if part and size + len(segment) > BLOCK:
-                yield _joined(part, owner)
-                part, owner, size = [], [], 0
-            part.append(segment)
+        if part and size + len(text) > BLOCK:
+            yield *_joined(part, owner), 0
+            part, owner, size = [], [], 0
+        if len(text) > BLOCK:
+            before = b""
+            for segment in segments(text.lower()):
+                yield *_joined([before + segment], [i]), len(before)
+                before = _end_of(before + segment)
+        else:
+            part.append(text.lower())
             owner.append(i)
-            size += len(segment) + 1
+            size += len(text) + 1
     if part:
-        yield _joined(part, owner)
+        yield *_joined(part, owner), 0
 
 
 def _joined(part: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,19 +68,20 @@ def _index(h: np.ndarray, bits: int) -> np.ndarray:
     return (h * _GOLDEN) >> np.uint32(32 - bits)
 
 
-def char_grams(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: the positions at which an n-gram of bytes begins, and its feature."""
+def char_grams(data: np.ndarray, sizes: tuple[int, ...], bits: int, seen: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size: the positions at which an n-gram of bytes begins, and its feature; none within the first ``seen`` bytes."""
     wide, inside = data.astype(np.uint32), data != 0
     h, ok = wide, inside
     for n in range(2, max(sizes) + 1):
         h, ok = h[:-1] * _PRIME + wide[n - 1 :], ok[:-1] & inside[n - 1 :]
         if n in sizes:
             at = np.flatnonzero(ok)
+            at = at[at > seen - n] if seen else at
             yield at, _index(h[at] + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF), bits)
 
 
-def word_grams(data: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words and pairs of adjacent words: the position where each begins, and its feature."""
+def word_grams(data: np.ndarray, bits: int, seen: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and pairs of adjacent words: the position where each begins, and its feature; none within the first ``seen`` bytes."""
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     if not len(starts):
@@ -69,8 +90,9 @@ def word_grams(data: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.nda
     word = np.cumsum(np.isin(at, starts, assume_unique=True)) - 1
     value = data[at] * _POWERS[(at - starts[word]) & 63]
     h = np.add.reduceat(value, np.searchsorted(at, starts), dtype=np.uint32)
-    yield starts, _index(h, bits)
-    joined = ~np.logical_or.reduceat(data == 0, starts)[:-1]  # no text ends between the two
+    new = starts >= seen
+    yield starts[new], _index(h[new], bits)
+    joined = ~np.logical_or.reduceat(data == 0, starts)[:-1] & new[1:]  # no text ends between the two
     yield starts[:-1][joined], _index((h[:-1] * _PRIME ^ h[1:])[joined], bits)
 
 

@@ -52,20 +52,20 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, repeated
 
 
-def _features(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _features(data: np.ndarray, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Positions, features and their group: words in the lower half, n-grams in the upper."""
     half = 1 << BITS - 1
-    for at, f in word_grams(data, BITS - 1):
+    for at, f in word_grams(data, BITS - 1, seen):
         yield at, f.astype(np.int64), 0
-    for at, f in char_grams(data, SIZES, BITS - 1):
+    for at, f in char_grams(data, SIZES, BITS - 1, seen):
         yield at, f.astype(np.int64) + half, 1
 
 
 def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and share for each feature that a text has."""
     keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for data, owner in blocks(texts):
-        for at, f, _ in _features(data):
+    for data, owner, seen in blocks(texts):
+        for at, f, _ in _features(data, seen):
             key, n = np.unique((owner[at] << BITS) | f, return_counts=True)
             keys.append(key)
             sizes.append(n)
@@ -98,8 +98,8 @@ def learn(rows: list[dict]) -> tuple[np.ndarray, float, float, float] | None:
 def probabilities(texts: list[bytes], model: tuple[np.ndarray, float, float, float]) -> np.ndarray:
     weights, bias, slope, intercept = model
     total, size = np.zeros((2, len(texts))), np.zeros((2, len(texts)))
-    for data, owner in blocks(texts):
-        for at, f, group in _features(data):
+    for data, owner, seen in blocks(texts):
+        for at, f, group in _features(data, seen):
             mine = owner[at]
             total[group] += np.bincount(mine, weights[f], len(texts))
             size[group] += np.bincount(mine, minlength=len(texts))

@@ -31,8 +31,8 @@ LEAST_RATIO, LEAST_TEXTS, LEAST_WEIGHT = 0.7, 3, 0.01
 def _present(texts: list[bytes], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The text's number and the feature for each (useful) feature that a text has, once."""
     found = [np.empty(0, np.int64)]
-    for data, owner in blocks(texts):
-        for at, f in char_grams(data, SIZES, BITS):
+    for data, owner, seen in blocks(texts):
+        for at, f in char_grams(data, SIZES, BITS, seen):
             if useful is not None:
                 hit = np.flatnonzero(useful[f])
                 at, f = at[hit], f[hit]

@@ -1,10 +1,12 @@
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 
-from inkproof.llm import quality, toxicity
+from inkproof.llm import linear, quality, toxicity
 from inkproof.llm.common import fold
 from inkproof.llm.linear import blocks, char_grams, word_grams
 
@@ -80,15 +82,104 @@ def test_without_labels_or_rows(spark):
     assert quality.keep_good(docs.where("false"), known).count() == 0
 
 
+def grams_of(texts, grams):
+    out = [[] for _ in texts]
+    for data, owner, seen in blocks(texts):
+        for at, f in grams(data, seen):
+            for i, x in zip(owner[at], f):
+                out[i].append(int(x))
+    return [sorted(x) for x in out]
+
+
+KINDS = (lambda d, seen: char_grams(d, (2, 4), 20, seen), lambda d, seen: word_grams(d, 20, seen))
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = [b"The cat  sat", b"", b"on", "é x".encode() * 3]
-    for grams in (lambda d: char_grams(d, (2, 4), 12), lambda d: word_grams(d, 12)):
-        def per_text(batch):
-            out = [[] for _ in batch]
-            for data, owner in blocks(batch):
-                for at, f in grams(data):
-                    for i, x in zip(owner[at], f):
-                        out[i].append(int(x))
-            return [sorted(x) for x in out]
-
-        assert per_text(texts) == [per_text([t])[0] for t in texts]
+    for grams in KINDS:
+        assert grams_of(texts, grams) == [grams_of([t], grams)[0] for t in texts]
+
+
+def test_features_do_not_depend_on_the_block(monkeypatch):
+    r = random.Random(4)
+    say = lambda n: b"".join(r.choice([b"a", b"Bc", b"def" * r.choice([1, 1, 9]), b"x" * 40]) + r.choice([b" ", b"\t", b"\n ", b" " * 30]) for _ in range(n))
+    texts = [say(n) for n in (1, 40, 300, 300)] + [b"x" * 500, b" " * 500, b"a" + b" " * 300 + b"b c", b"w" * 63 + b" v", b"w" * 64 + b" v", b"w" * 65 + b"\tv"]
+    for grams in KINDS:
+        monkeypatch.setattr(linear, "BLOCK", 1 << 20)
+        want = grams_of(texts, grams)
+        for size in (64, 65, 100, 128):
+            monkeypatch.setattr(linear, "BLOCK", size)
+            assert grams_of(texts, grams) == want, size
+            assert all(b"".join(linear.segments(t)) == t and sum(len(x.split()) for x in linear.segments(t)) == len(t.split()) for t in texts)
+
+
+def brute_grams(text, sizes):
+    b = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+    return {b[i : i + n] for n in sizes for i in range(len(b) - n + 1)}
+
+
+def toxic_feature(gram):
+    (data, *_), = blocks([gram])
+    return int(next(iter(char_grams(data, (len(gram),), toxicity.BITS)))[1][0])
+
+
+def test_toxicity_against_brute_force(spark):
+    """The same model over the n-grams themselves (no hashing): ratios, fit, pruning, calibration and score."""
+    rows, labels = labelled(150)
+    docs, known = frames(spark, rows + [(9005, "NASTYGIT " + "river été " * 200, "x", 0.0), (9006, "", "x", 0.0)], labels)
+    got = {x.id: x.score for x in toxicity.toxicity(docs, known).collect()}
+    apart = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    tox = {i: t for i, _, t in labels}
+    grams = {i: brute_grams(t, (3, 4, 5)) for i, t, *_ in rows}
+    names = sorted(set().union(*(grams[i] for i in tox if i not in apart)))
+    count = lambda k: Counter(g for i, y in tox.items() if y == k and i not in apart for g in grams[i])
+    one, zero = count(1), count(0)
+    dims = 1 << toxicity.BITS  # each n-gram has one of so many smoothed counts, most of them empty
+    all_one, all_zero = sum(one.values()) + dims, sum(zero.values()) + dims
+    ratio = {g: math.log((one[g] + 1) / all_one) - math.log((zero[g] + 1) / all_zero) for g in names}
+    ratio = {g: x for g, x in ratio.items() if abs(x) >= toxicity.LEAST_RATIO and one[g] + zero[g] >= toxicity.LEAST_TEXTS}
+    names = sorted(ratio)
+    ids = sorted(tox)
+    x = np.array([[ratio[g] * (g in grams[i]) for g in names] for i in ids])
+    y, w8 = np.array([tox[i] for i in ids], float), np.array([float(i not in apart) for i in ids])
+    w8 /= w8.sum()
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / (4 * (np.max((x * x).sum(axis=1)) + 1))
+    for _ in range(40_000):  # plain proximal gradient steps
+        error = w8 * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w = w - step * (x.T @ error + toxicity.L2 * w)
+        w, b = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.L1, 0), b - step * error.sum()
+    loss = lambda w, b: (w8 * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w + b))).sum() + toxicity.L1 * np.abs(w).sum() + toxicity.L2 / 2 * (w * w).sum()
+    weights, bias, slope, intercept = toxicity.learn([{"id": i, "label": tox[i], "calibration": i in apart, "share": (sum(tox.values()) if tox[i] else len(tox) - sum(tox.values())) / len(tox), "text": dict((k, t) for k, t, *_ in rows)[i].encode()} for i in ids])
+    mine = np.array([weights[toxic_feature(g)] for g in names]) / np.array([ratio[g] for g in names])
+    assert loss(mine, bias) <= loss(w, b) * 1.1 + 1e-4  # early stopping and pruning
+    assert set(np.flatnonzero(weights)) <= {toxic_feature(g) for g in names}
+    for i, t, *_ in rows:  # the score is that of the text's own n-grams
+        raw = sum(weights[f] for f in {toxic_feature(g) for g in brute_grams(t, (3, 4, 5))}) + bias
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(slope * raw + intercept))), abs_tol=2e-3), i
+    assert got[9005] > 0.5 and math.isclose(got[9006], 1 / (1 + math.exp(-(slope * bias + intercept))), rel_tol=1e-6)
+
+
+def test_quality_probability_against_brute_force(spark):
+    rows, labels = labelled(120)
+    docs, known = frames(spark, rows + ODD, labels)
+    model = quality.model_for(docs, known)
+    weights, bias, slope, intercept = model
+    got = {x.id: x for x in quality.judge(docs, model).collect()}
+
+    def feature(grams, gram):  # the hashed feature of one n-gram, word or pair
+        return {int(f) for data, _, seen in blocks([gram]) for at, f in list(grams(data, seen))[-1:] for f in f[-1:]}.pop()
+
+    for key, text, *_ in (rows + ODD)[::7] + ODD:
+        b = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+        half = quality.BITS - 1
+        group_1 = [feature(lambda d, s: [list(word_grams(d, half, s))[0]], w) for w in words]
+        group_1 += [feature(lambda d, s: [list(word_grams(d, half, s))[1]], b" ".join(p)) for p in zip(words, words[1:])]
+        group_2 = [(1 << half) + feature(lambda d, s, n=n: char_grams(d, (n,), half, s), b[i : i + n]) for n in quality.SIZES for i in range(len(b) - n + 1)] if len(b) < 2000 else None
+        if group_2 is None:
+            continue
+        raw = sum(np.mean(weights[g]) for g in (group_1, group_2) if g) + bias
+        p = 1 / (1 + math.exp(-(slope * raw + intercept)))
+        assert math.isclose(got[key].probability, p, abs_tol=1e-4), key
+        assert got[key].kept == (not got[key].base_failed and got[key].probability >= quality.LEAST_PROBABILITY), key
