@@ -7,8 +7,8 @@ set is broadcast and the text isn't shuffled; beyond, windows and text are joine
 the hash. A hash match is verified on the words themselves.
 
 Null and empty texts have no words and no hits. Rows that repeat an id are judged as one
-document: positions hit in any of them count once. Rows with a null id are judged together
-likewise. Null and wordless items give no window; items that repeat an id unite. Empty tables
+document: positions hit in any of them count once, and so are rows with a null id; ``decontaminate``
+judges each row by itself. Null and wordless items give no window; items that repeat an id unite. Empty tables
 give no rows or no hits. Only the named columns are read.
 """
 
@@ -21,6 +21,7 @@ from .common import materialise, unused
 
 WINDOW = 13
 BROADCAST_WINDOWS = 1_000_000
+SALTS = 16
 #: A document is contaminated if at least one word in so many is hit.
 ONE_WORD_IN = 20
 
@@ -45,22 +46,16 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 def window_hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, at, size, window``: where the documents' words equal a window (``at`` counts words from 0)."""
     known = materialise(windows.select("size", "hash", "window").distinct())
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # 13 values at most
-    small = known.count() <= BROADCAST_WINDOWS
+    n = known.agg(F.count("*"), F.sort_array(F.collect_set("size"))).first()  # 13 sizes at most
+    side = F.broadcast(known) if n[0] <= BROADCAST_WINDOWS else known.hint("merge")
+    sizes = F.array(*map(F.lit, n[1])).cast("array<int>")
     cut = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    found = None
-    for n in sizes:
-        side = known.where(F.col("size") == n)
-        side = F.broadcast(side) if small else side.hint("merge")
-        at = cut.where(F.size("w") >= n).select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
-        part = F.slice("w", F.col("at") + 1, F.lit(n))
-        at = at.select("id", "at", part.alias("part"))
-        at = at.select("id", "at", "part", F.xxhash64("part").alias("hash"))
-        hit = at.join(side, "hash").where(F.array_join("part", " ") == F.col("window")).select("id", "at", "size", "window")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], docs.select(F.col(id_col).alias("id"), F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("window")).schema)
-    return found
+    # One pass for all sizes: a row for each size that the text is long enough for, then one for each place.
+    cut = cut.select("id", "w", F.explode(F.filter(sizes, lambda k: k <= F.size("w"))).alias("size"))
+    at = cut.select("id", "w", "size", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("at"))
+    at = at.select("id", "at", "size", F.slice("w", F.col("at") + 1, F.col("size")).alias("part"))
+    at = at.select("id", "at", "size", "part", F.xxhash64("part").alias("hash"))
+    return at.join(side, ["size", "hash"]).where(F.array_join("part", " ") == F.col("window")).select("id", "at", "size", "window")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -69,8 +64,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = materialise(window_hits(docs, windows, id_col, text_col))
     spot = hits.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     n_hit = spot.groupBy("id").agg(F.count("*").alias("n_hit"))
-    named = hits.select("id", "window").distinct().join(windows.select("window", F.col("item").cast("string").alias("item")), "window")
-    named = named.select("id", "item").distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"), F.count("item").alias("n_items"))
+    # A window that many documents share is dealt out over SALTS keys before the join with its items.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    items_of = windows.select("window", F.col("item").cast("string").alias("item")).distinct().select("*", salts)
+    held = hits.select("id", "window").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    named = held.join(items_of, ["window", "salt"]).select("id", "item").distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"), F.count("item").alias("n_items"))
     sizes = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     found = n_hit.withColumnRenamed("id", "_n").join(named.withColumnRenamed("id", "_i"), F.col("_n").eqNullSafe(F.col("_i"))).drop("_i")
     out = sizes.join(found, F.col("id").eqNullSafe(F.col("_n")), "left").drop("_n")
@@ -79,7 +77,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Remove the contaminated documents; the others stay as they are."""
-    own = unused("_bad", docs.columns)
-    bad = contamination(docs, items, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("id").alias(own)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_anti")
+    """Remove the contaminated rows; the others stay as they are.
+
+    Here each row is judged by itself: a row is known by its id and a digest of its text, so rows
+    without an id, and rows that repeat an id with another text, don't share a verdict.
+    """
+    own = unused("_row", docs.columns)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    row = F.sha2(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit(" "), text), 256)
+    known = docs.select(row.alias(own), text.alias("text"))
+    bad = contamination(known, items, own, "text", item_col, item_text_col).where("contaminated").select(F.col("id").alias(own)).distinct()
+    return docs.join(bad, row == F.col(own), "left_anti")
