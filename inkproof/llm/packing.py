@@ -3,9 +3,9 @@
 A document is its token ids and one end id, cut into pieces of ``SEQUENCE`` ids if longer; the
 first piece is then the shorter one. Only the number of pieces of each length (``SEQUENCE``
 counts, whatever the corpus) goes to the driver, which plans patterns of lengths: from the
-longest length down, single lengths, pairs and triples that exactly fill the gap are taken, as
-often as the counts allow; where none fits, the longest available length that fits narrows the
-gap first. Each pattern uses up a length, so the plan is bounded, and is broadcast. Pieces get
+longest length down, the gap's exact complement is looked up among single lengths, pairs and
+triples hashed by their sums, and the pattern is taken as often as the counts allow; where none
+fills the gap, the longest available length that fits narrows it first (best fit). Each pattern uses up a length, so the plan is bounded, and is broadcast. Pieces get
 ranks within their length over hashed buckets, so that a length with a third of all pieces is
 dealt to many tasks, and a piece's rank picks its place in the plan.
 
@@ -16,8 +16,8 @@ empty table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,49 +53,88 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact(gap: int, left: Counter, lengths: list[int]) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum ``gap``, longest first; ``lengths`` has the available ones in order."""
-    if left[gap] > 0:
-        return (gap,)
-    free = lambda *xs: all(left[x] >= xs.count(x) for x in xs)
-    for a in reversed(lengths[bisect_left(lengths, (gap + 1) // 2) : bisect_left(lengths, gap)]):
-        if free(a, gap - a):
-            return a, gap - a
-    for a in reversed(lengths[bisect_left(lengths, (gap + 2) // 3) : bisect_left(lengths, gap)]):
-        rest = gap - a
-        for b in reversed(lengths[bisect_left(lengths, (rest + 1) // 2) : bisect_left(lengths, min(rest, a + 1))]):
-            if free(a, b, rest - b):
-                return a, b, rest - b
-    return None
+class Complements:
+    """The available lengths, and their pairs and triples hashed by their sums, under counts of what is left.
+
+    An entry of a sum is kept while it can be had; one whose lengths have run out is dropped when it
+    comes up, as counts never grow. ``pairs[s]`` has the longer length of each pair with the sum s,
+    ``triples[s]`` the longest of each triple, the rest being a pair; longest last, so that it comes
+    up first. A sum under ``size`` has fewer than ``size`` entries, so the index is bounded.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = Counter({k: n for k, n in counts.items() if n > 0})
+        self.pairs: dict[int, list[int]] = defaultdict(list)
+        self.triples: dict[int, list[int]] = defaultdict(list)
+        lengths = sorted(self.left)
+        for i, a in enumerate(lengths):
+            for b in lengths[: i + 1]:
+                if a + b >= size:
+                    break
+                self.pairs[a + b].append(a)
+        sums = sorted(self.pairs)
+        for a in lengths:
+            for rest in sums:
+                if a + rest >= size:
+                    break
+                if self.pairs[rest][0] <= a:
+                    self.triples[a + rest].append(a)
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _pair(self, total: int, most: int, *taken: int) -> tuple[int, int] | None:
+        """The pair with the longest length of at most ``most`` that can be had besides ``taken``."""
+        found = self.pairs.get(total, ())
+        for a in reversed(found[: bisect_right(found, most)]):
+            if self.has(a, total - a, *taken):
+                return a, total - a
+        return None
+
+    def filling(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that can be had and exactly fill the gap."""
+        if self.left[gap] > 0:
+            return (gap,)
+        while (found := self.pairs.get(gap)) and not self.has(found[-1], gap - found[-1]):
+            found.pop()
+        if found:
+            return found[-1], gap - found[-1]
+        while found := self.triples.get(gap):
+            a = found[-1]
+            if self.left[a] > 0 and (rest := self._pair(gap - a, a, a)):
+                return a, *rest
+            found.pop()
+        return None
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.left[length] -= n
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, Counter]]:
     """Patterns (how often, lengths) that together use each length as often as it is counted."""
-    left, out = Counter(counts), []
-    lengths = sorted(k for k, v in counts.items() if v > 0)
+    stock, out = Complements(counts, size), []
+    lengths = sorted(stock.left)
     while lengths:
         pattern, gap = Counter({lengths[-1]: 1}), size - lengths[-1]
-        left[lengths[-1]] -= 1
+        stock.take(lengths[-1])
         while gap:
-            got = _exact(gap, left, lengths)
+            got = stock.filling(gap)
             if not got:  # best fit of a single one, then try again
                 i = bisect_left(lengths, gap + 1) - 1
-                while i >= 0 and not left[lengths[i]]:
+                while i >= 0 and not stock.left[lengths[i]]:
                     i -= 1
                 if i < 0:
                     break
                 got = (lengths[i],)
             for x in got:
                 pattern[x] += 1
-                left[x] -= 1
+                stock.take(x)
                 gap -= x
+        more = min(stock.left[x] // n for x, n in pattern.items())
         for x, n in pattern.items():
-            left[x] += n
-        times = min(left[x] // n for x, n in pattern.items())
-        for x, n in pattern.items():
-            left[x] -= n * times
-        out.append((times, pattern))
-        lengths = [x for x in lengths if left[x]]
+            stock.take(x, n * more)
+        out.append((1 + more, pattern))
+        lengths = [x for x in lengths if stock.left[x]]
     return out
 
 
