@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 from .components import connected_components
 
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 5, 2, 3, 42
@@ -65,7 +65,7 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """``id, fp`` (a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t) if t else 0 for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {id_type}, fp long")
 
 
 def links(reps: DataFrame) -> DataFrame:
@@ -96,25 +96,50 @@ def links(reps: DataFrame) -> DataFrame:
     return near.unionByName(star)
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """``fp, class``: each fingerprint's class of linked ones, named by one of them."""
+    reps = fps.select("fp").distinct().withColumn("rep", F.col("fp"))
+    linked = connected_components(links(reps))
+    return reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's ``id``, ``fp`` and ``component_id``: the smallest id reachable over links, its own included."""
     fps = materialise(fingerprints(docs, id_col, text_col))
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    linked = connected_components(links(reps))
-    label = reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "fp").select("id", "fp", "component_id")
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = materialise(_classes(fps).join(least, "fp"))
+    smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return fps.join(classes.join(smallest, "class").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Up to so many rows to drop (some 50 MB) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the row with the smallest id of each near-duplicate component; rows that repeat an id count as one document.
+    """Keep one row of each near-duplicate class: the one with the smallest id, of equal ids the one with the smallest text digest.
 
-    Rows without an id can't be told apart: each stays.
+    Rows with the same id but texts that aren't near-duplicates all stay. Rows without an id can't
+    be told apart: each stays. The rows to drop are found first, by id and digest alone, so whole
+    texts are shuffled only where equal rows repeat.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    text = lambda: F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    own, mine = unused("_own", docs.columns), unused("_mine", docs.columns)
+    marked = docs.select(F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.substring(text(), 1, 32).alias("digest")).alias(own), F.col(f"`{text_col}`").alias("text"))
+    fps = materialise(fingerprints(marked.where(F.col(own)["id"].isNotNull()), own, "text", "struct<id: long, digest: string>"))
+    row = fps.groupBy("fp", "id").agg(F.count("*").alias("n")).select("fp", F.col("id").alias("row"), "n")
+    classed = materialise(row.join(_classes(fps), "fp"))
+    keep = classed.groupBy("class").agg(F.min("row").alias("first"))
+    known = materialise(classed.join(keep, "class").select("row", (F.col("row") == F.col("first")).alias("kept"), "n"))
+    gone, again = known.where("not kept").select(F.col("row").alias(mine)), known.where("kept and n > 1").select(F.col("row").alias(mine))
+    small = lambda part: F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+    key = F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.substring(text(), 1, 32).alias("digest"))
+    same, again = key == F.col(mine), small(again)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(small(gone), same, "left_anti").join(again, same, "left_anti")
+    several = docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    return once.select(*names).unionByName(several.select(*names))
