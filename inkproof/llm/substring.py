@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text; a chunk begins at a word where the hash of the bytes
 just before it has zeros under a mask (one word in four), so chunks depend on their content alone
 and an insertion moves no boundary but the nearest. A stretch of ``MOST_WORDS`` words without a
-boundary is cut. Consecutive chunks that together have just ``LEAST_WORDS`` words or more, counted on from
+boundary takes those of a second, weaker mask; what then still has none is a repetition of a few
+words, the same wherever it begins, and is cut every ``MOST_WORDS`` words. Consecutive chunks that together have just ``LEAST_WORDS`` words or more, counted on from
 each chunk and back from each chunk, are a window with a joint digest. Each joint digest belongs to
 the smallest id that has it; a document loses the chunks of windows that belong to others. So one
 earlier document has all words of a window, in a row. The first document keeps the passage, and
@@ -31,7 +32,7 @@ from .common import unused
 
 MOST_WORDS, LEAST_WORDS = 32, 20
 #: The hash has 16 bits; bit k depends on the last k + 1 bytes, so these two see 12 bytes.
-_MASK = np.uint16(0b11 << 10)
+_MASK, _WEAK = np.uint16(0b11 << 10), np.uint16(0b1 << 12)
 #: A fixed random number for each byte; the zero byte that separates texts has 0.
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256).astype(np.uint16)
 _GEAR[0] = 0
@@ -57,7 +58,12 @@ def _cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return word, word, word
     stop = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
     first = np.concatenate(([True], np.logical_or.reduceat(data == 0, word)[:-1]))
-    starts = first | ((_gear(data)[np.maximum(word, 1) - 1] & _MASK) == 0)
+    hashed = _gear(data)[np.maximum(word, 1) - 1]
+    starts = first | ((hashed & _MASK) == 0)
+    begin = np.flatnonzero(starts)
+    size = np.diff(np.append(begin, len(word)))
+    long = np.repeat(size > MOST_WORDS, size)
+    starts |= long & ((hashed & _WEAK) == 0)
     begin = np.flatnonzero(starts)
     size = np.diff(np.append(begin, len(word)))
     for b, n in zip(begin[size > MOST_WORDS], size[size > MOST_WORDS]):
@@ -95,29 +101,6 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(map(np.concatenate, found))
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, no, words, digest`` for each chunk of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owner, number, _, words, digest = chunks_of([t or b"" for t in b.column(1).to_pylist()])
-            ids = b.column(0).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(digest)], names=["id", "no", "words", "digest"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id long, no int, words int, digest long")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, cuts``: the chunks (no, digest) of each document's runs that smaller ids have chunk by chunk, together or not. Texts are cut by :func:`passages`."""
-    cut = chunks(docs, id_col, text_col)
-    owners = cut.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("digest", "owner")
-    dup = cut.join(owners, "digest").where("id > owner").select("id", "no", "words", "digest").distinct()
-    run = dup.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no", "digest")))
-    run = run.withColumn("size", F.sum("words").over(Window.partitionBy("id", "run"))).where(F.col("size") >= LEAST_WORDS)
-    return run.groupBy("id").agg(F.collect_list(F.struct("no", "digest")).alias("cuts"))
-
-
 def windows_of(owner: np.ndarray, words: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of the chunks: its first chunk, how many it has, and their joint digest."""
     total = np.cumsum(words)
@@ -183,8 +166,11 @@ def cut_out(text: bytes, cuts: list[dict]) -> bytes:
     return b"".join(kept) + text[at:]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "_n_cut") -> DataFrame:
-    """The rows with repeated passages cut from the text; ``count_col`` counts the chunks cut (none if null; underscores are added to a name that is taken)."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "_n_cut", keep_emptied: bool = True) -> DataFrame:
+    """The rows with repeated passages cut from the text; ``count_col`` counts the chunks cut (none if null; underscores are added to a name that is taken).
+
+    Without ``keep_emptied``, rows of whose text nothing but white space is left go.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
     added = [unused(count_col, names)] if count_col else []
     schema = StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in added)])
@@ -193,13 +179,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             cuts = b.column(b.num_columns - 1).to_pylist()
             columns = list(b.columns[:-1])
+            filled = None
             if any(cuts):
                 texts = columns[at].to_pylist()
                 texts = [(t, 0) if not (c and t) else ((cut := cut_passages(t.encode(), c))[0].decode(), cut[1]) for t, c in zip(texts, cuts)]
                 columns[at] = pa.array([t for t, _ in texts], columns[at].type)
+                filled = pa.array([not (n and not t.strip()) for t, n in texts])
             if added:
                 columns.append(pa.array([n for _, n in texts] if any(cuts) else [0] * len(cuts), pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+            out = pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+            yield out if keep_emptied or filled is None else out.filter(filled)
 
     own, cuts = unused("_id", names), unused("_cuts", names)
     found = passages(docs, id_col, text_col).select(F.col("id").alias(own), F.col("cuts").alias(cuts))

@@ -45,38 +45,6 @@ def test_passages_stay_in_the_first_document_only(spark):
     assert 0.6 * 51 * 4 * 20 < lost < 51 * 4 * 20 + 60
 
 
-def brute_cuts(texts):
-    from collections import defaultdict
-
-    chunks, owner = {}, defaultdict(lambda: 1 << 60)
-    for i, t in texts.items():
-        _, no, _, words, digest = substring.chunks_of([t.encode()])
-        chunks[i] = list(zip(no.tolist(), words.tolist(), digest.tolist()))
-        for *_, d in chunks[i]:
-            owner[d] = min(owner[d], i)
-    out = {}
-    for i, found in chunks.items():
-        run, cuts = [], []
-        for c in [*found, None]:
-            if c and owner[c[2]] < i:
-                run.append(c)
-            else:
-                cuts += [x[0] for x in run] if sum(x[1] for x in run) >= substring.LEAST_WORDS else []
-                run = []
-        if cuts:
-            out[i] = cuts
-    return out
-
-
-def test_cuts_against_brute_force(spark):
-    r = random.Random(11)
-    parts = [say(r, r.choice([3, 12, 25, 60])) for _ in range(12)]
-    texts = {i: " ".join(r.choice([*parts, say(r, 15)]) for _ in range(6)) for i in range(50)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {x.id: sorted(c["no"] for c in x.cuts) for x in substring.repeats(docs).collect()}
-    assert got == brute_cuts(texts) and got
-
-
 def test_chunks_cover_the_text_and_do_not_depend_on_neighbours():
     r = random.Random(3)
     texts = [say(r, n).encode() for n in (0, 1, 5, 400)] + [b"", b" \n", b"x" * 5000, b"a " * 3000, "é".encode() * 10]
