@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkproof.llm import decontaminate, packing, quality, queries, simhash, substring
-from inkproof.llm.common import materialise, table
+from inkproof.llm.common import discard, materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut from the text."""
-    return substring.deduplicate(docs, count_col=None)
+    """Passages that an earlier document has are cut from the text; a document that has nothing else goes."""
+    return substring.deduplicate(docs, count_col=None, keep_emptied=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs, old = materialise(stage(spark, docs, sf_dir)), before
+        if old is not None:  # nothing reads the stage before the last one again
+            discard(old)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
