@@ -4,10 +4,17 @@ For each language a suffix automaton is built of a bounded sample of its labelle
 cross-parsed with each: from where a phrase begins, the automaton follows the longest stretch that
 occurs in the language's sample; where it ends, the next phrase begins. The language that needs
 the fewest phrases wins, each phrase weighted with the bits that name a place in that sample
-(log2 of its length) and the sum divided by the letters read. Texts and samples are read as
-lower-cased words, runs of letters, each with a mark at either end; no phrase crosses a word, so
-a text's phrases are the sum over its words, and a batch parses each distinct word once, for all
-languages at a time. Words over ``LONGEST`` letters are read in parts of that length.
+(log2 of its length) and the sum divided by the letters read. Texts and samples are read as one
+string of lower-cased letters, with a mark for all that lies between two words and at either end,
+and phrases run across words.
+
+A batch's texts are parsed abreast, in lanes of ``LANE`` letters. Each lane is first parsed as if a
+phrase began there, then mended from the state in which the lane before it ends, until both parses
+begin a phrase at the same place; from there on they are one. A lane whose end is changed by this
+mends the next. So the count is that of a parse from left to right.
+
+Transitions of all automata lie in one array, each state's shifted to where its slots are free, so
+its size is that of the transitions, whatever the scripts. No language is left out.
 
 A null text or one without letters is ``und`` with score 0, as is every text if nothing was
 learned. Ties go to the language first in order. The score is the softmax of the negative bits per
@@ -27,35 +34,40 @@ from pyspark.sql import functions as F
 
 from .labelled import train
 
-#: Rows of each language to learn from, of texts of at most so many bytes, and the letters used of each language.
-PER_LANGUAGE, MOST_BYTES, SAMPLE = 60, 10_000, 30_000
-#: Languages with the most sampled rows that are kept.
-MOST_LANGUAGES = 256
-LONGEST, UNKNOWN = 64, "und"
+#: Rows of each language to learn from, and the characters in a row that are used of each, from a place given by its id's hash.
+PER_LANGUAGE, STRETCH = 60, 1_000
+#: Letters in a lane, and letters that are parsed at a time.
+LANE, PART = 256, 1 << 22
+UNKNOWN = "und"
 _MARK, _OTHER = 0, 1
 
 
 def sample(docs: DataFrame, allowed: Column | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``id, label, text``: of each language the rows with the smallest hashed ids (limited on each task before the shuffle)."""
+    """``id, label, text, cut``: of each language the rows with the smallest hashed ids (limited on each task before the shuffle), of long texts a stretch."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("label").isNotNull() & F.octet_length("text").between(1, MOST_BYTES))
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.where(allowed) if allowed is not None else rows
+    rows = rows.withColumn("order", F.xxhash64("id"))
+    n = F.char_length("text")
+    place = F.pmod(F.xxhash64("order"), F.greatest(n - STRETCH, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("id", "label", "order", F.substring("text", place, F.lit(STRETCH)).alias("text"), (n > STRETCH).alias("cut"))
     first = F.row_number().over(Window.partitionBy("label").orderBy("order", "id", "text"))
-    rows = rows.withColumn("order", F.xxhash64("id")).withColumn("n", first).where(F.col("n") <= PER_LANGUAGE)
-    return rows.select("id", "label", "text")
+    return rows.withColumn("n", first).where(F.col("n") <= PER_LANGUAGE).select("id", "label", "text", "cut")
 
 
-def words_of(texts: pa.Array) -> tuple[pa.ListArray]:
-    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+")
+def strings_of(texts: pa.Array) -> list[str]:
+    """Each text as one string of letters and marks; empty without letters."""
+    found = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+", " "), " ")
+    return [f" {t} " if t else "" for t in found.to_pylist()]
 
 
-def automaton(words: list[np.ndarray]) -> list[dict[int, int]]:
-    """The transitions of the suffix automaton of the words, each a string of its own."""
+def automaton(strings: list[np.ndarray]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton of all strings."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
-    for word in words:
+    for string in strings:
         last = 0
-        for c in word.tolist():
+        for c in string.tolist():
             if c in moves[last]:  # a generalised automaton: the prefix is there already
                 q = moves[last][c]
                 if length[q] == length[last] + 1:
@@ -89,101 +101,153 @@ def automaton(words: list[np.ndarray]) -> list[dict[int, int]]:
     return moves
 
 
+def shifted(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``base, owner, to``: state s moves with letter c to to[base[s] + c] if owner[base[s] + c] is s.
+
+    States with several moves are placed first, at the first shift that fits; the others take what is left.
+    """
+    total = sum(map(len, moves))
+    room = width + 2 * total + 64 * width
+    base, owner, to = np.zeros(len(moves), np.int32), np.full(room + 2 * width + 512, -1, np.int32), np.zeros(room + 2 * width + 512, np.int32)
+    free_from = width
+    for s in sorted((s for s, m in enumerate(moves) if len(m) > 1), key=lambda s: -len(moves[s])):
+        codes = np.array(sorted(moves[s]), np.int64)
+        at = free_from
+        while True:
+            spots = at + np.flatnonzero(owner[at : at + 512] < 0)
+            fits = np.flatnonzero((owner[(spots - codes[0])[:, None] + codes] < 0).all(axis=1)) if len(spots) else spots
+            if len(fits):
+                break
+            at += 512
+        shift = spots[fits[0]] - codes[0]
+        base[s], owner[shift + codes] = shift, s
+        to[shift + codes] = [moves[s][c] for c in codes.tolist()]
+        while (owner[free_from : free_from + 512] >= 0).mean() > 0.95:
+            free_from += 512
+    single = [(s, *next(iter(m.items()))) for s, m in enumerate(moves) if len(m) == 1]
+    if single:
+        s, c, t = np.array(single, np.int64).T
+        slots = width + np.flatnonzero(owner[width:room] < 0)[: len(s)]
+        base[s], owner[slots], to[slots] = slots - c, s, t
+    last = int(np.flatnonzero(owner >= 0).max(initial=0)) + 2 * width
+    return base, owner[:last], to[:last]
+
+
 class Model:
-    """All languages' automata in one table: state and letter class -> state, 0 where there is no move."""
+    """All languages' automata in one sparse table."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        letters = sorted({c for words in samples.values() for w in words for c in w})
-        self.code = {c: i + 2 for i, c in enumerate(letters)}
-        width = len(letters) + 2
-        self.roots, self.bits, rows, size = [], [], [], 1  # state 0 is none
+        letters = sorted({c for strings in samples.values() for c in "".join(strings)} - {" "})
+        self.letters, width = letters, len(letters) + 2
+        self.lut = None
+        self.roots, self.bits, moves = [], [], []
         for name in self.names:
-            words = [self.encode(w) for w in samples[name]]
-            moves = automaton(words)
-            self.roots.append(size)
-            self.bits.append(np.log2(max(2, sum(map(len, words)))))
-            rows += [(size + s, c, size + t) for s, m in enumerate(moves) for c, t in m.items()]
-            size += len(moves)
-        self.shape, self.moves = (size, width), np.array(rows, np.int32).reshape(-1, 3)
-        self.table = None
-
-    def encode(self, word: str) -> np.ndarray:
-        return np.array([_MARK, *(self.code.get(c, _OTHER) for c in word), _MARK], np.int32)
-
-    def open(self) -> None:
-        self.table = np.zeros(self.shape[0] * self.shape[1], np.int32)
-        self.table[self.moves[:, 0].astype(np.int64) * self.shape[1] + self.moves[:, 1]] = self.moves[:, 2]
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """The number of phrases of each word, for each language."""
-        out = np.zeros((len(words), len(self.names)), np.int32)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, group in by_length.items():
-            for k in range(0, len(group), 1 << 15):
-                part = group[k : k + (1 << 15)]
-                flat = "".join(words[i] for i in part)
-                codes = np.fromiter((self.code.get(c, _OTHER) for c in flat), np.int64, len(flat)).reshape(len(part), n)
-                mark = np.full((len(part), 1), _MARK, np.int64)
-                codes = np.hstack((mark, codes, mark))
-                for j, root in enumerate(self.roots):
-                    state = np.full(len(part), root, np.int64)
-                    count = np.zeros(len(part), np.int32)
-                    for c in codes.T:
-                        to = self.table[state * self.shape[1] + c]
-                        begins = (state == root) | (to == 0)
-                        count += begins
-                        to = np.where(to == 0, self.table[root * self.shape[1] + c], to)
-                        state = np.where(to == 0, root, to).astype(np.int64)
-                    out[part, j] = count
-        return out
+            root = len(moves)
+            found = automaton([self.encode(t) for t in samples[name]])
+            moves += [{c: root + t for c, t in m.items()} for m in found]
+            self.roots.append(root)
+            self.bits.append(float(np.log2(max(2, sum(map(len, samples[name]))))))
+        self.base, self.owner, self.to = shifted(moves, width)
+        self.starts = [np.array([moves[r].get(c, r) for c in range(width)], np.int32) for r in self.roots]
+        self.lut = None  # made in each worker
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.lut is None:
+            self.lut = np.full(0x110000, _OTHER, np.int32)
+            self.lut[[ord(c) for c in self.letters]] = np.arange(2, len(self.letters) + 2)
+            self.lut[ord(" ")] = _MARK
+        return self.lut[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def _step(self, state: np.ndarray, c: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The states after letter ``c``, and whether a phrase begins with it."""
+        slot = self.base[state] + c
+        goes = self.owner[slot] == state
+        return np.where(goes, self.to[slot], self.starts[j][c]), ~goes | (state == self.roots[j])
+
+    def phrases(self, parts: list[np.ndarray], entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The number of phrases that begin in each part, and the states at its end, for each language; ``entry``: the states in which the parts are entered."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        lanes = np.maximum(1, -(-sizes // LANE))
+        part = np.repeat(np.arange(len(parts)), lanes)
+        number = np.arange(len(part)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        length = np.minimum(LANE, sizes[part] - number * LANE)
+        inside = np.arange(LANE)[:, None] < length
+        letters = np.full((len(part), LANE), _OTHER, np.int32)
+        letters[inside.T] = np.concatenate(parts) if len(parts) else np.empty(0, np.int32)
+        letters = np.ascontiguousarray(letters.T)
+        counts, ends = np.zeros((len(parts), len(self.names)), np.int64), np.zeros((len(parts), len(self.names)), np.int32)
+        for j, root in enumerate(self.roots):
+            begins, exits = np.zeros(letters.shape, bool), np.full(len(part), root, np.int32)
+            state = np.full(len(part), root, np.int32)
+            for k in range(LANE):
+                state, begins[k] = self._step(state, letters[k], j)
+                exits = np.where(length == k + 1, state, exits)
+            enter = np.concatenate(([root], exits[:-1])).astype(np.int32)
+            firsts = number == 0
+            enter[firsts] = root if entry is None else entry[:, j]
+            todo = np.flatnonzero(enter != root)
+            while len(todo):
+                now, state, old = todo, enter[todo], exits.copy()
+                for k in range(LANE):
+                    state, begun = self._step(state, letters[k, now], j)
+                    apart = ~(begun & begins[k, now]) & (k < length[now])  # else the parses have met
+                    begins[k, now] = np.where(k < length[now], begun, False)
+                    over = apart & (k + 1 == length[now])
+                    exits[now[over]] = state[over]
+                    now, state = now[apart & ~over], state[apart & ~over]
+                    if not len(now):
+                        break
+                moved = np.flatnonzero((exits[:-1] != old[:-1]) & (number[1:] > 0))
+                enter[moved + 1] = exits[moved]
+                todo = moved + 1
+            counts[:, j] = np.bincount(part, (begins & inside).sum(axis=0), len(parts))
+            ends[:, j] = exits[np.cumsum(lanes) - 1]
+        return counts, ends
 
 
 def learn(rows: list[dict]) -> Model | None:
     samples: dict[str, list[str]] = {}
-    for r in rows:
-        samples.setdefault(r["label"], []).append(r["text"])
-    most = sorted(samples, key=lambda k: (-len(samples[k]), k))[:MOST_LANGUAGES]
-    out = {}
-    for name in most:
-        words, left = [], SAMPLE
-        for w in pc.list_flatten(words_of(pa.array(samples[name], pa.string()))).to_pylist():
-            if w and left > 0:
-                words.append(w)
-                left -= len(w)
+    for r, t in zip(rows, strings_of(pa.array([r["text"] for r in rows], pa.string()))):
+        words = t.split()
+        if r.get("cut") and len(words) > 2:  # the words at either end may be cut
+            t = f" {' '.join(words[1:-1])} "
         if words:
-            out[name] = words
-    return Model(out) if out else None
+            samples.setdefault(r["label"], []).append(t)
+    return Model(samples) if samples else None
 
 
 def judge(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
     """The winning language of each text, and its score."""
-    n = len(texts)
-    lists = words_of(texts)
-    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
-    coded = pc.dictionary_encode(words)
-    distinct = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    keep = np.array([bool(w) for w in distinct], bool)[index] if len(index) else np.zeros(0, bool)
-    index, owner = index[keep], owner[keep]
-    if model is None or not len(index):
+    n, strings = len(texts), strings_of(texts)
+    if model is None:
         return [UNKNOWN] * n, np.zeros(n)
-    parts, whose = [], []
-    for i, w in enumerate(distinct):
-        for k in range(0, len(w), LONGEST):
-            parts.append(w[k : k + LONGEST])
-            whose.append(i)
-    found = np.zeros((len(distinct), len(model.names)), np.int64)
-    np.add.at(found, whose, model.phrases(parts))
-    letters = np.bincount(owner, np.fromiter(map(len, distinct), np.int64, len(distinct))[index], n)
-    bits = np.stack([np.bincount(owner, found[index, j], n) * b for j, b in enumerate(model.bits)], axis=1)
-    bits /= np.maximum(letters, 1)[:, None]
+    letters = np.array([len(t) - t.count(" ") for t in strings])
+    found = np.zeros((n, len(model.names)), np.int64)
+    group: list[int] = []
+    for i in [*np.flatnonzero(letters).tolist(), None]:
+        if group and (i is None or sum(len(strings[g]) for g in group) + len(strings[i]) > PART):
+            found[group] = _counted([strings[g] for g in group], model)
+            group = []
+        if i is not None:
+            group.append(i)
+    bits = found * np.array(model.bits) / np.maximum(letters, 1)[:, None]
     best = bits.argmin(axis=1)
     share = np.exp(bits.min(axis=1, keepdims=True) - bits)
     score = np.where(letters > 0, 1 / share.sum(axis=1), 0.0)
-    return [model.names[j] if l else UNKNOWN for j, l in zip(best, letters)], score
+    return [model.names[j] if k else UNKNOWN for j, k in zip(best, letters)], score
+
+
+def _counted(strings: list[str], model: Model) -> np.ndarray:
+    """Phrases of each string; a huge one comes alone, and is read in parts of ``PART`` letters, each entered where the one before ends."""
+    if len(strings) > 1 or len(strings[0]) <= PART:
+        codes = model.encode("".join(strings))
+        return model.phrases(np.split(codes, np.cumsum([len(t) for t in strings])[:-1]))[0]
+    total, state = 0, None
+    for k in range(0, len(strings[0]), PART):
+        count, state = model.phrases([model.encode(strings[0][k : k + PART])], state)
+        total = total + count
+    return total
 
 
 def identify(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -191,8 +255,6 @@ def identify(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_
     model = train(sample(docs, allowed, id_col, text_col, lang_col), learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model:
-            model.open()
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
