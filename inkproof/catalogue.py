@@ -234,6 +234,20 @@ def validation_long(spark, d):
     return validate.long_form(_validated(spark, d)).select(ID, "rule_id", "severity", "confidence", joined("fields").alias("fields"))
 
 
+@query
+def validation_extremes(spark, d):
+    """All rules over amounts that no decimal holds, infinities and no numbers."""
+    df = lookup.known_vendors(lookup.duplicates(view(spark, d, "extremes")), _vendors(spark, d))
+    rows = validate.long_form(validate.validate(df, DEFAULT_POLICY, None, NOW))
+    return rows.select(ID, "rule_id", "severity", "confidence", joined("fields").alias("fields"), F.col("reason").isNotNull().alias("reasoned"))
+
+
+@query
+def score_extremes(spark, d):
+    rows = confidence.scores(view(spark, d, "extremes")).select(ID, F.explode("scores").alias("s")).where("s.field in ('subtotal', 'tax_amount', 'total')")
+    return rows.select(ID, "s.field", F.col("s.confidence") > 0, F.col("s.value").isNotNull()).toDF(ID, "field", "sure", "valued")
+
+
 @query
 def validation_failures(spark, d):
     return validate.failures(_validated(spark, d)).select(ID, joined(F.transform("failures", lambda r: r["rule_id"])).alias("failures"))

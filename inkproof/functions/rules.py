@@ -21,7 +21,11 @@ SEVERITIES = ("pass", "warning", "fail", "skipped")
 
 @dataclass(frozen=True)
 class Rule:
-    """``build(params)`` gives the result column; ``retryable``: reading the document again might clear a failure."""
+    """``build(params)`` gives the result column; ``retryable``: reading the document again might clear a failure.
+
+    The rules given here have a result for any value. A rule whose ``build`` raises is skipped with
+    confidence 0; a Python rule (see ``python_rule``) is guarded row by row as well.
+    """
 
     build: Callable[[dict], Column]
     retryable: bool = False
@@ -36,6 +40,14 @@ def outcome(rule_id: str, severity: str, reason: Column | str, fields=(), confid
     )
 
 
+def guarded(rule_id: str, rule: Rule, params: dict) -> Column:
+    """The rule's result; the fault of a rule that can't be built must not stop the others."""
+    try:
+        return rule.build(params)
+    except Exception as e:
+        return outcome(rule_id, "skipped", f"The rule raised {type(e).__name__}.", (), 0.0)
+
+
 def decide(rule_id: str, cases: list[tuple], otherwise: tuple) -> Column:
     """The first case whose condition holds: (condition, severity, reason, fields[, confidence, fix])."""
     chain = None
@@ -54,6 +66,10 @@ def _say(template: str, *values: Column) -> Column:
     return F.concat(*out)
 
 
+# The rates that are standard by default, and the usual form of an invoice number.
+STANDARD_RATES = (0, 5, 8, 12, 18, 20, 28)
+NUMBER_FORM = r"^[A-Za-z0-9][A-Za-z0-9\-_/.]*$"
+
 _items = lambda: F.coalesce(F.col("line_items"), F.array().cast("array<struct<description: string, quantity: double, unit_price: double, amount: double>>"))
 _no_items = lambda: F.size(_items()) == 0
 _zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
@@ -77,13 +93,15 @@ def invoice_total_arithmetic(params: dict) -> Column:
 def subtotal_matches_line_items(params: dict) -> Column:
     me, both, subtotal = "subtotal_matches_line_items", ("line_items", "subtotal"), F.col("subtotal")
     lacking = F.size(F.filter(_items(), lambda x: x["amount"].isNull()))
-    total = F.aggregate(_items(), F.lit(0).cast("decimal(38,4)"), lambda a, x: (a + x["amount"].cast("decimal(18,4)")).cast("decimal(38,4)")).cast("double")
+    exact = "decimal(38,4)"
+    total = F.aggregate(_items(), F.lit(0).cast(exact), lambda a, x: F.try_add(a, x["amount"].try_cast(exact)).try_cast(exact)).cast("double")
     return decide(
         me,
         [
             (subtotal.isNull(), "skipped", "There is no subtotal.", ("subtotal",)),
             (_no_items(), "skipped", "There are no line items.", ("line_items",)),
             (lacking > 0, "warning", _say("{} of {} line items lack an amount.", lacking, F.size(_items())), both, 1.0, "Read the line items again or complete them by hand."),
+            (total.isNull(), "skipped", "The amounts of the line items can't be added.", both, 0.0),
             (F.abs(total - subtotal) <= params.get("tolerance", 0.01), "pass", _say("The line items add up to the subtotal {}.", money(total)), both),
         ],
         ("fail", _say("The line items add up to {}, the subtotal says {}.", money(total), money(subtotal)), both, 1.0, "Look for a line that was missed or read twice."),
@@ -111,7 +129,7 @@ def tax_percentage_plausible(params: dict) -> Column:
     me, both = "tax_percentage_plausible", ("tax_amount", "subtotal")
     subtotal, tax = F.col("subtotal"), F.col("tax_amount")
     percent = tax / subtotal * 100
-    rates = F.array(*(F.lit(float(r)) for r in params.get("known_rates", (0, 5, 8, 12, 18, 20, 28))))
+    rates = F.array(*(F.lit(float(r)) for r in params.get("known_rates", STANDARD_RATES)))
     near = F.exists(rates, lambda r: F.abs(percent - r) <= params.get("rate_tolerance", 0.6))
     shown = F.round(percent, 1)
     return decide(
@@ -219,7 +237,7 @@ def invoice_number_format(params: dict) -> Column:
         [
             (falsy(raw), "skipped", "There is no invoice number.", fields),
             (~F.length(text).between(least, most), "warning", _say(f"'{{}}' has {{}} characters; {least} to {most} are usual.", text, F.length(text)), fields, 1.0, "Compare with the document's head."),
-            (~text.rlike(params.get("pattern", r"^[A-Za-z0-9][A-Za-z0-9\-_/.]*$")), "warning", _say("'{}' has unusual characters.", text), fields, 1.0, "A label or sentence may have been read."),
+            (~text.rlike(params.get("pattern", NUMBER_FORM)), "warning", _say("'{}' has unusual characters.", text), fields, 1.0, "A label or sentence may have been read."),
         ],
         ("pass", _say("'{}' is well formed.", text), fields),
     )
@@ -351,10 +369,10 @@ def python_rule(rule_id: str, evaluate: Callable, inputs: list[str], retryable:
     """A rule written in Python: ``evaluate(row dict, params)`` returns (severity, reason, fields); if it raises, the result is skipped with confidence 0."""
 
     def build(params: dict) -> Column:
-        @F.udf(RESULT)
+        @F.udf(returnType=RESULT, useArrow=True)  # rows come and go in Arrow batches; each is guarded by itself
         def run(row):
             try:
-                severity, reason, fields = evaluate(row.asDict(recursive=True), params)
+                severity, reason, fields = evaluate(row if isinstance(row, dict) else row.asDict(recursive=True), params)
                 return rule_id, severity, reason, 1.0, None, list(fields)
             except Exception as e:  # the rule's own fault must not stop the others
                 return rule_id, "skipped", f"The rule raised {type(e).__name__}.", 0.0, None, []

@@ -63,8 +63,8 @@ def iso_currency(c: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Two decimals, never an exponent."""
-    return c.cast("decimal(38,2)").cast("string")
+    """Two decimals, never an exponent; a number that is too large for that, or none, as Spark writes it."""
+    return F.coalesce(c.try_cast("decimal(38,2)").cast("string"), c.cast("string"))
 
 
 def _trimmed(text: Column) -> Column:
@@ -73,15 +73,15 @@ def _trimmed(text: Column) -> Column:
 
 
 def six_digits(c: Column) -> Column:
-    """A number to six significant digits without trailing zeros, with an exponent outside 1e-4 to 1e6."""
+    """A number to six significant digits without trailing zeros, with an exponent outside 1e-4 to 1e6; infinities and no numbers as Spark writes them."""
     size = F.abs(c)
-    wide = F.when(size == 0, F.lit("0"))
+    wide = F.when(size >= F.lit(float("inf")), c.cast("string")).when(size == 0, F.lit("0"))  # no number is greater than any other
     for e in range(-4, 6):
         top = 10.0 ** (e + 1) - 0.5 * 10.0 ** (e - 5)  # from here on it rounds up to one more digit
-        wide = wide.when((size < top) & (size >= 10.0**-4), _trimmed(c.cast(f"decimal(38,{5 - e})").cast("string")))
+        wide = wide.when((size < top) & (size >= 10.0**-4), _trimmed(c.try_cast(f"decimal(38,{5 - e})").cast("string")))
     e = F.floor(F.log10(size)).cast("int")
     e = F.when(F.round(size / F.pow(F.lit(10.0), e), 5) >= 10, e + 1).otherwise(e)
-    mantissa = _trimmed((c / F.pow(F.lit(10.0), e)).cast("decimal(38,5)").cast("string"))
+    mantissa = _trimmed((c / F.pow(F.lit(10.0), e)).try_cast("decimal(38,5)").cast("string"))
     return wide.otherwise(F.concat(mantissa, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0")))
 
 
@@ -94,6 +94,6 @@ def grounded_text(value: Column, source: Column) -> Column:
 def grounded_number(value: Column, source: Column) -> Column:
     """One of the ways to write the number occurs in the source."""
     low = F.lower(source)
-    forms = F.array(six_digits(value), money(value), F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")))
+    forms = F.array(six_digits(value), money(value), F.when(value == F.rint(value), value.try_cast("decimal(38,0)").cast("string")))
     found = F.exists(forms, lambda f: f.isNotNull() & F.contains(low, f))
     return F.coalesce(value.isNotNull() & ~falsy(source) & found, F.lit(False))

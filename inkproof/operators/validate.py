@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import RULES, SEVERITIES, Rule
+from ..functions.rules import RULES, SEVERITIES, Rule, guarded
 from ..plans.shape import built_once, settled
 
 _BAD = ("fail", "warning")
@@ -27,7 +27,7 @@ def results(policy: dict[str, dict], rules: dict[str, Rule] | None = None, extra
         own = policy.get(rule_id, {})
         if own.get("enabled", True):
             params = (own.get("params") or {}) | (extra or {})
-            make = lambda: _overridden(rules[rule_id].build(params), own.get("severity"))  # noqa: B023, E731
+            make = lambda: _overridden(guarded(rule_id, rules[rule_id], params), own.get("severity"))  # noqa: B023, E731
             given = rules[rule_id] is RULES.get(rule_id)
             out.append(built_once((rule_id, params, own.get("severity")), make) if given else make())
     return F.array(*out)

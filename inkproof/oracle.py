@@ -70,6 +70,7 @@ def _rule(cases: list[tuple[str, str, str]], last: tuple[str, str], confidence:
     return _case(*((c, f"'{s}'") for c, s, _ in cases), last=f"'{last[0]}'"), _case(*((c, quote(f)) for c, _, f in cases), last=quote(last[1])), confidence
 
 
+_UNADDED = "len([x for x in line_items if TRY_CAST(x.amount AS DECIMAL(38,4)) IS NULL]) > 0"
 _ITEMLESS = ("len(line_items) = 0", "skipped", "line_items")
 RULES = {
     "currency_valid": _rule(
@@ -102,9 +103,11 @@ RULES = {
             ("subtotal IS NULL", "skipped", "subtotal"),
             _ITEMLESS,
             ("len([x for x in line_items if x.amount IS NULL]) > 0", "warning", "line_items,subtotal"),
-            ("abs(CAST(list_sum([CAST(x.amount AS DECIMAL(18,4)) for x in line_items]) AS DOUBLE) - subtotal) <= 0.01", "pass", "line_items,subtotal"),
+            (_UNADDED, "skipped", "line_items,subtotal"),
+            ("abs(CAST(list_sum([TRY_CAST(x.amount AS DECIMAL(38,4)) for x in line_items]) AS DOUBLE) - subtotal) <= 0.01", "pass", "line_items,subtotal"),
         ],
         ("fail", "line_items,subtotal"),
+        f"CASE WHEN subtotal IS NOT NULL AND len([x for x in line_items if x.amount IS NULL]) = 0 AND {_UNADDED} THEN 0.0 ELSE 1.0 END",
     ),
     "tax_percentage_plausible": _rule(
         [("subtotal IS NULL OR tax_amount IS NULL", "skipped", "subtotal,tax_amount"), ("subtotal <= 0", "skipped", "subtotal"), (f"{_PCT} > 30", "fail", "tax_amount,subtotal"), (_NEAR, "pass", "tax_amount,subtotal")],
@@ -198,6 +201,7 @@ def _chain(p: str, source: str) -> list[tuple[str, str]]:
 
 
 _BASE = (_view("invoices"), INV)
+_EXTREMES = (_view("invoices"), ("extremes", text_of("extremes", "ansi")), (INV[0], INV[1].replace("FROM invoices", "FROM extremes")))
 _LONG = (*_BASE, _long("long", "inv"))
 _SUMS = (*_LONG, _sum_up("sums", "long"))
 _SCORES = (_view("invoices"), _scores("scores", "invoices"))
@@ -322,6 +326,8 @@ def oracle_sql() -> dict[str, str]:
         "validation_report": _with(*_SUMS) + " SELECT * FROM sums",
         "validation_counts": _with(*_SUMS) + ' SELECT document_id, n_pass AS "pass", n_warning AS warning, n_fail AS fail, n_skipped AS skipped FROM sums',
         "validation_long": _with(*_LONG) + " SELECT * FROM long",
+        "validation_extremes": _with(*_EXTREMES, _long("long", "inv")) + " SELECT *, true AS reasoned FROM long",
+        "score_extremes": _with(*_EXTREMES) + " SELECT document_id, field, v IS NOT NULL AS sure, v IS NOT NULL AS valued FROM (" + " UNION ALL ".join(f"SELECT document_id, '{f}' AS field, {f} AS v FROM inv" for f in ("subtotal", "tax_amount", "total")) + ")",
         "validation_failures": _with(*_LONG) + " SELECT document_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (severity = 'fail'), '') AS failures FROM long GROUP BY document_id",
         "custom_rule": _with(_view("invoices"), ("long", "SELECT document_id, CASE WHEN len(line_items) <= 5 THEN 'pass' ELSE 'warning' END AS severity FROM invoices UNION ALL SELECT document_id, " + RULES["zero_total"][0] + " FROM invoices"), _sum_up("sums", "long")) + " SELECT * FROM sums",
         "duplicates_prior": _with(*_BASE, ("k", f"SELECT document_id, received_at, seq, CASE WHEN {_KEYLESS} THEN document_id || '!' ELSE lower(trim(vendor_name)) END AS v, CASE WHEN {_KEYLESS} THEN document_id ELSE lower(trim(invoice_number)) END AS n FROM inv"), ("r", "SELECT *, row_number() OVER w AS rn, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM k WINDOW w AS (PARTITION BY v, n ORDER BY received_at, seq)"))

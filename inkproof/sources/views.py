@@ -38,6 +38,7 @@ TOKENS = {
         "END": "",
         "BIN": "encode(",
         "ENDB": ", 'UTF-8')",
+        "HUGE": "transform(line_items, x -> struct(x.description AS description, x.quantity * 1e30D AS quantity, x.unit_price AS unit_price, x.amount * 1e33D AS amount))",
         "PAGES": "explode(sequence(1, CAST((LENGTH(text) + 399) DIV 400 AS INT)))",
     },
     "ansi": {
@@ -53,6 +54,7 @@ TOKENS = {
         "END": ")",
         "BIN": "encode(",
         "ENDB": ")",
+        "HUGE": "[{'description': x.description, 'quantity': x.quantity * 1e30::DOUBLE, 'unit_price': x.unit_price, 'amount': x.amount * 1e33::DOUBLE} for x in line_items]",
         "PAGES": "CAST(unnest(range(1, (LENGTH(text) + 399) // 400 + 1)) AS INT)",
     },
 }
@@ -152,6 +154,14 @@ SELECT document_id, seq,
   CASE WHEN seq % 5 = 1 THEN 'vendor is at the top' ELSE NULL END AS retry_hint,
   CASE WHEN seq % 4 = 0 THEN false ELSE true END AS has_reprocessor
 FROM invoices
+""",
+    "extremes": r"""
+SELECT document_id, seq, received_at, invoice_number, invoice_date, vendor_name, vendor_tax_id, currency,
+  CASE seq % 7 WHEN 0 THEN CAST('1e36' AS DOUBLE) WHEN 1 THEN CAST('-Infinity' AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE subtotal END AS subtotal,
+  CASE seq % 11 WHEN 0 THEN CAST('1e36' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) ELSE tax_amount END AS tax_amount, discount,
+  CASE seq % 6 WHEN 0 THEN CAST('1e36' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) WHEN 3 THEN CAST('-1e40' AS DOUBLE) ELSE total END AS total,
+  CASE WHEN seq % 5 = 0 THEN {HUGE} ELSE line_items END AS line_items, injection_flags, source_text
+FROM invoices
 """,
     "documents_state": r"""
 SELECT CAST(doc_id AS {STR}) AS document_id,
@@ -173,14 +183,14 @@ FROM pages
 
 
 def text_of(name: str, dialect: str) -> str:
-    """The view's SQL. ``responses`` and ``proposals`` read ``invoices``."""
+    """The view's SQL. ``responses``, ``proposals`` and ``extremes`` read ``invoices``."""
     return re.sub(r"\{(%s)\}" % "|".join(TOKENS[dialect]), lambda m: TOKENS[dialect][m[1]], VIEWS[name])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in ``sf_dir``."""
     sql = text_of(name, "spark")
-    if name in ("responses", "proposals"):
+    if name in ("responses", "proposals", "extremes"):
         sql = re.sub(r"\bFROM invoices\b", "FROM (" + text_of("invoices", "spark") + ")", sql)
     tables = "|".join(TABLES)
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({tables})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))
