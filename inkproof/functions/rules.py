@@ -144,13 +144,18 @@ def tax_percentage_plausible(params: dict) -> Column:
     )
 
 
+def _date(params: dict) -> Column:
+    """The invoice's date, parsed here or, if ``params`` name a column for it, before."""
+    return F.col(params["date"]) if params.get("date") else parse_date(F.col("invoice_date"))
+
+
 def date_format_valid(params: dict) -> Column:
     me, fields, raw = "date_format_valid", ("invoice_date",), F.col("invoice_date")
     return decide(
         me,
         [
             (falsy(raw), "skipped", "There is no invoice date.", fields),
-            (parse_date(raw).isNull(), "fail", _say("'{}' is no date in a known form.", raw), fields, 1.0, "Write it like 2024-12-31."),
+            (_date(params).isNull(), "fail", _say("'{}' is no date in a known form.", raw), fields, 1.0, "Write it like 2024-12-31."),
         ],
         ("pass", _say("'{}' is a date.", raw), fields),
     )
@@ -161,7 +166,7 @@ def _now(params: dict) -> Column:
 
 
 def future_date(params: dict) -> Column:
-    me, fields, parsed = "future_date", ("invoice_date",), parse_date(F.col("invoice_date"))
+    me, fields, parsed = "future_date", ("invoice_date",), _date(params)
     ahead = whole_days(parsed, _now(params))
     return decide(
         me,
@@ -174,7 +179,7 @@ def future_date(params: dict) -> Column:
 
 
 def stale_date(params: dict) -> Column:
-    me, fields, parsed, most = "stale_date", ("invoice_date",), parse_date(F.col("invoice_date")), params.get("max_age_days", 365)
+    me, fields, parsed, most = "stale_date", ("invoice_date",), _date(params), params.get("max_age_days", 365)
     age = whole_days(_now(params), parsed)
     return decide(
         me,

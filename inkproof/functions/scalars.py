@@ -18,10 +18,13 @@ DATE_PATTERNS = (
     "MMMM d, yyyy",
 )
 
+#: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
     """Without white space (any Unicode) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def key(c: Column) -> Column:
@@ -47,9 +50,14 @@ def present(c: Column, kind: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The timestamp (without zone) of the first pattern that reads the whole text, or null."""
+    """The timestamp (without zone) of the first pattern that reads the whole text, or null.
+
+    A pattern is tried only on texts with its separator, as a failed try is dear.
+    """
     text = F.regexp_replace(strip(c), r"(?U)\s+", " ")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS)).cast("timestamp_ntz")
+    sign = lambda p: next(x for x in ",-/ " if x in p)
+    tries = (F.when(F.contains(text, F.lit(sign(p))), F.try_to_timestamp(text, F.lit(p))) for p in DATE_PATTERNS)
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
@@ -85,15 +93,15 @@ def six_digits(c: Column) -> Column:
     return wide.otherwise(F.concat(mantissa, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0")))
 
 
-def grounded_text(value: Column, source: Column) -> Column:
-    """The stripped value occurs in the source, whatever the case; never in a null or empty source."""
-    found = F.contains(F.lower(source), key(value))
+def grounded_text(value: Column, source: Column, low: Column | None = None) -> Column:
+    """The stripped value occurs in the source, whatever the case; never in a null or empty source. ``low``: the source in lower case, if it is there."""
+    found = F.contains(F.lower(source) if low is None else low, key(value))
     return F.coalesce(~blank(value) & ~falsy(source) & found, F.lit(False))
 
 
-def grounded_number(value: Column, source: Column) -> Column:
+def grounded_number(value: Column, source: Column, low: Column | None = None) -> Column:
     """One of the ways to write the number occurs in the source."""
-    low = F.lower(source)
-    forms = F.array(six_digits(value), money(value), F.when(value == F.rint(value), value.try_cast("decimal(38,0)").cast("string")))
-    found = F.exists(forms, lambda f: f.isNotNull() & F.contains(low, f))
-    return F.coalesce(value.isNotNull() & ~falsy(source) & found, F.lit(False))
+    low = F.lower(source) if low is None else low
+    whole = F.when(value == F.rint(value), value.try_cast("decimal(38,0)").cast("string"))
+    has = lambda form: F.coalesce(F.contains(low, form), F.lit(False))
+    return F.coalesce(value.isNotNull() & ~falsy(source) & (has(money(value)) | has(whole) | has(six_digits(value))), F.lit(False))

@@ -27,11 +27,11 @@ def _score(field: str, value: Column, confidence: Column, signals: Column) -> Co
     return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), confidence.cast("double").alias("confidence"), signals.alias("signals"))
 
 
-def field_score(field: str, kind: str, source: str = "source_text", valid: Column | None = None) -> Column:
+def field_score(field: str, kind: str, source: str = "source_text", valid: Column | None = None, low: Column | None = None) -> Column:
     """0 if absent; else 0.5, 0.3 more if grounded in the source, and 0.2 more or less for its form."""
     value = F.col(field)
     there = present(value, kind)
-    grounded = grounded_text(value, F.col(source)) if kind == "text" else grounded_number(value, F.col(source))
+    grounded = (grounded_text if kind == "text" else grounded_number)(value, F.col(source), low)
     form = F.lit(0.2) if valid is None else F.when(valid, 0.2).otherwise(-0.2)
     told = F.lit(NO_RULE) if valid is None else F.when(valid, VALID).otherwise(INVALID)
     confidence = F.when(there, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + F.when(grounded, 0.3).otherwise(0.0) + form))).otherwise(0.0)
@@ -65,17 +65,19 @@ def _weighed(score: Column) -> Column:
 
 def scores(df: DataFrame, source: str = "source_text") -> DataFrame:
     """Add ``scores``, an array with one score for each field in fixed order."""
+    low = F.col("_low")
     make = lambda: [
-        field_score("invoice_number", "text", source),
-        field_score("invoice_date", "text", source, parse_date(F.col("invoice_date")).isNotNull()),
-        field_score("vendor_name", "text", source),
-        field_score("currency", "text", source, iso_currency(F.col("currency"))),
-        field_score("subtotal", "number", source),
-        field_score("tax_amount", "number", source),
-        field_score("total", "number", source),
+        field_score("invoice_number", "text", source, None, low),
+        field_score("invoice_date", "text", source, F.col("_dated"), low),
+        field_score("vendor_name", "text", source, None, low),
+        field_score("currency", "text", source, iso_currency(F.col("currency")), low),
+        field_score("subtotal", "number", source, None, low),
+        field_score("tax_amount", "number", source, None, low),
+        field_score("total", "number", source, None, low),
         items_score(),
     ]
-    df = settled(df.withColumn("_scores", built_once(("scores", source), lambda: F.array(*make()))), "_scores")
+    df = settled(df.withColumn("_low", F.lower(source)).withColumn("_dated", parse_date(F.col("invoice_date")).isNotNull()), "_low", "_dated")
+    df = settled(df.withColumn("_scores", built_once(("scores", source), lambda: F.array(*make()))).drop("_low", "_dated"), "_scores")
     weighed = built_once(("weighed",), lambda: F.transform("_scores", _weighed))
     return settled(df.withColumn("scores", weighed).drop("_scores"), "scores")
 

@@ -8,28 +8,51 @@ from pyspark.sql import functions as F
 from ..functions.scalars import falsy, key
 
 
-def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id") -> DataFrame:
+def invoice_keys(invoices: DataFrame, order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id") -> DataFrame:
+    """``id, _v, _n`` (vendor and number as they are compared) and the columns of ``order``, of the rows that have both."""
+    keyless = falsy(F.col("vendor_name")) | falsy(F.col("invoice_number"))
+    return invoices.where(~keyless).select(id_col, key(F.col("vendor_name")).alias("_v"), key(F.col("invoice_number")).alias("_n"), *order)
+
+
+def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id", earlier: DataFrame | None = None) -> DataFrame:
     """Add ``duplicate_count`` and ``duplicate_ids`` (the first three in processing order).
 
-    ``prior``: only documents processed before count; ``any``: all others. Rows without vendor or
-    number match nothing and are dealt out by their own id, so they make no hot group.
+    ``prior``: only documents processed before count; ``any``: all others. ``earlier``: rows of
+    ``invoice_keys`` that were processed before all of these. Rows without vendor or number match
+    nothing. Only ids and keys are ranked, within the days of a vendor and number; days are then
+    summed up, so an invoice number that millions share isn't one task's work. What is found is
+    joined back by id: whole invoices are never gathered by their keys.
     """
     if scope not in ("prior", "any"):
         raise ValueError(f"unknown scope: {scope}")
-    keyless = falsy(F.col("vendor_name")) | falsy(F.col("invoice_number"))
-    own = F.when(keyless, F.concat(F.lit("\0"), F.col(id_col)))
-    keys = [F.coalesce(own, key(F.col("vendor_name"))), F.coalesce(own, key(F.col("invoice_number")))]
-    ranked = Window.partitionBy(*keys).orderBy(*order)
-    first = F.when(F.row_number().over(ranked) <= (3 if scope == "prior" else 4), F.col(id_col))
-    out = invoices.withColumn("_first", first)
+    most = 3 if scope == "prior" else 4
+    mine = invoice_keys(invoices, order, id_col).withColumn("_late", F.lit(1))
+    rows = mine if earlier is None else mine.unionByName(earlier.withColumn("_late", F.lit(0)))
+    temporal = dict(invoices.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz")
+    rows = rows.withColumn("_day", F.col(order[0]).cast("date") if temporal else F.lit(0))
+    group, sorted_ = ["_v", "_n", "_late", "_day"], ["_late", "_day"]
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    first = F.when(F.col("_k") <= most, F.struct("_k", F.col(id_col).alias("_id")))
+    days = ranked.groupBy(*group).agg(F.count("*").alias("_in_day"), F.array_sort(F.collect_list(first)).alias("_firsts"))
+    before = Window.partitionBy("_v", "_n").orderBy(*sorted_).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_in_day").over(before), F.lit(0)))
+    ids = lambda c: F.transform(c, lambda x: x["_id"])
+    early = F.collect_list(F.when(F.col("_before") < most, F.col("_firsts")))
     if scope == "prior":
-        before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("duplicate_count", F.count("*").over(before)).withColumn("duplicate_ids", F.collect_list("_first").over(before))
+        days = days.withColumn("_ids", ids(F.flatten(early.over(before))))
+        counted = F.col("_before") + F.col("_k") - 1
+        found = F.concat("_ids", ids(F.filter("_firsts", lambda x: x["_k"] < F.col("_k"))))
     else:
-        group = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        others = F.filter(F.collect_list("_first").over(group), lambda x: x != F.col(id_col))
-        out = out.withColumn("duplicate_count", F.count("*").over(group) - 1).withColumn("duplicate_ids", F.slice(others, 1, 3))
-    return out.drop("_first")
+        whole = Window.partitionBy("_v", "_n")
+        days = days.withColumn("_ids", F.flatten(early.over(whole.orderBy(*sorted_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+        days = days.withColumn("_ids", ids(F.slice("_ids", 1, most))).withColumn("_all", F.sum("_in_day").over(whole))
+        counted = F.col("_all") - 1
+        found = F.filter("_ids", lambda x: x != F.col(id_col))
+    near = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    pairs = ranked.where("_late = 1").alias("r").join(days.alias("d"), near[0] & near[1] & near[2] & near[3])
+    hits = pairs.select(F.col(id_col).alias("_hit"), counted.alias("duplicate_count"), F.slice(found, 1, 3).alias("duplicate_ids")).where("duplicate_count > 0")
+    out = invoices.join(hits, F.col(id_col) == F.col("_hit"), "left").drop("_hit")
+    return out.withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0).cast("long"))).withColumn("duplicate_ids", F.coalesce("duplicate_ids", F.array().cast("array<string>")))
 
 
 def vendor_keys(vendors: DataFrame, name: str = "vendor_name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, SEVERITIES, Rule, guarded
+from ..functions.scalars import parse_date
 from ..plans.shape import built_once, settled
 
 _BAD = ("fail", "warning")
@@ -34,8 +35,9 @@ def results(policy: dict[str, dict], rules: dict[str, Rule] | None = None, extra
 
 
 def validate(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> DataFrame:
-    """Add ``results``, ``counts`` (of all four severities) and ``overall``."""
-    made = invoices.withColumn("results", results(policy, rules, extra | {"now": now}))
+    """Add ``results``, ``counts`` (of all four severities) and ``overall``. The date is parsed once for all rules."""
+    dated = settled(invoices.withColumn("_date", parse_date(F.col("invoice_date"))), "_date")
+    made = dated.withColumn("results", results(policy, rules, extra | {"now": now, "date": "_date"})).drop("_date")
     return summarise(settled(made, "results"))
 
 

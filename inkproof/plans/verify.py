@@ -19,15 +19,16 @@ def verify(
     strategy: str = "min_gated",
     threshold: float = review.THRESHOLD,
     rules: dict[str, Rule] | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add lookups, ``confidence``, ``results``, ``counts``, ``overall``, ``needs_review`` and ``status``.
 
-    One lazy plan: a window over vendor and number, a join with the vendors, and projections. The
-    source text is needed by the scores only, so they come before the shuffle of the window. A
-    missing directory or ``scope=None`` skips its rule.
+    One lazy plan: the lookup of duplicates over ids and keys, joined back; a join with the vendors;
+    and projections. The source text is needed by the scores only. A missing directory or
+    ``scope=None`` skips its rule. ``earlier``: keys of invoices that were processed before these.
     """
     df = confidence.report(invoices, strategy)
-    df = lookup.duplicates(df, scope) if scope else df
+    df = lookup.duplicates(df, scope, earlier=earlier) if scope else df
     df = lookup.known_vendors(df, vendors) if vendors is not None else df
     df = validate.validate(df, DEFAULT_POLICY if policy is None else policy, rules, now, lookup=bool(scope), directory=vendors is not None)
     df = df.withColumn("needs_review", review.needs_review(threshold))
