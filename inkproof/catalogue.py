@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -410,47 +410,45 @@ def rate_rejected(spark, d):
 
 @query
 def stream_rate(spark, d):
+    """The windows that were left over or updated last: each batch's changed windows are stored, the latest count of each stands."""
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = f"{_folder(spark)}"
+    base = _folder(spark)
 
     def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/counts/{number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/counts/number={number}")
 
-    q = rates.counts(stream, "user_id", "ts", 4, "1 day").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q = rates.counts(stream, "user_id", "ts", 4, "1 day").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.read.parquet(f"{base}/counts/{q.lastProgress['batchId']}")
-    return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    got = spark.read.parquet(f"{base}/counts").groupBy("user_id", "window_start").agg(F.max(F.struct("batch", "n", "over_limit")).alias("x"))
+    return got.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "x.n", "x.over_limit")
 
 
 def _folder(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{state.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query
 def stream_verify(spark, d):
-    """The invoices as files that arrive; the stored rows equal the batch's."""
+    """The invoices as files that arrive one by one; the stored rows equal those of one batch."""
     base, vendors = _folder(spark), _vendors(spark, d)
-    landing = _invoices(spark, d)
-    landing.write.parquet(f"{base}/landing")
+    landing = state.stored(_invoices(spark, d))
+    at = F.unix_date(F.col("received_at").cast("date"))
+    cuts = landing.agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    place = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(4):  # later files have later invoices, so processing order is that of receipt
+        landing.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{base}/landing")
 
     def flow(batch, earlier):
-        got = verify(batch, vendors, now=NOW)
-        return got.select(ID, "overall", "confidence", "needs_review", "status")
+        return verify(batch, vendors, now=NOW, earlier=earlier).select(ID, "overall", "confidence", "needs_review", "status")
 
-    stream = arrivals.record_stream(spark, f"{base}/landing", landing.schema)
-    arrivals.run(stream, flow, f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    stream = arrivals.record_stream(spark, f"{base}/landing", landing.schema, files_per_batch=1)
+    arrivals.run(stream, flow, f"{base}/store", f"{base}/checkpoint", keys=lookup.invoice_keys).awaitTermination()
     return arrivals.stored_rows(spark, f"{base}/store").selectExpr(*_VERIFIED)
 
 
 def _stores(spark, d):
-    docs, v = view(spark, d, "documents_state"), _verified(spark, d)
+    docs, v = view(spark, d, "documents_state"), state.stored(_verified(spark, d).select(ID, "invoice_number", "total", "overall", "needs_review"))
     return docs, v.select(ID, "invoice_number", "total"), v.select(ID, "overall"), v.where("needs_review").select(ID, F.lit("escalate").alias("decision"))
 
 

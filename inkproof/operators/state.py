@@ -5,22 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.records import FINISHED
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder (``spark.checkpoint.dir``, or one of our own if unset)."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; on one machine one of our own if unset."""
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unfinished(documents: DataFrame, states: DataFrame, id_col: str = "document_id") -> DataFrame:

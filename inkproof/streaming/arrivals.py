@@ -4,33 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders over which the ids and keys of each batch are dealt out; a batch reads only the folders it needs.
+FOLDERS = 64
 
-def record_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
 
+def record_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
-def run(stream: DataFrame, flow: Callable[[DataFrame, DataFrame | None], DataFrame], store: str, checkpoint: str, id_col: str = "document_id"):
-    """Start the query. ``flow(batch, earlier)`` gives a batch's rows; ``earlier`` has the stored rows, or is None.
 
-    A batch goes to a folder of its own number, so running it again overwrites its own rows only.
+def _folder(names: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(FOLDERS)).cast("int")
+
+
+def _before(spark: SparkSession, path: str, number: int, wanted: DataFrame, names: tuple[str, ...]) -> DataFrame | None:
+    """The index rows of earlier batches in the folders that ``wanted`` needs; None if nothing is there."""
+    folders = [r[0] for r in wanted.select(_folder(names).alias("folder")).distinct().collect()]  # FOLDERS at most
+    try:
+        stored = spark.read.parquet(path)
+    except Exception as e:  # nothing is stored yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    return stored.where(F.col("folder").isin(folders) & (F.col("batch") < number)).drop("folder", "batch")
+
+
+def _index(rows: DataFrame, path: str, number: int, names: tuple[str, ...]) -> None:
+    rows.withColumn("folder", _folder(names)).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/batch={number}")
+
+
+def run(
+    stream: DataFrame,
+    flow: Callable[[DataFrame, DataFrame | None], DataFrame],
+    store: str,
+    checkpoint: str,
+    id_col: str = "document_id",
+    keys: Callable[[DataFrame], DataFrame] | None = None,
+    key_cols: tuple[str, ...] = ("_v", "_n"),
+):
+    """Start the query. ``flow(batch, earlier)`` gives a batch's rows; documents that an earlier batch had are left out.
+
+    ``earlier``: what ``keys`` gave of the documents of earlier batches, as far as their folders of
+    ``key_cols`` are this batch's; None without ``keys`` or before anything is stored. Rows, ids
+    and keys of a batch go to folders of its own number, so running it again overwrites its own
+    only, and sees the same earlier ones.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         try:
-            earlier = spark.read.option("recursiveFileLookup", True).parquet(store).where(F.col("_batch") < number)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            earlier = None
-        fresh = batch if earlier is None else batch.join(earlier.select(id_col), id_col, "left_anti")
-        flow(fresh, earlier).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+            known = _before(spark, f"{store}/ids", number, batch, (id_col,))
+            fresh = batch if known is None else batch.join(known, id_col, "left_anti")
+            mine = keys(fresh) if keys else None
+            earlier = _before(spark, f"{store}/keys", number, mine, key_cols) if keys else None
+            flow(fresh, earlier).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+            if keys:
+                _index(mine, f"{store}/keys", number, key_cols)
+            _index(fresh.select(id_col), f"{store}/ids", number, (id_col,))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).parquet(store).drop("_batch")
+    return spark.read.parquet(f"{store}/rows").drop("batch")

@@ -8,5 +8,9 @@ from ..operators.state import window_counts
 
 
 def counts(stream: DataFrame, key: str, at: str, limit: int, length: str = "1 minute", late: str = "2 minutes") -> DataFrame:
-    """Counts with a watermark; state of windows that it has passed is dropped, and later rows with it."""
+    """Counts with a watermark, to be written in append or update mode.
+
+    Append gives a window once, when the watermark has passed it, and then drops its state; requests
+    that come later still are left out. (Complete mode would keep every window's state.)
+    """
     return window_counts(stream.withWatermark(at, late), key, at, limit, length)
