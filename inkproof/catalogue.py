@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from .functions import scalars
 from .functions.rules import RULES, Rule, decide
 from .operators import confidence, export, extract, ingest, listing, lookup, review, state, texts, validate
 from .plans.verify import verify
+from .sources import readers
 from .sources.readers import DEFAULT_POLICY, policy_table
 from .sources.views import NOW, view
 from .streaming import arrivals, rates
@@ -50,6 +52,39 @@ def _verified(spark: SparkSession, d: str, **options) -> DataFrame:
     return verify(_invoices(spark, d), _vendors(spark, d), now=NOW, **options)
 
 
+@query
+def source_files(spark, d):
+    """The pages written as files, scanned as bytes."""
+    path = _folder(spark)
+    spark.read.parquet(f"{d}/pages.parquet").select(F.coalesce("html", F.lit("")).alias("html")).write.text(path)
+    found = readers.files(spark, path).where("path like '%part-%'")
+    return found.agg(F.sum("length").alias("total_bytes"), F.sum(F.octet_length("content").cast("long")).alias("read_bytes"))
+
+
+@query
+def source_vendors(spark, d):
+    """The suppliers' names written one a line, with blanks and empty lines, and read as a vendor list."""
+    path = _folder(spark)
+    names = spark.read.parquet(f"{d}/supplier.parquet").select(F.when(F.col("s_suppkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name", F.lit("\t"))).alias("value"))
+    names.write.text(path)
+    return readers.vendors(spark, path)
+
+
+@query
+def source_table(spark, d):
+    return readers.table(spark, f"{d}/documents.parquet", "lang", "en").select("doc_id", "source")
+
+
+@query
+def policy_effects(spark, d):
+    """A policy written as a file and read again: what it switches off or moves, counted over all results."""
+    path = f"{_folder(spark)}.json"
+    own = {"zero_total": {"enabled": False}, "stale_date": {"severity": "fail"}, "tax_percentage_plausible": {"severity": "warning"}}
+    spark.createDataFrame([(json.dumps({"rules": own}),)], "value string").coalesce(1).write.text(path)
+    rows = validate.apply_policy(validate.long_form(_validated(spark, d, {})), policy_table(spark, readers.policy(spark, path)))
+    return rows.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 @query
 def ingest_sniff(spark, d):
     got = ingest.envelopes(ingest.classify(view(spark, d, "files"), max_bytes=2000), "page_id", "original_filename")
@@ -126,16 +161,21 @@ def extract_attempts(spark, d):
 
 @query
 def batch_infer(spark, d):
-    """A stand-in for a model server: it answers with what it finds in the prompt."""
+    """A stand-in for a model server: it answers with what the whole prompt says, and for some texts only when asked in firmer words."""
 
     def model():
         import json
-        import re
 
-        return lambda prompt: json.dumps({"vendor_name": re.split(r"TEXT START ===\n", prompt)[-1][:20].strip()})
+        def answer(prompt):
+            text = prompt.split("=== DOCUMENT TEXT START ===\n", 1)[1].rsplit("\n=== DOCUMENT TEXT END ===", 1)[0]
+            if len(text) % 3 == 0 and not prompt.endswith(extract.FIRMER):
+                return "I can't say."
+            return json.dumps({"vendor_name": text[:20].strip(), "total": len(text)})
+
+        return answer
 
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias(ID), texts.prompt(texts.normalise(F.col("text"))).alias("prompt"))
-    return extract.extract(docs, "prompt", model).select(ID, "data.vendor_name", "parse_attempts", "parse_error")
+    return extract.extract(docs, "prompt", model).select(ID, "data.vendor_name", "data.total", "parse_attempts", "parse_error")
 
 
 @query
@@ -342,6 +382,19 @@ def _reviewed(spark, d):
     return review.review(wanted, propose, reprocess)
 
 
+@query
+def proposal_parse(spark, d):
+    got = review.proposals(view(spark, d, "answers"))
+    return got.select(ID, "proposed", "reasoning", joined("suspicious_fields").alias("suspicious_fields"), "retry_hint")
+
+
+@query
+def latest_records(spark, d):
+    """The stored records after the review: those of the last reading."""
+    again = _reviewed(spark, d).where("attempts > 1").select(ID, "vendor_name", "overall")
+    return review.latest(_verified(spark, d).select(ID, "vendor_name", "overall"), again)
+
+
 @query
 def review_loop(spark, d):
     return _reviewed(spark, d).select(ID, "decision", "attempts", "overridden", "override_reason")
@@ -466,6 +519,11 @@ def doc_detail(spark, d):
     return _flat(listing.details(*_stores(spark, d)))
 
 
+@query
+def doc_lookup(spark, d):
+    return listing.one(view(spark, d, "documents_state"), "7").select(ID, "status", "original_filename")
+
+
 @query
 def doc_count(spark, d):
     return listing.count(view(spark, d, "documents_state"), "completed")

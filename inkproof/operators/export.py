@@ -37,12 +37,28 @@ def json_text(df: DataFrame, with_evidence: bool = False, id_col: str = "documen
         parts += [F.col("confidence"), F.struct("overall", "results", "counts").alias("validation"), F.struct("decision", "reasoning").alias("review")]
     return df.select(id_col, F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
 
+def _number(c: Column) -> Column:
+    """As a double is usually written, without an exponent up to 1e15."""
+    wide = F.regexp_replace(c.try_cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(c).between(1e7, 1e15), wide).otherwise(c.cast("string"))
+
+def _xml_value(c: Column) -> Column:
+    """A value's text in an element, on one line; null is empty."""
+    out = c
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return F.coalesce(out, F.lit(""))
+
+def _element(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
 def xml_text(df: DataFrame, id_col: str = "document_id") -> DataFrame:
-    """``xml``: an invoice element with the id as attribute; null is an empty element."""
-    lines = F.struct(F.transform("line_items", lambda x: F.struct(*(x[f].alias(f) for f in ("description", "quantity", "unit_price", "amount")))).alias("lineItem"))
-    record = F.struct(F.col(id_col).alias("_documentId"), *HEADER_FIELDS, lines.alias("lineItems"))
-    body = F.to_xml(record, {"rowTag": "invoice", "nullValue": ""})
-    return df.select(id_col, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), body).alias("xml"))
+    """``xml``: the declaration and, on a line of its own, an invoice element with the id as attribute; null is an empty element."""
+    header = [_element(f, _xml_value(F.col(f) if f in TEXT_FIELDS else _number(F.col(f)))) for f in HEADER_FIELDS]
+    item = lambda x: _element("lineItem", F.concat(_element("description", _xml_value(x["description"])), *(_element(f, _xml_value(_number(x[f]))) for f in ("quantity", "unit_price", "amount"))))
+    items = F.coalesce(F.array_join(F.transform("line_items", item), ""), F.lit(""))
+    root = F.concat(F.lit('<invoice documentId="'), _xml_value(F.col(id_col).cast("string")), F.lit('">'), *header, _element("lineItems", items), F.lit("</invoice>"))
+    return df.select(id_col, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), root).alias("xml"))
 
 def field_values(df: DataFrame, id_col: str = "document_id") -> DataFrame:
     """``field, value`` for each header field."""
@@ -79,7 +95,7 @@ def write(df: DataFrame, format_id: str, path: str, with_evidence: bool = False)
     elif format_id == "json":
         json_text(df, with_evidence).select("json").write.text(path)
     elif format_id == "xml":
-        xml_text(df).select(F.regexp_replace("xml", r"\n\s*", "").alias("value")).write.text(path)
+        xml_text(df).select(F.replace("xml", F.lit("\n"), F.lit("")).alias("value")).write.text(path)  # only the declaration ends a line
     else:
         sheets = {"fields": field_values(df), "line_items": line_items(df)} | ({"evidence": evidence(df)} if with_evidence else {})
         for name, rows in sheets.items():

@@ -69,11 +69,14 @@ def typed(df: DataFrame, responses: list[str], keep: tuple[str, ...] = ("documen
     return out.select(*keep, data.alias("data"), F.coalesce("_n", F.lit(len(responses))).alias("parse_attempts"), error.alias("parse_error"), F.coalesce(picked, last).alias("raw_text"))
 
 
-def extract(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], keep: tuple[str, ...] = ("document_id",)) -> DataFrame:
-    """Ask, and ask once more, in firmer words, only where the answer can't be read."""
+def extract(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], keep: tuple[str, ...] = ("document_id",), retries: int = 1) -> DataFrame:
+    """Ask, and ask up to ``retries`` times more, in firmer words, only where no answer so far can be read."""
     from .state import stored
 
-    first = stored(infer(df, prompt, model, "response_1", (*keep, prompt)))
-    bad = first.where(first_usable(["response_1"])[1].isNull()).withColumn("_again", F.concat(prompt, F.lit(FIRMER)))
-    second = infer(bad, "_again", model, "response_2", keep)
-    return typed(first.join(second, list(keep), "left"), ["response_1", "response_2"], keep)
+    names = ["response_1"]
+    asked = stored(infer(df, prompt, model, "response_1", (*keep, prompt)))
+    for n in range(2, retries + 2):
+        bad = asked.where(first_usable(names)[1].isNull()).withColumn("_again", F.concat(prompt, F.lit(FIRMER)))
+        names.append(f"response_{n}")
+        asked = stored(asked.join(infer(bad, "_again", model, names[-1], keep), list(keep), "left"))
+    return typed(asked, names, keep)

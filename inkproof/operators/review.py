@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.rules import RULES, Rule
 from ..plans.shape import settled
 from ..sources.records import DECISIONS, STATUS_OF_DECISION
+from .extract import strip_fences
 from .state import stored
 
 THRESHOLD, MAX_ATTEMPTS = 0.70, 2
 _CLASS = "array<struct<rule_id: string, class: string, why: string>>"
 
-# Why a proposal is overridden.
-NO_REPROCESSOR = "retry requested but no reprocessor is configured"
-BLOCKED_RETRY = "retry requested but every failure is blocking"
-UNUSABLE = "the proposal is unusable"
+# Parts of the reasons by which an override is told.
+NO_REPROCESSOR = "another reading was asked for, but no reprocessor is there"
+BUDGET, BLOCKED_RETRY, ACCEPTED = "retry budget exhausted", "another reading can't help: all that failed is blocking", "accepted despite blocking failures: "
+UNUSABLE = "the decider's answer can't be used"
 
 
 def needs_review(threshold: float = THRESHOLD) -> Column:
@@ -82,18 +83,43 @@ def evidence(max_attempts: int = MAX_ATTEMPTS, attempts: str = "attempts") -> Co
     return F.array_join(lines, "\n")
 
 
+def _usable(proposed: Column) -> Column:
+    """A decision that isn't known is one to escalate."""
+    return F.when(proposed.isin(*DECISIONS), proposed).otherwise("escalate")
+
+
+def proposals(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Add ``proposed``, ``reasoning``, ``suspicious_fields`` and ``retry_hint`` from a decider's answer.
+
+    An answer that is no JSON object, or lacks a known decision or a reasoning as text, or has a
+    field of a wrong kind, is unusable: ``proposed`` is null, and the reasoning says so.
+    """
+    text = strip_fences(F.col(answer))
+    v = F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text))
+    df = df.withColumn("_v", v)
+    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant")), F.lit("VOID"))
+    value = lambda f, t="string": F.try_variant_get("_v", f"$.{f}", t)
+    good = F.coalesce(value("decision").isin(*DECISIONS) & (kind("decision") == "STRING") & (kind("reasoning") == "STRING"), F.lit(False))
+    good = good & kind("retry_hint").isin("STRING", "VOID") & kind("suspicious_fields").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    fields = F.coalesce(value("suspicious_fields", "array<string>"), F.array().cast("array<string>"))
+    df = df.withColumn("_good", good)
+    picked = lambda c: F.when(F.col("_good"), c)
+    out = df.withColumn("proposed", picked(value("decision"))).withColumn("reasoning", F.coalesce(picked(value("reasoning")), F.lit(UNUSABLE)))
+    return out.withColumn("suspicious_fields", picked(fields)).withColumn("retry_hint", picked(value("retry_hint"))).drop("_v", "_good")
+
+
 def guard(df: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """From ``proposed`` (null: unusable), ``attempts``, ``has_reprocessor``, ``retryable`` and ``blocking``: ``decision, overridden, override_reason``.
 
     An unusable proposal escalates without counting as overridden.
     """
-    proposed = F.when(F.col("proposed").isin(*DECISIONS), F.col("proposed")).otherwise("escalate")
+    proposed = _usable(F.col("proposed"))
     retry = proposed == "retry"
     reason = (
         F.when(retry & ~F.coalesce(F.col("has_reprocessor"), F.lit(False)), F.lit(NO_REPROCESSOR))
-        .when(retry & (F.col("attempts") >= max_attempts), F.concat(F.lit("retry budget exhausted ("), F.col("attempts"), F.lit(f"/{max_attempts})")))
+        .when(retry & (F.col("attempts") >= max_attempts), F.concat(F.lit(f"{BUDGET} ("), F.col("attempts"), F.lit(f"/{max_attempts})")))
         .when(retry & (F.size("retryable") == 0), F.lit(BLOCKED_RETRY))
-        .when((proposed == "accept") & (F.size("blocking") > 0), F.concat(F.lit("accept despite blocking failures: "), F.array_join("blocking", ", ")))
+        .when((proposed == "accept") & (F.size("blocking") > 0), F.concat(F.lit(ACCEPTED), F.array_join("blocking", ", ")))
     )
     out = df.withColumn("override_reason", reason).withColumn("overridden", F.col("override_reason").isNotNull())
     return out.withColumn("decision", F.when(F.col("overridden"), "escalate").otherwise(proposed))
@@ -102,8 +128,8 @@ def guard(df: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
 def entry() -> Column:
     """The history's entry of one decision."""
     return F.struct(
-        F.col("attempts").alias("attempt"), F.coalesce("proposed", F.lit("escalate")).alias("proposed"), F.col("decision").alias("final"),
-        F.coalesce("reasoning", F.lit(UNUSABLE)).alias("reasoning"), F.col("overridden").alias("overridden"), F.col("override_reason").alias("override_reason"),
+        F.col("attempts").alias("attempt"), _usable(F.col("proposed")).alias("proposed"), F.col("decision").alias("final"),
+        F.when(F.col("proposed").isin(*DECISIONS), F.col("reasoning")).otherwise(F.coalesce("reasoning", F.lit(UNUSABLE))).alias("reasoning"), F.col("overridden").alias("overridden"), F.col("override_reason").alias("override_reason"),
     )
 
 

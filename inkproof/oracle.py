@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from .operators.confidence import CRITICAL, WEIGHTS
+from .operators.review import ACCEPTED, BLOCKED_RETRY, BUDGET, NO_REPROCESSOR, UNUSABLE
 from .operators.texts import GUIDE, INJECTIONS, SPOOFS
 from .sources.views import NOW, text_of
 
@@ -215,10 +216,10 @@ def _guard(name: str, source: str, attempt: int) -> tuple[str, str]:
     """From document_id, proposed, has_reprocessor, n_retryable and blocking (a joined text or null)."""
     made = f"coalesce(proposed, 'escalate')"
     why = _case(
-        (f"{made} = 'retry' AND NOT has_reprocessor", "'retry requested but no reprocessor is configured'"),
-        (f"{made} = 'retry' AND {attempt} >= 2", f"'retry budget exhausted ({attempt}/2)'"),
-        (f"{made} = 'retry' AND n_retryable = 0", "'retry requested but every failure is blocking'"),
-        (f"{made} = 'accept' AND blocking IS NOT NULL", "concat('accept despite blocking failures: ', blocking)"),
+        (f"{made} = 'retry' AND NOT has_reprocessor", f"'{NO_REPROCESSOR}'"),
+        (f"{made} = 'retry' AND {attempt} >= 2", f"'{BUDGET} ({attempt}/2)'"),
+        (f"{made} = 'retry' AND n_retryable = 0", "'" + BLOCKED_RETRY.replace("'", "''") + "'"),
+        (f"{made} = 'accept' AND blocking IS NOT NULL", f"concat('{ACCEPTED}', blocking)"),
         last="NULL",
     )
     return name, f"SELECT *, CASE WHEN override_reason IS NOT NULL THEN 'escalate' ELSE {made} END AS decision, override_reason IS NOT NULL AS overridden FROM (SELECT *, {why} AS override_reason FROM {source})"
@@ -289,6 +290,27 @@ def _typed(names: list[str]) -> tuple[tuple[str, str], ...]:
     )
 
 
+def _xml(c: str) -> str:
+    out = f"CAST({c} AS VARCHAR)"
+    for mark, name in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("'\"'", "&quot;"), ("chr(13)", "&#13;"), ("chr(10)", "&#10;")):
+        out = f"replace({out}, {mark}, '{name}')"
+    return f"coalesce({out}, '')"
+
+
+def _tag(name: str, value: str) -> str:
+    return f"'<{name}>' || {value} || '</{name}>'"
+
+
+_XML_ITEM = _tag("lineItem", " || ".join(_tag(f, _xml(f"x.{f}")) for f in ("description", "quantity", "unit_price", "amount")))
+_XML = """'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<invoice documentId="' || """ + _xml("document_id") + """ || '">' || """ + " || ".join(_tag(f, _xml(f)) for f in (*_TEXT, *_AMOUNTS)) + " || " + _tag("lineItems", f"array_to_string([{_XML_ITEM} for x in line_items], '')") + " || '</invoice>'"
+
+_ANSWERS = (
+    _view("invoices"), ("answers", text_of("answers", "ansi")), ("cleaned", f"SELECT document_id, {_fenced('answer')} AS t FROM answers"),
+    ("read", "SELECT document_id, CASE WHEN starts_with(t, '{') AND json_valid(t) THEN t END AS j FROM cleaned"),
+    ("kept", """SELECT *, coalesce(json_type(j, '$.decision') = 'VARCHAR' AND json_extract_string(j, '$.decision') IN ('accept', 'retry', 'escalate', 'reject') AND json_type(j, '$.reasoning') = 'VARCHAR'
+        AND coalesce(json_type(j, '$.retry_hint'), 'NULL') IN ('VARCHAR', 'NULL') AND coalesce(json_type(j, '$.suspicious_fields'), 'NULL') IN ('ARRAY', 'NULL'), false) AS good FROM read"""),
+)
+
 _MEDIA = "(VALUES ('csv', 'text/csv', '.csv'), ('json', 'application/json', '.json'), ('xlsx', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', '.xlsx'), ('xml', 'application/xml', '.xml')) f(format, media_type, extension)"
 _SNIFF = "CASE WHEN starts_with(hex(content), '255044462D') THEN 'application/pdf' WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(hex(content), 'FFD8FF') THEN 'image/jpeg' END"
 _FILES = (_view("files"), ("sniffed", f"SELECT CAST(page_id AS VARCHAR) AS document_id, original_filename, octet_length(content) AS size_bytes, sha256(content) AS sum, {_SNIFF} AS content_type FROM files"))
@@ -359,6 +381,14 @@ def oracle_sql() -> dict[str, str]:
         "confidence_band": _with(*_SCORES, _conf("c", "scores")) + " SELECT CASE WHEN overall >= 0.7 THEN 'green' WHEN overall >= 0.4 THEN 'amber' ELSE 'red' END AS band, CAST(CAST(round(overall * 100) AS INT) AS VARCHAR) AS percent, count(*) AS n FROM c GROUP BY ALL",
         "export_csv": _with(_view("invoices")) + f" SELECT document_id, {_HEADER}, x.description AS line_description, x.quantity AS line_quantity, x.unit_price AS line_unit_price, x.amount AS line_amount FROM (SELECT *, unnest(CASE WHEN len(line_items) = 0 THEN [NULL] ELSE line_items END) AS x FROM invoices)",
         "export_json": _with(_view("invoices")) + " SELECT document_id, invoice_number, total, line_items[1].amount AS first_amount, discount IS NULL AS null_discount FROM invoices",
+        "export_xml": _with(_view("invoices")) + f" SELECT document_id, {_XML} AS xml FROM invoices",
+        "proposal_parse": _with(*_ANSWERS) + f" SELECT document_id, CASE WHEN good THEN json_extract_string(j, '$.decision') END AS proposed, CASE WHEN good THEN json_extract_string(j, '$.reasoning') ELSE '{UNUSABLE.replace(chr(39), chr(39) * 2)}' END AS reasoning, CASE WHEN good THEN coalesce(array_to_string(CAST(json_extract(j, '$.suspicious_fields') AS VARCHAR[]), ','), '') END AS suspicious_fields, CASE WHEN good THEN json_extract_string(j, '$.retry_hint') END AS retry_hint FROM kept",
+        "latest_records": _with(*_LOOP) + " SELECT b.document_id, i.vendor_name, b.overall FROM bsums b JOIN inv2 i USING (document_id) UNION ALL SELECT s.document_id, i.vendor_name, s.overall FROM sums s JOIN inv i USING (document_id) WHERE s.document_id NOT IN (SELECT document_id FROM inv2)",
+        "batch_infer": _with(("t", f"SELECT doc_id, coalesce({_NORMAL}, '') AS t FROM documents")) + " SELECT CAST(doc_id AS VARCHAR) AS document_id, trim(substr(t, 1, 20), E' \\n') AS vendor_name, CAST(length(t) AS DOUBLE) AS total, CASE WHEN length(t) % 3 = 0 THEN 2 ELSE 1 END AS parse_attempts, CAST(NULL AS VARCHAR) AS parse_error FROM t",
+        "source_files": "SELECT sum(octet_length(encode(coalesce(html, ''))) + 1) AS total_bytes, sum(octet_length(encode(coalesce(html, ''))) + 1) AS read_bytes FROM pages",
+        "source_vendors": "SELECT trim(s_name) AS vendor_name FROM supplier WHERE s_suppkey % 7 <> 0",
+        "source_table": "SELECT doc_id, source FROM documents WHERE lang = 'en'",
+        "doc_lookup": _with(*_DOC_STATE) + " SELECT document_id, status, original_filename FROM documents_state WHERE document_id = '7'",
         "export_field_value": _with(_view("invoices")) + " SELECT document_id, field, value FROM (" + " UNION ALL ".join(f"SELECT document_id, '{f}' AS field, {f if f in _TEXT else f'CAST(CAST({f} AS DECIMAL(38,2)) AS VARCHAR)'} AS value FROM invoices" for f in (*_TEXT, *_AMOUNTS)) + ")",
         "export_line_items": _with(_view("invoices")) + " SELECT document_id, line_number, x.description, x.quantity, x.unit_price, x.amount FROM (SELECT document_id, unnest(line_items) AS x, unnest(range(1, len(line_items) + 1)) AS line_number FROM invoices)",
         "export_evidence": _with(*_SCORES) + " SELECT document_id, field, round(confidence, 4) AS confidence, replace(signals, ',', '; ') AS signals FROM scores",
@@ -368,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
     }
     own = {"zero_total": None, "stale_date": "fail", "tax_percentage_plausible": "warning"}
     moved = " ".join(f"WHEN rule_id = '{r}' AND severity IN ('fail', 'warning') THEN '{s}'" for r, s in own.items() if s)
-    q["severity_override"] = _with(*_LONG_DEFAULT) + f" SELECT rule_id, severity, count(*) AS n FROM (SELECT rule_id, CASE {moved} ELSE severity END AS severity FROM long WHERE rule_id <> 'zero_total') GROUP BY ALL"
+    q["policy_effects"] = q["severity_override"] = _with(*_LONG_DEFAULT) + f" SELECT rule_id, severity, count(*) AS n FROM (SELECT rule_id, CASE {moved} ELSE severity END AS severity FROM long WHERE rule_id <> 'zero_total') GROUP BY ALL"
     for rule_id, (severity, fields, sure) in RULES.items():
         q[f"rule_{rule_id}"] = _with(*_BASE) + f" SELECT document_id, {severity} AS severity, CAST({sure} AS DOUBLE) AS confidence, {fields} AS fields FROM inv"
     for s in _STRATEGY:

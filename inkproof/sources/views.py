@@ -154,6 +154,14 @@ SELECT document_id, seq,
   CASE WHEN seq % 5 = 1 THEN 'vendor is at the top' ELSE NULL END AS retry_hint,
   CASE WHEN seq % 4 = 0 THEN false ELSE true END AS has_reprocessor
 FROM invoices
+""",
+    "answers": r"""
+SELECT document_id, seq, CASE seq % 10 WHEN 0 THEN 'no object' WHEN 1 THEN '{"decision": "accept", "reasoning": "all is grounded"}'
+    WHEN 2 THEN CONCAT('```json', {NL}, '{"decision": "retry", "reasoning": "vendor is absent", "retry_hint": "look at the top", "suspicious_fields": ["vendor_name"]}', {NL}, '```')
+    WHEN 3 THEN '{"decision": "perhaps", "reasoning": "unsure"}' WHEN 4 THEN '{"decision": "reject"}' WHEN 5 THEN '{"decision": "escalate", "reasoning": 5}'
+    WHEN 6 THEN '["accept"]' WHEN 7 THEN NULL WHEN 8 THEN '{"decision": "reject", "reasoning": "no invoice", "retry_hint": null}'
+    ELSE '{"decision": "retry", "reasoning": "again", "retry_hint": 7}' END AS answer
+FROM invoices
 """,
     "extremes": r"""
 SELECT document_id, seq, received_at, invoice_number, invoice_date, vendor_name, vendor_tax_id, currency,
@@ -183,14 +191,14 @@ FROM pages
 
 
 def text_of(name: str, dialect: str) -> str:
-    """The view's SQL. ``responses``, ``proposals`` and ``extremes`` read ``invoices``."""
+    """The view's SQL. ``responses``, ``proposals``, ``answers`` and ``extremes`` read ``invoices``."""
     return re.sub(r"\{(%s)\}" % "|".join(TOKENS[dialect]), lambda m: TOKENS[dialect][m[1]], VIEWS[name])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in ``sf_dir``."""
     sql = text_of(name, "spark")
-    if name in ("responses", "proposals", "extremes"):
+    if name in ("responses", "proposals", "extremes", "answers"):
         sql = re.sub(r"\bFROM invoices\b", "FROM (" + text_of("invoices", "spark") + ")", sql)
     tables = "|".join(TABLES)
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({tables})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))

@@ -38,8 +38,8 @@ def duck():
     return con
 
 
-def test_each_query_has_sql_but_those_without_one():
-    assert set(QUERIES) - set(SQL) == {"batch_infer", "export_xml"}
+def test_each_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -48,8 +48,3 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.execute(SQL[name])
     names = [c[0] for c in want.description]
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
-
-
-@pytest.mark.parametrize("name", ["batch_infer", "export_xml"])
-def test_query_without_sql_gives_a_row_for_each_document(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0

@@ -122,6 +122,72 @@ def test_answers(spark):
     assert {r.document_id: r.parse_attempts for r in extract.typed(df, ["a", "b"]).collect()} == {"0": 1, "1": 2, "2": 1, "3": 2, "4": 1}
 
 
+def test_attempts_are_bounded_and_firmer(spark, tmp_path):
+    def model():
+        return lambda p: '{"total": 1}' if p.count(extract.FIRMER) and p.startswith("b") else "no"
+
+    df = spark.createDataFrame([("1", "a"), ("2", "b")], "document_id string, prompt string")
+    for retries, want in ((0, {"1": (1, None), "2": (1, None)}), (1, {"1": (2, None), "2": (2, 1.0)}), (3, {"1": (4, None), "2": (2, 1.0)})):
+        got = extract.extract(df, "prompt", model, retries=retries).collect()
+        assert {r.document_id: (r.parse_attempts, r.data.total) for r in got} == want
+
+
+def test_unknown_decisions_escalate_in_the_history_too(spark):
+    df = verify(invoices(spark, {"total": 1.0}, {"total": 1.0}), now=NOW)
+
+    def propose(rows):
+        answers = F.when(F.col("document_id") == "0", F.lit('{"decision": "maybe", "reasoning": "x"}')).otherwise(F.lit('{"decision": "reject", "reasoning": "y"}'))
+        return review.proposals(rows.withColumn("answer", answers))
+
+    got = {r.document_id: r for r in review.review(df, propose, None).collect()}
+    assert [(h.proposed, h.final, h.reasoning, h.overridden) for h in got["0"].history] == [("escalate", "escalate", review.UNUSABLE, False)]
+    assert [(h.proposed, h.final, h.reasoning) for h in got["1"].history] == [("reject", "reject", "y")]
+
+
+def test_numbers_that_no_decimal_holds(spark):
+    values = [(1e36,), (1e40,), (float("inf"),), (float("-inf"),), (float("nan"),), (1e-320,), (-1e39,), (1e308,), (None,)]
+    df = spark.createDataFrame(values, "v double")
+    got = df.select(scalars.money(F.col("v")), scalars.six_digits(F.col("v")), scalars.grounded_number(F.col("v"), F.lit("nothing"))).collect()
+    assert [r[0] for r in got][2:5] == ["Infinity", "-Infinity", "NaN"] and [r[1] for r in got][:5] == ["1e+36", "1e+40", "Infinity", "-Infinity", "NaN"]
+    assert got[0][0].startswith("1" + "0" * 12) or got[0][0] == "1.0E36"
+    assert not any(r[2] for r in got)
+    wild = [{"total": v, "subtotal": v, "tax_amount": v, "line_items": [("a", v, v, v), ("b", v, v, v)]} for (v,) in values]
+    out = verify(invoices(spark, *wild), now=NOW).collect()
+    assert all(len(r.results) == 18 for r in out)
+    sums = {r.document_id: next((x.severity, x.confidence) for x in r.results if x.rule_id == "subtotal_matches_line_items") for r in out}
+    assert sums["2"] == sums["4"] == ("skipped", 0.0)
+
+
+def test_a_rule_that_cannot_be_built_is_skipped(spark):
+    def broken(params):
+        raise KeyError("x")
+
+    got = validate.validate(invoices(spark, {}), {}, {"broken": Rule(broken), "zero_total": RULES["zero_total"]}).first()
+    assert [(r.rule_id, r.severity, r.confidence) for r in got.results] == [("broken", "skipped", 0.0), ("zero_total", "pass", 1.0)]
+
+
+def test_xml_keeps_values(spark, tmp_path):
+    from xml.etree.ElementTree import fromstring
+
+    df = invoices(spark, {"vendor_name": 'A & B <"c">\n   d\r\n e', "total": 12345678.9, "line_items": [("x\n y", 1.0, None, 2.5), (None, None, None, None)]}, {"line_items": None, "total": None})
+    rows = [fromstring(r.xml) for r in export.xml_text(df).orderBy("document_id").collect()]
+    assert rows[0].attrib == {"documentId": "0"} and rows[0].find("vendor_name").text == 'A & B <"c">\n   d\r\n e'
+    assert rows[0].find("total").text == "12345678.9" and len(rows[0].find("lineItems")) == 2 and rows[0].find("lineItems")[0].find("description").text == "x\n y"
+    assert rows[1].find("total").text is None and len(rows[1].find("lineItems")) == 0
+    export.write(df, "xml", f"{tmp_path}/xml")
+    again = sorted((fromstring(r.value) for r in spark.read.text(f"{tmp_path}/xml").collect()), key=lambda x: x.attrib["documentId"])
+    assert again[0].find("vendor_name").text == rows[0].find("vendor_name").text and len(again) == 2
+
+
+def test_sources(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.policy(spark, f"{tmp_path}/none.yaml")
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int").write.parquet(f"{tmp_path}/t")
+    assert [tuple(r) for r in readers.table(spark, f"{tmp_path}/t", "k", "b").collect()] == [("b", 2)] and readers.table(spark, f"{tmp_path}/t").count() == 2
+    docs = spark.createDataFrame([("1", "x"), ("2", "y")], "document_id string, status string")
+    assert listing.one(docs, "2").first().status == "y" and listing.one(docs, "3").count() == 0
+
+
 def test_review_is_bounded(spark):
     df = verify(invoices(spark, {"invoice_number": None}, {"total": 1.0}, {}), now=NOW)
     rounds = []
