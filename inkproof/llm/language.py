@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
 from .labelled import train
 
 #: Rows of each language to learn from, and the characters in a row that are used of each, from a place given by its id's hash.
@@ -104,33 +105,46 @@ def automaton(strings: list[np.ndarray]) -> list[dict[int, int]]:
 def shifted(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``base, owner, to``: state s moves with letter c to to[base[s] + c] if owner[base[s] + c] is s.
 
-    States with several moves are placed first, at the first shift that fits; the others take what is left.
+    States with over 32 moves lie one after another. Others with several moves draw shifts until one
+    fits, those with most moves first, all of a size at a time, in a table that grows if they don't
+    find room; states with one move then take what is left. So the table is little larger than its moves.
     """
-    total = sum(map(len, moves))
-    room = width + 2 * total + 64 * width
-    base, owner, to = np.zeros(len(moves), np.int32), np.full(room + 2 * width + 512, -1, np.int32), np.zeros(room + 2 * width + 512, np.int32)
-    free_from = width
-    for s in sorted((s for s, m in enumerate(moves) if len(m) > 1), key=lambda s: -len(moves[s])):
-        codes = np.array(sorted(moves[s]), np.int64)
-        at = free_from
-        while True:
-            spots = at + np.flatnonzero(owner[at : at + 512] < 0)
-            fits = np.flatnonzero((owner[(spots - codes[0])[:, None] + codes] < 0).all(axis=1)) if len(spots) else spots
-            if len(fits):
-                break
-            at += 512
-        shift = spots[fits[0]] - codes[0]
-        base[s], owner[shift + codes] = shift, s
-        to[shift + codes] = [moves[s][c] for c in codes.tolist()]
-        while (owner[free_from : free_from + 512] >= 0).mean() > 0.95:
-            free_from += 512
-    single = [(s, *next(iter(m.items()))) for s, m in enumerate(moves) if len(m) == 1]
-    if single:
-        s, c, t = np.array(single, np.int64).T
-        slots = width + np.flatnonzero(owner[width:room] < 0)[: len(s)]
-        base[s], owner[slots], to[slots] = slots - c, s, t
-    last = int(np.flatnonzero(owner >= 0).max(initial=0)) + 2 * width
-    return base, owner[:last], to[:last]
+    sizes = np.fromiter(map(len, moves), np.int64, len(moves))
+    many, single = int(sizes[sizes > 1].sum()), int((sizes == 1).sum())
+    large = np.flatnonzero(sizes > 32)
+    spans = np.array([max(moves[s]) + 1 for s in large.tolist()], np.int64)
+    room = 2 * width + int(spans.sum()) + max(3 * many, many + single)
+    base, owner, to = np.zeros(len(moves), np.int32), np.full(room + width, -1, np.int32), np.zeros(room + width, np.int32)
+    for s, at in zip(large.tolist(), (width + np.cumsum(spans) - spans).tolist()):
+        base[s] = at
+        for c, t in moves[s].items():
+            owner[at + c], to[at + c] = s, t
+    rng, most, rounds = np.random.default_rng(0), 32, 0
+    while most > 1:
+        states = np.flatnonzero((sizes > most // 2) & (sizes <= most) & (sizes > 1))
+        most //= 2
+        codes = np.array([c for s in states.tolist() for c in moves[s]], np.int64)
+        target = np.array([t for s in states.tolist() for t in moves[s].values()], np.int32)
+        while len(states):
+            rounds += 1
+            if rounds % 16 == 0:
+                more = room // 4
+                room, owner, to = room + more, np.append(owner, np.full(more, -1, np.int32)), np.append(to, np.zeros(more, np.int32))
+            which = np.repeat(np.arange(len(states)), sizes[states])
+            shift = rng.integers(0, room, len(states))
+            slots = shift[which] + codes
+            fits = owner[slots] < 0
+            first = np.zeros(len(slots), bool)
+            first[np.unique(slots, return_index=True)[1]] = True
+            ok = np.logical_and.reduceat(fits & first, np.cumsum(sizes[states]) - sizes[states])
+            here = ok[which]
+            owner[slots[here]], to[slots[here]] = states[which[here]], target[here]
+            base[states[ok]] = shift[ok]
+            states, codes, target = states[~ok], codes[~here], target[~here]
+    alone = np.array([(s, *next(iter(m.items()))) for s, m in enumerate(moves) if len(m) == 1], np.int64).reshape(-1, 3)
+    slots = width + np.flatnonzero(owner[width:] < 0)[: len(alone)]
+    base[alone[:, 0]], owner[slots], to[slots] = slots - alone[:, 1], alone[:, 0], alone[:, 2]
+    return base, np.append(owner, np.full(width, -1, np.int32)), np.append(to, np.zeros(width, np.int32))
 
 
 class Model:
@@ -255,11 +269,9 @@ def identify(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_
     model = train(sample(docs, allowed, id_col, text_col, lang_col), learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                names, score = judge(part.column(1), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+        for b in slices(batches, 1):
+            names, score = judge(b.column(1), model)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
