@@ -83,3 +83,16 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(5, "a b c d e", 1), (3, "a b c d e", 2), (3, "a b c d e", 2), (9, None, 3), (None, "z", 4), (None, "z", 4), (7, "quite another text here", 5)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, component_id int"))
     assert sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, 4), (0, 4), (3, 2), (7, 5), (9, 3)]
+
+
+def test_one_row_of_each_class_stays_and_other_texts_of_an_id_too(spark):
+    r = random.Random(3)
+    say = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(80))
+    a, b, c, d = (say() for _ in range(4))
+    rows = [(5, a), (3, a), (9, a + "\n"), (7, b), (7, b), (7, c), (2, c), (None, a), (None, a), (4, d), (8, None), (6, ""), (10, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _own int").repartition(3)
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=repr)
+    assert got == sorted([(3, a), (7, b), (2, c), (None, a), (None, a), (4, d), (6, "")], key=repr)
+    assert simhash.deduplicate(docs.where("false")).count() == 0

@@ -4,6 +4,8 @@ import numpy as np
 
 from inkproof.llm import substring
 
+from . import brute
+
 
 def word(r):
     return "".join(r.choices("abcdefgéhij", k=r.randint(2, 9)))
@@ -45,6 +47,35 @@ def test_passages_stay_in_the_first_document_only(spark):
     assert 0.6 * 51 * 4 * 20 < lost < 51 * 4 * 20 + 60
 
 
+def test_texts_chunks_and_windows_against_brute_force(spark):
+    """Boundaries, windows, owners and the cut texts, from the definitions alone; long stretches without boundaries included."""
+    r = random.Random(11)
+    parts = [say(r, r.choice([3, 12, 25, 60])) for _ in range(12)] + ["no " * 70, "la li " * 50, say(r, 400)]
+    texts = [(i, " ".join(r.choice([*parts, say(r, 15)]) for _ in range(6))) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, " \n\t "), (103, "é" * 300), (5, texts[9][1]), (None, texts[3][1]), (104, texts[20][1]), (105, " " + texts[20][1] + "\n")]
+    for t in [t for _, t in texts if t] + ["no " * 100, "x\0y z " * 30]:
+        _, number, start, words, _ = substring.chunks_of([t.encode()])
+        want = brute.chunks(t.encode())
+        assert [(int(a), int(n)) for a, n in zip(start, words)] == [(c[0], c[2]) for c in want]
+    rows = [(i, t, f"row {k}") for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(5)
+    want = {f"row {k}": (t, n) for k, (_, t, n) in enumerate(brute.substring_dedup(texts))}
+    got = {x.key: (x.text, x._n_cut) for x in substring.deduplicate(docs).collect()}
+    assert got == want and sum(n > 0 for _, n in want.values()) > 20
+    kept = {x.key for x in substring.deduplicate(docs, count_col=None, keep_emptied=False).collect()}
+    emptied = {k for k, (t, n) in want.items() if n and not t.strip()}
+    assert kept == set(want) - emptied and emptied
+
+
+def test_one_insertion_moves_few_chunks():
+    r = random.Random(7)
+    text = say(r, 3000)
+    words = text.split(" ")
+    moved = " ".join([*words[:1000], "inserted", *words[1000:]])
+    digests = [set(substring.chunks_of([t.encode()])[4].tolist()) for t in (text, moved)]
+    assert len(digests[0] - digests[1]) <= 2 and len(digests[1] - digests[0]) <= 3
+
+
 def test_chunks_cover_the_text_and_do_not_depend_on_neighbours():
     r = random.Random(3)
     texts = [say(r, n).encode() for n in (0, 1, 5, 400)] + [b"", b" \n", b"x" * 5000, b"a " * 3000, "é".encode() * 10]
