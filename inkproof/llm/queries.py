@@ -108,15 +108,37 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM w LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-#: The pages hold no canonical links or redirects that could pass a verdict on; the tests have them.
-OP5_SQL = r"""
-WITH u AS (
-  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
-  FROM pages),
-r(rule_host, rule_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-m AS (
-  SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
-  FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
-SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE n = 1
+def _op5_sql() -> str:
+    """The rules, and their closure over canonical links and redirects; links with dot segments aren't resolved here."""
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: lower(f"coalesce(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), '')")
+    path = lambda u: f"coalesce(regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+    key = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || coalesce(nullif({path(u)}, ''), '/') || coalesce(regexp_extract({u}, '^.*?://[^/?#]*[^?#]*([^#]*)', 1, 's'), '') END"
+    quoted = lambda p: p.replace("'", "''")
+    tags = " UNION ALL ".join(
+        f"SELECT url, regexp_extract(tag, '{quoted(at)}', 1) AS link FROM (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '{quoted(tag)}')) AS tag FROM pages) WHERE regexp_matches(tag, '{quoted(has)}')" for tag, has, at in url_filter.TAGS
+    )
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    matched = lambda source: f"""SELECT s.*, r.rule_host || r.rule_path AS rule, r.rule_verdict, row_number() OVER (PARTITION BY s.n ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS best
+  FROM (SELECT *, row_number() OVER () AS n FROM {source}) s LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)"""
+    return f"""
+WITH RECURSIVE r(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+links AS (SELECT url, replace(link, '&amp;', '&') AS link FROM ({tags}) WHERE link <> ''),
+targets AS (
+  SELECT {key('url')} AS a, CASE WHEN regexp_matches(link, '^https?://', 'i') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
+      WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$') AND {host('url')} <> '' THEN 'http://' || {host('url')} ||
+        CASE WHEN starts_with(link, '?') THEN {path('url')} || link WHEN starts_with(link, '/') THEN link ELSE '/' || regexp_extract({path('url')}, '^/(.*/)?', 1, 's') || link END END AS target
+  FROM links),
+edges AS (SELECT a, {key('target')} AS b FROM targets),
+both_ways AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+reached(start, node) AS (SELECT a, a FROM both_ways UNION SELECT reached.start, both_ways.b FROM reached JOIN both_ways ON reached.node = both_ways.a),
+nodes AS (SELECT DISTINCT node, regexp_extract(node, '^([^/]*)', 1, 's') AS host, regexp_extract(node, '^[^/]*([^?]*)', 1, 's') AS path FROM reached),
+judged AS (SELECT node, rule_verdict FROM ({matched('nodes')}) WHERE best = 1),
+aliases AS (SELECT start FROM reached JOIN judged USING (node) GROUP BY start HAVING bool_or(rule_verdict = 'block') AND NOT coalesce(bool_or(rule_verdict = 'allow'), false)),
+u AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {key('url')} AS k FROM pages),
+m AS ({matched('u')})
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN k IN (SELECT start FROM aliases) THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE best = 1
 """
+
+
+OP5_SQL = _op5_sql()

@@ -25,8 +25,11 @@ from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'>\s]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'>\s]+)"
+#: The tags that name another URL: the tag, what it must have, and where the URL stands in it.
+TAGS = (
+    (r"(?i)<link\b[^>]*>", r"(?i)\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]+)"),
+    (r"(?i)<meta\b[^>]*>", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?i)\burl\s*=\s*[\"']?([^\"'>\s]+)"),
+)
 
 
 def _part(url: Column, k: int) -> Column:
@@ -82,9 +85,13 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: alias keys of pages and of what they name as canonical or refresh to."""
+    """``a, b``: alias keys of pages and of all that they name as canonical or refresh to."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    found = F.array(*(F.regexp_extract(html, p, 1) for p in (_CANONICAL, _REFRESH)))
+
+    def named_in(tag: str, has: str, at: str) -> Column:
+        return F.transform(F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: x.rlike(has)), lambda x: F.regexp_extract(x, at, 1))
+
+    found = F.concat(*(named_in(*t) for t in TAGS))
     named = pages.where(html.rlike("(?i)canonical|refresh")).select(url.alias("url"), F.explode(found).alias("link"))
     named = named.select("url", F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
     return named.select(alias_key(F.col("url")).alias("a"), alias_key(resolve(F.col("link"), F.col("url"))).alias("b"))

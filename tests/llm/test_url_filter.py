@@ -77,3 +77,28 @@ def test_long_chains_and_a_hot_target(spark):
     assert out.count() == len(pairs) and out.where("verdict <> 'block'").count() == 0
     assert u.filter_urls(pages.where("false"), u.rules_table(spark, RULES)).count() == 0
     assert u.filter_urls(pages, u.rules_table(spark, RULES).where("false")).where("verdict = 'allow'").count() == len(pairs)
+
+
+def test_every_link_of_a_page_counts(spark):
+    html = '<!-- <link rel="canonical" href="http://free.net/z"> --> <link rel=canonical href=http://free.net/y><LINK href=\'http://s.org/x/1\' REL=canonical><link rel=stylesheet href=http://good.com/>'
+    pages = spark.createDataFrame([(1, "http://free.net/a", html), (2, "http://free.net/y", None), (3, "http://free.net/z", ""), (4, "http://free.net/w", "")], "page_id long, url string, html string")
+    got = {r.id: r.verdict for r in u.filter_urls(pages, u.rules_table(spark, RULES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_sql_with_the_closure_agrees(spark, tmp_path):
+    import duckdb
+
+    from inkproof.llm import queries
+
+    r = random.Random(8)
+    urls = [f"http://{r.choice(['a.net', 'b.net', 'www.example.com', 'example.com', 'c.org', 'd.com'])}/{r.choice(['es', 'fr', 'en', 'x'])}/{i}" for i in range(120)]
+    links = lambda: r.choice(["", "", page(r.choice(urls)), page(r.choice(urls), "refresh"), page(r.choice(urls)) + page("/es/1"), page("?q=1&amp;z=2"), page("other"), page("//b.net/fr/3#x"), page("mailto:q")])
+    rows = [(i, url, links()) for i, url in enumerate(urls)] + [(500, None, page(urls[0])), (501, "nothing", page(urls[1])), (502, urls[0] + "#part", ""), (503, "http://a.net/x/?q=1&z=2", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    order = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(con.execute(f"select {', '.join(order)} from ({queries.OP5_SQL})").fetchall(), key=repr)
+    got = sorted((tuple(x) for x in queries.op5_url_filters(spark, str(tmp_path)).select(*order).collect()), key=repr)
+    assert got == want and {v for *_, rule, v in got if rule is None} == {"allow", "block"}
