@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,10 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % parts
 
 
-def ascii_lower(b: bytes) -> bytes:
-    """Lower-case A-Z only (``bytes.lower`` leaves every other byte as it is)."""
-    return b.lower()
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about ``most`` bytes in a column of texts, which bounds what a worker holds besides."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise
+from .common import materialise, slices
 
 SEQUENCE, END_ID = 1024, 2
 
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), END_ID.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.pack(text or "") + end

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import slices
 from .linear import blocks, calibrate, char_grams, fit, sigmoid, word_grams
 
 BITS, SIZES = 17, (2, 3, 4)
@@ -115,7 +116,7 @@ def judge(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or b"" for t in b.column(1).to_pylist()]
             found = np.array([counts(t) for t in texts], np.int64).reshape(-1, 5)
             failed = (found[:, 0] < LEAST_WORDS) | (100 * found[:, 4] > MOST_REPEATED * found[:, 0])
@@ -132,7 +133,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model, names, at = model_for(docs, labels, None, id_col, text_col, label_col), docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             ok = []
             for t in texts:

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import unused
+from .common import slices, unused
 
 MOST_WORDS, LEAST_WORDS = 32, 20
 #: The hash has 16 bits; bit k depends on the last k + 1 bytes, so these two see 12 bytes.
@@ -121,19 +120,11 @@ def windows_of(owner: np.ndarray, words: np.ndarray, digest: np.ndarray) -> tupl
     return first, n, joint.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``_SLICE`` bytes of text, which bounds what is held of their chunks."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // _SLICE
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
-
-
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, place, digest, lost`` for each window of each row; ``place`` is 32 times its first chunk's number and how many it has, ``lost`` the id if a smaller one in the batch has the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in _slices(whole)):
+        for b in slices(batches, 1, _SLICE):
             owner, number, _, words, digest = chunks_of([t or b"" for t in b.column(1).to_pylist()])
             first, n, joint = windows_of(owner, words, digest)
             ids = b.column(0).to_numpy()[owner[first]]
@@ -185,7 +176,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             cuts = b.column(b.num_columns - 1).to_pylist()
             columns = list(b.columns[:-1])
             filled = None

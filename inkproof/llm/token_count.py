@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise
+from .common import materialise, slices
 
 STEP, OVERLAP, MARGIN = 1 << 16, 1 << 12, 32
 
@@ -30,7 +30,7 @@ STEP, OVERLAP, MARGIN = 1 << 16, 1 << 12, 32
 def _whole(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches, 2):
             n = [len(enc.ids(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
