@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, pitman_yor, quality, simhash, substring, token_count, toxicity, url_filter
+from . import chat, decontaminate, language, merkle, packing, pitman_yor, quality, simhash, substring, token_count, toxicity, url_filter
 from ..plans.shape import settled
 from .common import fold, table
 
@@ -96,12 +96,22 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's proof, and whether what stands there now, of which every third row has its text lower-cased, still leads to the root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), merkle.lowered(F.col("text")))
+    docs = docs.withColumn("_carried", F.when(fold("doc_id", 3) == 0, tampered))
+    found = merkle.manifest(docs).withColumn("folded_root", merkle.fold(F.coalesce("_carried", "leaf"), F.col("proof")))
+    found = found.select("id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root")
+    return found.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_url_filters": OP5_SQL, "op12_chat_formatting": OP12_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_url_filters": OP5_SQL, "op12_chat_formatting": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 OP3_SQL = r"""
@@ -176,3 +186,43 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
       FROM m GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM a
 """
+
+
+def _op13_sql(depth: int = 8, top: int = 3) -> str:
+    """Trees level by level, for at most 8^depth rows of a language and 8^top languages; crc32 bit by bit."""
+    known = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(known, ("doc_id", "source", "lang", "n_chars")), known(text)]) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = "flatten(list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(4294967295, list_reduce({steps}, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295))"
+
+    def levels(t: str, start: str, many: int) -> list[str]:
+        """``{t}0`` to ``{t}{many}`` (g, pos, n, h), and ``{t}s{k}`` with what stands left and right of each node."""
+        out = [f"{t}0 AS ({start})"]
+        for k in range(many):
+            run = "OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+            out.append(f"{t}s{k} AS (SELECT g, pos, n > 1 AS going, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}{k})")
+            out.append(f"{t}{k + 1} AS (SELECT g, pos // 8 AS pos, CAST(ceil(any_value(n) / 8) AS BIGINT) AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {t}{k} GROUP BY g, pos // 8)")
+        return out
+
+    def folded(t: str, source: str, out: str, g: str, place: str, many: int) -> list[str]:
+        ctes, last = [], source
+        for k in range(many):
+            name = f"{out}{k}"
+            hashed = lambda f: f"CASE WHEN going THEN sha256(s.l || {f} || s.r) ELSE {f} END"
+            ctes.append(f"{name} AS (SELECT a.* EXCLUDE (f, proof), {hashed('f')} AS f, CASE WHEN going THEN proof || s.l || s.r ELSE proof END AS proof FROM {last} a JOIN {t}s{k} s ON s.g = a.{g} AND s.pos = a.{place} // {8**k})")
+            last = name
+        return ctes
+
+    docs = f"""WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, {leaf('text')} AS leaf, {leaf(lowered)} AS other, ({crc}) % 3 = 0 AS tampered FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM d)"""
+    ctes = [docs, *levels("a", "SELECT g, place AS pos, n, leaf AS h FROM r", depth)]
+    ctes += ["f AS (SELECT doc_id, g, place, leaf, CASE WHEN tampered THEN other ELSE leaf END AS f, '' AS proof FROM r)", *folded("a", "f", "f", "g", "place", depth)]
+    ctes += levels("b", f"SELECT 0 AS g, g - 1 AS pos, (SELECT count(*) FROM a{depth}) AS n, h FROM a{depth}", top)
+    ctes += [f"t AS (SELECT *, 0 AS zero, g - 1 AS seat FROM f{depth - 1})", *folded("b", "t", "t", "zero", "seat", top)]
+    return ",\n".join(ctes) + f"""
+SELECT x.doc_id, x.leaf, s.h AS subroot, root.h AS root, sha256(x.proof) AS proof_sha256, x.f AS folded_root, x.f = root.h AS verified
+FROM t{top - 1} x JOIN a{depth} s ON s.g = x.g CROSS JOIN b{top} root"""
+
+
+OP13_SQL = _op13_sql()
