@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, merkle, packing, pitman_yor, quality, simhash, substring, token_count, toxicity, url_filter
+from . import chat, codes, decontaminate, language, merkle, packing, pitman_yor, quality, simhash, substring, token_count, toxicity, url_filter
 from ..plans.shape import settled
 from .common import fold, table
 
@@ -79,6 +79,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(found).select(F.col("id").alias("vec_id"), "code", "error", "label_error")
+    return found.withColumn("codebooks_sha256", F.lit(codes.codebooks_digest(books)))
+
+
 #: The agreed extra conversation, whose texts hold control strings.
 HOSTILE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -111,7 +117,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_url_filters": OP5_SQL, "op12_chat_formatting": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_url_filters": OP5_SQL, "op11_vector_codes": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 OP3_SQL = r"""
@@ -226,3 +232,30 @@ FROM t{top - 1} x JOIN a{depth} s ON s.g = x.g CROSS JOIN b{top} root"""
 
 
 OP13_SQL = _op13_sql()
+
+
+def _op11_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    def assigned(k: int) -> str:
+        far = "list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"a{k} AS (SELECT r, p.pos, any_value(p.part) AS part, min({{'d': CAST({far} AS BIGINT), 'e': c.e}}) AS best FROM p JOIN c{k} c ON c.pos = p.pos GROUP BY r, p.pos)"
+
+    ctes = [
+        f"WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {codes.SCALE}) AS BIGINT)) AS v, row_number() OVER () AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT r, vec_id, pos, list_slice(v, pos * (len(v) // {parts}) + 1, (pos + 1) * (len(v) // {parts})) AS part FROM (SELECT *, unnest(range({parts})) AS pos FROM k))",
+        f"c0 AS (SELECT pos, e, part FROM (SELECT pos, part, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e FROM p) WHERE e < {entries})",
+    ]
+    for k in range(rounds):
+        ctes += [
+            assigned(k),
+            f"m{k} AS (SELECT pos, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS part FROM (SELECT pos, best.e AS e, i, sum(part[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY pos, e)",
+            f"c{k + 1} AS (SELECT c.pos, c.e, coalesce(m.part, c.part) AS part FROM c{k} c LEFT JOIN m{k} m ON m.pos = c.pos AND m.e = c.e)",
+        ]
+    ctes += [
+        assigned(rounds),
+        "f AS (SELECT r, string_agg(printf('%02x', CAST(best.e AS INT)), '' ORDER BY pos) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY r)".replace("a2", f"a{rounds}"),
+        f"s AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r) CROSS JOIN s"
+
+
+OP11_SQL = _op11_sql()

@@ -36,9 +36,15 @@ def write(spark, path, empty):
     save("benchmark", [(1, "past the old mill"), (1, None), (None, "no such words here"), (2, ""), (2, "past the old mill")], "item_id long, text string")
     save("labels", [(1, 1, 0), (7, 0, 1), (8, None, None), (None, 1, 1), (5, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
     save("pages", [(1, "http://a.com/x", None), (1, "http://a.com/x", None), (2, None, "<p>"), (None, "", ""), (3, "://" + "y" * 100_000, LONG)], "page_id long, url string, html string")
+    save("embeddings", [(1, [0.5] * 32, 1), (1, [0.5] * 32, 1), (2, None, 1), (3, [None] + [0.1] * 31, None), (4, [float("nan")] * 32, 2), (None, [float(i) for i in range(32)], None), (5, [], 2), (6, [1e300] * 33, 3)], "vec_id long, embedding array<double>, label int")
+    save("conversations", [(1, 0, "user", "hello"), (1, 0, "user", "hello"), (1, 1, None, None), (None, None, "assistant", LONG), (2, 5, "assistant", "")], "conv_id long, turn long, role string, text string")
     return str(path)
 
 
+#: For queries over other tables than documents: the key, and the ids of the rows wanted; what an empty table gives.
+OTHERS = {"op5": ("page_id", [1, 1, 2, None, 3], []), "op11": ("vec_id", [1, 1, None, 5, 6], []), "op12": ("conv_id", [1, None, 2, -1], [-1])}
+
+
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("odd"), False)
@@ -53,14 +59,13 @@ def empty(spark, tmp_path_factory):
 def test_a_row_for_each_row(spark, odd, empty, name):
     query = queries.queries()[name]
     rows = query(spark, odd).collect()
-    key = "page_id" if name.startswith("op5") else "doc_id"
+    key, want, left = OTHERS.get(name.split("_")[0], ("doc_id", [i for i, _, _ in TEXTS], []))
     if name.startswith("op1_"):
         rows = [r for r in rows if r.piece == 0]
-    want = [1, 1, 2, None, 3] if key == "page_id" else [i for i, _, _ in TEXTS]
     order = lambda ids: sorted(ids, key=lambda i: (i is None, i or 0))
     assert order(r[key] for r in rows) == order(want)
     none = query(spark, empty)
-    assert none.count() == 0 and none.columns == query(spark, odd).columns
+    assert [r[key] for r in none.collect()] == left and none.columns == query(spark, odd).columns
 
 
 def test_stages(spark, odd, empty):
