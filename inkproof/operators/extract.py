@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +16,72 @@ from ..sources.records import AMOUNT_FIELDS, LINE_ITEM, TEXT_FIELDS
 FIRMER = "\n\nYour last answer was no valid JSON. Return one valid JSON object only, without prose or code fences."
 
 
-def infer(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str = "response", keep: tuple[str, ...] = ("document_id",)) -> DataFrame:
-    """Ask a model about each row's prompt. ``model()`` is called once for each task and gives the function to ask."""
-    import pandas as pd
+def ask_all(ask: Callable[[str], str], prompts: list[str], concurrency: int, timeout: float) -> list[tuple[str | None, str | None]]:
+    """For each prompt the answer and null, or null and what went wrong. At most ``concurrency`` calls run at a time.
 
-    schema = ", ".join([f"{c} {df.select(c).dtypes[0][1]}" for c in keep] + [f"{out} string"])
-    names = list(keep)
+    A call that takes longer than ``timeout`` seconds is given up: its thread is left to itself, and another takes its place.
+    """
+    todo, done, began = queue.SimpleQueue(), queue.SimpleQueue(), {}
+    found: list[tuple[str | None, str | None] | None] = [None] * len(prompts)
+    for k in range(len(prompts)):
+        todo.put(k)
+
+    def work() -> None:
+        while True:
+            try:
+                k = todo.get_nowait()
+            except queue.Empty:
+                return
+            began[k] = time.monotonic()
+            try:
+                got = (ask(prompts[k]), None)
+            except Exception as e:  # one call's fault must not stop the others
+                got = (None, f"{type(e).__name__}: {e}"[:500])
+            done.put((k, got))
+            if found[k] is not None:  # given up meanwhile: another thread has taken this one's place
+                return
+
+    start = lambda: threading.Thread(target=work, daemon=True).start()
+    for _ in range(min(concurrency, len(prompts))):
+        start()
+    left = len(prompts)
+    while left:
+        try:
+            k, got = done.get(timeout=min(0.05, timeout))
+            if found[k] is None:
+                found[k], left = got, left - 1
+        except queue.Empty:
+            pass
+        for k, at in list(began.items()):
+            if found[k] is not None:
+                began.pop(k)
+            elif time.monotonic() - at > timeout:
+                found[k], left = (None, f"TimeoutError: no answer within {timeout:g} s"), left - 1
+                start()
+    return found
+
+
+def infer(
+    df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str = "response", keep: tuple[str, ...] = ("document_id",), error: str = "call_error", concurrency: int = 8, timeout: float = 120.0
+) -> DataFrame:
+    """The columns ``keep``, the model's answer to each row's prompt, and in ``error`` why there is none.
+
+    ``model()`` is called once for each task and gives the function to ask, of which ``concurrency``
+    calls run at a time. A call that raises or isn't answered in ``timeout`` seconds gives a null
+    answer and an error, and no other row suffers. Equal prompts are asked once, wherever they
+    are: prompts are gathered by a digest, and answers joined back by it. A null prompt isn't asked.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = model()
         for b in batches:
-            yield b[names].assign(**{out: [ask(p) for p in b[prompt]]})
+            got = ask_all(ask, b.column(1).to_pylist(), concurrency, timeout)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["_digest", out, error])
 
-    return df.select(*dict.fromkeys((*keep, prompt))).mapInPandas(run, schema)
+    rows = df.select(*dict.fromkeys((*keep, prompt))).withColumn("_mine", F.sha2(F.col(prompt), 256))
+    asked = rows.where(F.col(prompt).isNotNull()).groupBy("_mine").agg(F.first(prompt).alias("_prompt"))
+    answers = asked.select(F.col("_mine").alias("_digest"), "_prompt").mapInArrow(run, f"_digest string, `{out}` string, `{error}` string")
+    return rows.join(answers, F.col("_mine") == F.col("_digest"), "left").select(*keep, out, error)
 
 
 def strip_fences(text: Column) -> Column:
@@ -69,14 +126,24 @@ def typed(df: DataFrame, responses: list[str], keep: tuple[str, ...] = ("documen
     return out.select(*keep, data.alias("data"), F.coalesce("_n", F.lit(len(responses))).alias("parse_attempts"), error.alias("parse_error"), F.coalesce(picked, last).alias("raw_text"))
 
 
-def extract(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], keep: tuple[str, ...] = ("document_id",), retries: int = 1) -> DataFrame:
-    """Ask, and ask up to ``retries`` times more, in firmer words, only where no answer so far can be read."""
+def extract(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], keep: tuple[str, ...] = ("document_id",), retries: int = 1, concurrency: int = 8, timeout: float = 120.0) -> DataFrame:
+    """Ask, and ask up to ``retries`` times more, in firmer words, only where no answer so far can be read.
+
+    As :func:`typed`, and ``call_error``: of a row without a usable answer, why its last call gave none (null if it gave one).
+    Rows are told apart by themselves, so ids may be null or repeat.
+    """
     from .state import stored
 
-    names = ["response_1"]
-    asked = stored(infer(df, prompt, model, "response_1", (*keep, prompt)))
+    names, done = ["response_1"], None
+    asked = stored(infer(df, prompt, model, "response_1", tuple(dict.fromkeys((*keep, prompt))), concurrency=concurrency, timeout=timeout))
     for n in range(2, retries + 2):
-        bad = asked.where(first_usable(names)[1].isNull()).withColumn("_again", F.concat(prompt, F.lit(FIRMER)))
+        usable = first_usable(names)[1].isNotNull()
+        good = asked.where(usable)
+        done = good if done is None else done.unionByName(good, allowMissingColumns=True)
+        bad = asked.where(~usable).drop("call_error").withColumn("_again", F.concat(prompt, F.lit(FIRMER)))
+        again = infer(bad, "_again", model, f"response_{n}", tuple(c for c in bad.columns if c != "_again"), concurrency=concurrency, timeout=timeout)
         names.append(f"response_{n}")
-        asked = stored(asked.join(infer(bad, "_again", model, names[-1], keep), list(keep), "left"))
-    return typed(asked, names, keep)
+        asked = stored(again)
+    every = asked if done is None else done.unionByName(asked, allowMissingColumns=True)
+    every = every.withColumn("call_error", F.when(first_usable(names)[1].isNull(), F.col("call_error")))
+    return typed(every, names, (*keep, "call_error"))
