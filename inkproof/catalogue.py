@@ -13,6 +13,7 @@ from .deploy import ship
 from .functions import scalars
 from .functions.rules import RULES, Rule, decide
 from .operators import confidence, export, extract, ingest, listing, lookup, review, state, texts, validate
+from .plans import process
 from .plans.verify import verify
 from .sources import readers
 from .sources.readers import DEFAULT_POLICY, policy_table
@@ -445,6 +446,61 @@ def verify_documents(spark, d):
 _QUERIES["verify"] = _QUERIES.pop("verify_documents")
 
 
+def _document_flow(spark, d):
+    """The given documents, recorded answers and recorded proposals, as a flow in a folder of its own."""
+    answers, vendors = state.stored(view(spark, d, "doc_answers").drop("seq")), _vendors(spark, d)
+    pages = state.stored(view(spark, d, "doc_pages").drop("content_type"))
+
+    def read(rows):
+        given = rows.select(ID).join(answers, ID)
+        return extract.typed(given, ["response_1", "response_2"], (ID, "call_error"))
+
+    def read_again(rows):
+        return extract.typed(rows.select(ID).join(answers, ID), ["response_again"], (ID, "call_error"))
+
+    def propose(df):
+        first = F.element_at(F.array(*map(F.lit, ("accept", "retry", "escalate", "reject", None))), (F.col("seq") % 5 + 1).cast("int"))
+        second = F.element_at(F.array(*map(F.lit, ("accept", "retry", "escalate"))), (F.col("seq") % 3 + 1).cast("int"))
+        mine = F.when(F.col("attempts") == 1, first).otherwise(second)
+        return df.withColumn("proposed", mine).withColumn("reasoning", F.when(mine.isNotNull(), F.lit("as recorded")))
+
+    stages = [process.read_texts(pages), process.read_records(read), process.check(vendors, now=NOW), process.decide(propose, read_again, vendors, now=NOW)]
+    flow = process.Flow(spark, _folder(spark), stages, buckets=8)
+    kind = F.when(F.col("seq") % 6 == 0, "image/png").when(F.col("seq") % 6 == 1, "image/jpeg").otherwise("application/pdf")
+    docs = view(spark, d, "documents_state").withColumn("seq", F.col(ID).cast("long"))
+    return flow, docs.select(ID, F.col("created_at").alias("received_at"), "seq", kind.alias("content_type"), "original_filename")
+
+
+def _processed(spark, d):
+    """Half of the documents are stopped after the second stage; then all come, and go on from where they are."""
+    flow, docs = _document_flow(spark, d)
+    flow.submit(docs.where("seq % 2 = 0"))
+    for stage in flow.stages[:2]:
+        flow.step(stage)
+    flow.submit(docs)
+    flow.run()
+    return flow
+
+
+@query
+def process_documents(spark, d):
+    """From pages to final states, with failures routed and a stopped run resumed."""
+    got = process.results(_processed(spark, d))
+    return got.select(
+        ID, "status", F.try_element_at("metadata", F.lit("failure_reason")).alias("failure_reason"), "texts.method", "extractions.data.vendor_name", "extractions.data.total",
+        F.col("extractions.attempt").cast("long").alias("attempt"), "checks.confidence.overall", F.col("checks.overall").alias("validation"), "reviews.decision",
+    ).withColumnRenamed("overall", "confidence")
+
+
+@query
+def reading_history(spark, d):
+    """Every reading of each document: the records and their checks."""
+    flow = _processed(spark, d)
+    keys = (ID, "attempt")
+    records, checks = flow.table("extractions", keys).read(), flow.table("checks", keys).read()
+    return records.join(checks, list(keys)).select(ID, F.col("attempt").cast("long").alias("attempt"), "data.invoice_number", "parse_error", "overall", "needs_review")
+
+
 def _events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 

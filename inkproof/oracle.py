@@ -319,6 +319,40 @@ _DAY = "time_bucket(INTERVAL '1 day', ts)"
 _DOC_STATE = (_view("documents_state"),)
 
 
+#: The flow of the documents: pages, texts, recorded answers, checks, and the review with a second reading.
+_ITEM = "[{'description': 'goods', 'quantity': 1.0::DOUBLE, 'unit_price': subtotal, 'amount': subtotal}]"
+_UNREAD = "d.seq % 20 = 0"  # neither answer of the first reading can be parsed
+
+
+def _record(name: str, docs: str, unread: str) -> tuple[str, str]:
+    fields = ", ".join(f"CASE WHEN {unread} THEN NULL ELSE i.{f} END AS {f}" for f in (*_TEXT, *_AMOUNTS))
+    return name, f"SELECT *, CASE WHEN empty THEN [] ELSE {_ITEM} END AS line_items FROM (SELECT d.document_id, d.seq, d.received_at, d.source_text, d.injection_flags, {unread} AS empty, {fields} FROM {docs} d LEFT JOIN invoices i ON i.document_id = d.document_id)"
+
+
+_FLOW = (
+    _view("invoices"), _view("page_text"), _view("doc_pages"), _view("documents_state"),
+    ("rolled", "SELECT document_id, method, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS full_text, sum(length(text)) AS total_chars, count(*) AS page_count FROM doc_pages GROUP BY document_id, method"),
+    ("d", "SELECT document_id, CAST(document_id AS BIGINT) AS seq, created_at AS received_at FROM documents_state"),
+    ("messy_text", """SELECT d.*, d.document_id AS doc_id, CASE WHEN d.seq % 6 > 1 AND coalesce(n.total_chars / n.page_count >= 50, false) THEN 'native' ELSE 'ocr' END AS method,
+        coalesce(CASE WHEN d.seq % 6 > 1 AND coalesce(n.total_chars / n.page_count >= 50, false) THEN n.full_text ELSE o.full_text END, '') AS text
+        FROM d LEFT JOIN rolled n ON n.document_id = d.document_id AND n.method = 'native' LEFT JOIN rolled o ON o.document_id = d.document_id AND o.method = 'ocr'"""),
+    *_sanitised(_NORMAL)[0],
+    ("texts", f"SELECT document_id, seq, received_at, method, t3 AS source_text, {_FLAGS} AS injection_flags FROM s3 WHERE t3 <> ''"),
+    ("asked", "SELECT * FROM texts WHERE seq % 31 <> 0"),
+    _record("docinv", "asked", _UNREAD), (INV[0], INV[1].replace("FROM invoices", "FROM docinv")), *_chain("", "inv"),
+    ("gated", f"SELECT s.*, c.overall AS confidence, {_NEEDS} AS needs_review FROM sums s JOIN conf c USING (document_id)"), _marked(""),
+    ("ask1", """SELECT d.document_id, d.seq, CASE d.seq % 5 WHEN 0 THEN 'accept' WHEN 1 THEN 'retry' WHEN 2 THEN 'escalate' WHEN 3 THEN 'reject' END AS proposed, true AS has_reprocessor, coalesce(m.n_retryable, 0) AS n_retryable, m.blocking
+        FROM asked d JOIN gated g USING (document_id) LEFT JOIN marks m USING (document_id) WHERE g.needs_review"""),
+    _guard("got1", "ask1", 1),
+    _record("reread", "(SELECT * FROM asked WHERE document_id IN (SELECT document_id FROM got1 WHERE decision = 'retry'))", "false"),
+    ("inv2", f"SELECT r.*, {_PARSED.replace('invoice_date', 'r.invoice_date')} AS parsed, {_KNOWN.replace('vendor_name', 'r.vendor_name')} AS known, f.n_prior FROM reread r JOIN inv f USING (document_id)"), *_chain("b", "inv2"), _marked("b"),
+    ("ask2", "SELECT g.document_id, CASE g.seq % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'retry' ELSE 'escalate' END AS proposed, g.has_reprocessor, coalesce(m.n_retryable, 0) AS n_retryable, m.blocking FROM got1 g LEFT JOIN bmarks m USING (document_id) WHERE g.decision = 'retry'"),
+    _guard("got2", "ask2", 2),
+    ("finals", "SELECT document_id, decision FROM got1 WHERE decision <> 'retry' UNION ALL SELECT document_id, decision FROM got2"),
+    ("bgated", f"SELECT s.*, c.overall AS confidence, {_NEEDS} AS needs_review FROM bsums s JOIN bconf c USING (document_id)"),
+)
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
         "ingest_sniff": _with(*_FILES) + " SELECT document_id, 'uploaded' AS status, 'rest_upload' AS source_channel, original_filename, content_type, size_bytes, sum || CASE content_type WHEN 'application/pdf' THEN '.pdf' WHEN 'image/png' THEN '.png' ELSE '.jpg' END AS storage_key, sum AS checksum_sha256 FROM sniffed WHERE size_bytes <= 2000 AND content_type IS NOT NULL",
@@ -371,6 +405,13 @@ def oracle_sql() -> dict[str, str]:
         "mark_failed": _with(*_DOC_STATE) + " SELECT document_id, status, 'rest' AS source, failure_reason FROM documents_state",
         "verify": _with(*_GATED) + " SELECT document_id, overall, confidence, needs_review, CASE WHEN needs_review THEN 'review' ELSE 'completed' END AS status, n_fail, n_warning FROM gated",
         "stream_verify": _with(*_GATED) + " SELECT document_id, overall, confidence, needs_review, CASE WHEN needs_review THEN 'review' ELSE 'completed' END AS status FROM gated",
+        "process_documents": _with(*_FLOW) + f""" SELECT d.document_id, CASE WHEN t.document_id IS NULL OR a.document_id IS NULL THEN 'failed' WHEN f.decision IS NULL THEN 'completed' ELSE {_STATUS} END AS status,
+            CASE WHEN t.document_id IS NULL THEN 'the document has no text' WHEN a.document_id IS NULL THEN 'TimeoutError: no answer' END AS failure_reason, t.method,
+            CASE WHEN b.document_id IS NULL THEN i.vendor_name ELSE r.vendor_name END AS vendor_name, CASE WHEN b.document_id IS NULL THEN i.total ELSE r.total END AS total, CASE WHEN i.document_id IS NULL THEN NULL WHEN b.document_id IS NULL THEN 1 ELSE 2 END AS attempt,
+            coalesce(b.confidence, g.confidence) AS confidence, coalesce(b.overall, g.overall) AS validation, f.decision
+            FROM d LEFT JOIN texts t USING (document_id) LEFT JOIN asked a USING (document_id) LEFT JOIN inv i USING (document_id) LEFT JOIN gated g USING (document_id) LEFT JOIN bgated b USING (document_id) LEFT JOIN inv2 r USING (document_id) LEFT JOIN finals f USING (document_id)""",
+        "reading_history": _with(*_FLOW) + """ SELECT g.document_id, 1 AS attempt, i.invoice_number, CASE WHEN i.empty THEN 'no JSON object in any answer' END AS parse_error, g.overall, g.needs_review FROM gated g JOIN inv i USING (document_id)
+            UNION ALL SELECT g.document_id, 2, i.invoice_number, NULL, g.overall, g.needs_review FROM bgated g JOIN inv2 i USING (document_id)""",
         "rate_window": f"SELECT user_id, {_DAY} AS window_start, count(*) AS n, count(*) > 4 AS over_limit FROM events GROUP BY user_id, {_DAY}",
         "stream_rate": f"SELECT user_id, {_DAY} AS window_start, count(*) AS n, count(*) > 4 AS over_limit FROM events GROUP BY user_id, {_DAY}",
         "rate_rejected": f"SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n > 4",
