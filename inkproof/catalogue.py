@@ -533,6 +533,20 @@ def stream_rate(spark, d):
     return got.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "x.n", "x.over_limit")
 
 
+@query
+def stream_rejected(spark, d):
+    """The requests as files that arrive in the order of time; those over the limit are told as they come."""
+    base, events = _folder(spark), _events(spark, d)
+    cuts = events.select(F.unix_seconds("ts").alias("s")).agg(F.percentile_approx("s", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    place = sum((F.when(F.unix_seconds("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(4):
+        events.where(place == k).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    stream = arrivals.record_stream(spark, f"{base}/landing", events.schema, files_per_batch=1)
+    flagged = rates.numbered(stream.select("event_id", "user_id", "ts"), "user_id", "ts", 4, 86_400, "1 minute", ("event_id",)).where("over_limit")
+    flagged.writeStream.format("parquet").option("path", f"{base}/flagged").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, user_id bigint, n bigint").parquet(f"{base}/flagged").select("event_id", "user_id", "n")
+
+
 def _folder(spark) -> str:
     return f"{state.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -548,11 +562,11 @@ def stream_verify(spark, d):
     for k in range(4):  # later files have later invoices, so processing order is that of receipt
         landing.where(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{base}/landing")
 
-    def flow(batch, earlier):
-        return verify(batch, vendors, now=NOW, earlier=earlier).select(ID, "overall", "confidence", "needs_review", "status")
+    def flow(batch):
+        return verify(batch, vendors, now=NOW, scope="given").select(ID, "overall", "confidence", "needs_review", "status")
 
     stream = arrivals.record_stream(spark, f"{base}/landing", landing.schema, files_per_batch=1)
-    arrivals.run(stream, flow, f"{base}/store", f"{base}/checkpoint", keys=lookup.invoice_keys).awaitTermination()
+    arrivals.run(stream, flow, f"{base}/store", f"{base}/checkpoint", looked_up=True).awaitTermination()
     return arrivals.stored_rows(spark, f"{base}/store").selectExpr(*_VERIFIED)
 
 

@@ -414,6 +414,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT g.document_id, 2, i.invoice_number, NULL, g.overall, g.needs_review FROM bgated g JOIN inv2 i USING (document_id)""",
         "rate_window": f"SELECT user_id, {_DAY} AS window_start, count(*) AS n, count(*) > 4 AS over_limit FROM events GROUP BY user_id, {_DAY}",
         "stream_rate": f"SELECT user_id, {_DAY} AS window_start, count(*) AS n, count(*) > 4 AS over_limit FROM events GROUP BY user_id, {_DAY}",
+        "stream_rejected": f"SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n > 4",
         "rate_rejected": f"SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n > 4",
         "doc_list": _with(*_STORES, ("chosen", "SELECT * FROM documents_state WHERE status = 'completed' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 3")) + " SELECT " + _FLAT.format("chosen"),
         "doc_detail": _with(*_STORES) + " SELECT " + _FLAT.format("documents_state"),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders over which the ids and keys of each batch are dealt out; a batch reads only the folders it needs.
-FOLDERS = 64
+from ..functions.scalars import falsy, key
+from .keyed import FirstOfKey, use_rocksdb
+
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def record_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -16,59 +18,39 @@ def record_stream(spark: SparkSession, path: str, schema, files_per_batch: int |
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def _folder(names: tuple[str, ...]) -> Column:
-    return F.pmod(F.xxhash64(*names), F.lit(FOLDERS)).cast("int")
-
+def once(stream: DataFrame, id_col: str = "document_id") -> DataFrame:
+    """Each document once, however often and in however many batches it comes."""
+    use_rocksdb(stream.sparkSession)
+    return stream.dropDuplicates([id_col])
 
-def _before(spark: SparkSession, path: str, number: int, wanted: DataFrame, names: tuple[str, ...]) -> DataFrame | None:
-    """The index rows of earlier batches in the folders that ``wanted`` needs; None if nothing is there."""
-    folders = [r[0] for r in wanted.select(_folder(names).alias("folder")).distinct().collect()]  # FOLDERS at most
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-    return stored.where(F.col("folder").isin(folders) & (F.col("batch") < number)).drop("folder", "batch")
 
+def earlier_invoices(stream: DataFrame, order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id") -> DataFrame:
+    """Add ``duplicate_count`` and ``duplicate_ids``: invoices of the same vendor and number in earlier batches, or before in this one.
 
-def _index(rows: DataFrame, path: str, number: int, names: tuple[str, ...]) -> None:
-    rows.withColumn("folder", _folder(names)).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/batch={number}")
+    The state is a count and three ids for each vendor and number. A batch's rows of one vendor and number are
+    ordered by one task, as text: whole rows go along packed, and are unpacked after.
+    """
+    use_rocksdb(stream.sparkSession)
+    keyless = falsy(F.col("vendor_name")) | falsy(F.col("invoice_number"))
+    own = F.when(keyless, F.concat(F.lit("\x02"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).otherwise(F.concat_ws("\x01", key(F.col("vendor_name")), key(F.col("invoice_number"))))
+    packed = stream.select(own.alias("key"), keyless.alias("keyless"), F.col(id_col).cast("string").alias("own_id"), *(F.col(c).alias(f"order{k}") for k, c in enumerate(order)), F.to_json(F.struct(*stream.columns), _JSON).alias("packed"))
+    found = packed.groupBy("key").transformWithStateInPandas(FirstOfKey([f"order{k}" for k in range(len(order))]), "packed string, duplicate_count long, duplicate_ids array<string>", "append", "none")
+    return found.select(F.from_json("packed", stream.schema, _JSON).alias("_r"), "duplicate_count", "duplicate_ids").select("_r.*", "duplicate_count", "duplicate_ids")
 
 
-def run(
-    stream: DataFrame,
-    flow: Callable[[DataFrame, DataFrame | None], DataFrame],
-    store: str,
-    checkpoint: str,
-    id_col: str = "document_id",
-    keys: Callable[[DataFrame], DataFrame] | None = None,
-    key_cols: tuple[str, ...] = ("_v", "_n"),
-):
-    """Start the query. ``flow(batch, earlier)`` gives a batch's rows; documents that an earlier batch had are left out.
+def run(stream: DataFrame, flow: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, id_col: str = "document_id", looked_up: bool = False, order: tuple[str, ...] = ("received_at", "seq")):
+    """Start the query. ``flow(batch)`` gives a batch's rows; documents that an earlier batch had are left out.
 
-    ``earlier``: what ``keys`` gave of the documents of earlier batches, as far as their folders of
-    ``key_cols`` are this batch's; None without ``keys`` or before anything is stored. Rows, ids
-    and keys of a batch go to folders of its own number, so running it again overwrites its own
-    only, and sees the same earlier ones.
+    ``looked_up``: batches come with what :func:`earlier_invoices` adds. A batch's rows go to a folder of its own
+    number, so running it again overwrites its own rows only.
     """
+    fresh = once(stream, id_col)
+    fresh = earlier_invoices(fresh, order, id_col) if looked_up else fresh
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            known = _before(spark, f"{store}/ids", number, batch, (id_col,))
-            fresh = batch if known is None else batch.join(known, id_col, "left_anti")
-            mine = keys(fresh) if keys else None
-            earlier = _before(spark, f"{store}/keys", number, mine, key_cols) if keys else None
-            flow(fresh, earlier).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
-            if keys:
-                _index(mine, f"{store}/keys", number, key_cols)
-            _index(fresh.select(id_col), f"{store}/ids", number, (id_col,))
-        finally:
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        flow(batch).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+
+    return fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame:

@@ -4,7 +4,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from inkproof.operators import lookup
 from inkproof.streaming import arrivals, rates
 
 SCHEMA = "document_id string, vendor_name string, invoice_number string, received_at timestamp, seq long"
@@ -14,35 +13,71 @@ def batch(spark, path, *rows):
     spark.createDataFrame([(i, v, n, datetime(2024, 1, day), int(i)) for i, v, n, day in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_duplicates_across_batches_and_a_batch_that_comes_again(spark, tmp_path):
-    def flow(rows, earlier):
-        return lookup.duplicates(rows, earlier=earlier).select("document_id", "duplicate_count", "duplicate_ids")
+def found(rows):
+    return rows.select("document_id", "duplicate_count", "duplicate_ids")
+
 
+def test_duplicates_across_batches_and_a_batch_that_comes_again(spark, tmp_path):
     def arrive():
-        stream = arrivals.record_stream(spark, f"{tmp_path}/in", spark.read.schema(SCHEMA).parquet(f"{tmp_path}/in").schema, files_per_batch=1)
-        arrivals.run(stream, flow, f"{tmp_path}/store", f"{tmp_path}/checkpoint", keys=lookup.invoice_keys).awaitTermination()
-        return {r.document_id: (r.duplicate_count, r.duplicate_ids) for r in arrivals.stored_rows(spark, f"{tmp_path}/store").collect()}
+        stream = arrivals.record_stream(spark, f"{tmp_path}/in", SCHEMA, files_per_batch=1)
+        q = arrivals.run(stream, found, f"{tmp_path}/store", f"{tmp_path}/checkpoint", looked_up=True)
+        q.awaitTermination()
+        return {r.document_id: (r.duplicate_count, r.duplicate_ids) for r in arrivals.stored_rows(spark, f"{tmp_path}/store").collect()}, q
 
     batch(spark, f"{tmp_path}/in", ("1", "Acme", "A-1", 1), ("2", " ACME ", "a-1", 2), ("3", None, "A-1", 3))
     batch(spark, f"{tmp_path}/in", ("4", "acme", "A-1", 4), ("2", "Acme", "A-1", 5), ("5", "Other", "A-1", 1))
     want = {"1": (0, []), "2": (1, ["1"]), "3": (0, []), "4": (2, ["1", "2"]), "5": (0, [])}
-    assert arrive() == want
+    assert arrive()[0] == want
     batch(spark, f"{tmp_path}/in", ("4", "acme", "A-1", 4), ("6", "acme", "A-1", 6), ("7", "acme", "A-1", 6))
-    assert arrive() == want | {"6": (3, ["1", "2", "4"]), "7": (4, ["1", "2", "4"])}
-    assert len(list((tmp_path / "store/rows").glob("batch=*"))) == 3
+    got, q = arrive()
+    assert got == want | {"6": (3, ["1", "2", "4"]), "7": (4, ["1", "2", "4"])}
+    assert len(list((tmp_path / "store/rows").glob("batch=*"))) == 3 and [p.name for p in (tmp_path / "store").iterdir()] == ["rows"]
+    # State: a row for each id and one for each key, whatever number of rows has it.
+    assert sorted(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) == [2, 7]
 
 
 def test_a_batch_run_twice_overwrites_itself(spark, tmp_path):
     """As after a crash between a batch's write and its commit."""
-    def flow(rows, earlier):
-        return lookup.duplicates(rows, earlier=earlier).select("document_id", "duplicate_count")
-
     batch(spark, f"{tmp_path}/in", ("1", "Acme", "A-1", 1))
     batch(spark, f"{tmp_path}/in", ("2", "Acme", "A-1", 2))
-    for k in range(2):  # a new checkpoint each time: both batches come again under their numbers
-        stream = arrivals.record_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1)
-        arrivals.run(stream, flow, f"{tmp_path}/store", f"{tmp_path}/checkpoint{k}", keys=lookup.invoice_keys).awaitTermination()
-        assert sorted(tuple(r) for r in arrivals.stored_rows(spark, f"{tmp_path}/store").collect()) == [("1", 0), ("2", 1)]
+    for number in (None, 1, 0):
+        if number is not None:  # the commit of this batch is lost, and of all after it
+            for k in range(number, 2):
+                for name in (f"{k}", f".{k}.crc"):
+                    (tmp_path / "checkpoint/commits" / name).unlink(missing_ok=True)
+        stream = arrivals.record_stream(spark, f"{tmp_path}/in", SCHEMA, 1)
+        arrivals.run(stream, found, f"{tmp_path}/store", f"{tmp_path}/checkpoint", looked_up=True).awaitTermination()
+        assert sorted(tuple(r) for r in arrivals.stored_rows(spark, f"{tmp_path}/store").collect()) == [("1", 0, []), ("2", 1, ["1"])]
+        if number == 1:
+            break
+
+
+def test_a_later_batch_reads_what_an_early_one_reads(spark, tmp_path):
+    """However many batches came before, a batch reads its own file and the state of its own keys."""
+    for k in range(12):
+        batch(spark, f"{tmp_path}/in", *[(str(10 * k + i), f"V{k % 3}", f"N{i}", 1) for i in range(4)])
+    stream = arrivals.record_stream(spark, f"{tmp_path}/in", SCHEMA, 1)
+    q = arrivals.run(stream, found, f"{tmp_path}/store", f"{tmp_path}/checkpoint", looked_up=True)
+    q.awaitTermination()
+    read = [[s["customMetrics"].get("rocksdbGetCount", 0) for s in p["stateOperators"]] for p in q.recentProgress if p["numInputRows"]]
+    assert len(read) == 12 and read[-1] == read[3]
+    assert arrivals.stored_rows(spark, f"{tmp_path}/store").where("duplicate_count = 3").count() == 12
+
+
+def test_requests_are_numbered_as_they_arrive(spark, tmp_path):
+    """Numbers go on over batches; a window's state goes when the watermark passes its end, and what comes later is left out."""
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in ([("u", "10:00:05"), ("u", "10:00:50"), ("v", "10:00:50")], [("u", "10:00:55"), (None, "10:00:59"), ("u", "10:01:00")], [("u", "10:00:20")], [("u", "10:30:00")], [("u", "10:00:30"), ("u", "10:30:01")], [("v", "11:00:00")], [("v", "11:00:01")]):
+        spark.createDataFrame([(u, datetime.fromisoformat(f"2024-01-01 {t}")) for u, t in rows], "user string, at timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = arrivals.record_stream(spark, path, "user string, at timestamp", 1)
+    q = rates.numbered(stream, "user", "at", 2).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.user, r.t): (r.n, r.over_limit, r.w) for r in spark.read.parquet(out).select("user", F.date_format("at", "HH:mm:ss").alias("t"), "n", "over_limit", F.date_format("window_start", "HH:mm").alias("w")).collect()}
+    assert got == {
+        ("u", "10:00:05"): (1, False, "10:00"), ("u", "10:00:50"): (2, False, "10:00"), ("v", "10:00:50"): (1, False, "10:00"), ("u", "10:00:55"): (3, True, "10:00"), (None, "10:00:59"): (1, False, "10:00"), ("u", "10:01:00"): (1, False, "10:01"),
+        ("u", "10:00:20"): (4, True, "10:00"), ("u", "10:30:00"): (1, False, "10:30"), ("u", "10:30:01"): (2, False, "10:30"), ("v", "11:00:00"): (1, False, "11:00"), ("v", "11:00:01"): (2, False, "11:00"),
+    }
+    assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) <= 4  # the open window and its timer
 
 
 def test_windows_expire(spark, tmp_path):
