@@ -6,9 +6,9 @@ one window. The distinct windows are counted first: up to ``BROADCAST_WINDOWS``
 set is broadcast and the text isn't shuffled; beyond, windows and text are joined by a shuffle on
 the hash. A hash match is verified on the words themselves.
 
-Null and empty texts have no words and no hits. Rows that repeat an id are judged as one
-document: positions hit in any of them count once, and so are rows with a null id; ``decontaminate``
-judges each row by itself. Null and wordless items give no window; items that repeat an id unite. Empty tables
+Null and empty texts have no words and no hits. Each row is judged by itself: a row is known by
+a digest of its id and text, so rows without an id, and rows that repeat an id with another text, don't
+share hits or verdicts. Null and wordless items give no window; items that repeat an id unite. Empty tables
 give no rows or no hits. Only the named columns are read.
 """
 
@@ -58,10 +58,16 @@ def window_hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str)
     return at.join(side, ["size", "hash"]).where(F.array_join("part", " ") == F.col("window")).select("id", "at", "size", "window")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: ``id, n_words, n_hit, n_items, items`` (sorted, comma-joined) and ``contaminated``."""
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells a row from others with another id or text."""
+    text = lambda c, none: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(none))
+    return F.sha2(F.concat(text(id_col, "-"), F.lit(" "), text(text_col, "")), 256)
+
+
+def _found(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """``id, n_hit, n_items, items`` of the rows (``id, text``) that have a hit."""
     windows = benchmark_windows(items, item_col, item_text_col)
-    hits = materialise(window_hits(docs, windows, id_col, text_col))
+    hits = materialise(window_hits(docs, windows, "id", "text"))
     spot = hits.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     n_hit = spot.groupBy("id").agg(F.count("*").alias("n_hit"))
     # A window that many documents share is dealt out over SALTS keys before the join with its items.
@@ -69,22 +75,30 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items_of = windows.select("window", F.col("item").cast("string").alias("item")).distinct().select("*", salts)
     held = hits.select("id", "window").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     named = held.join(items_of, ["window", "salt"]).select("id", "item").distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"), F.count("item").alias("n_items"))
-    sizes = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    found = n_hit.withColumnRenamed("id", "_n").join(named.withColumnRenamed("id", "_i"), F.col("_n").eqNullSafe(F.col("_i"))).drop("_i")
-    out = sizes.join(found, F.col("id").eqNullSafe(F.col("_n")), "left").drop("_n")
-    out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
+    return n_hit.join(named, "id")
+
+
+def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Add the counts, ``items`` and ``contaminated`` to rows with ``_row, n_words``."""
+    out = rows.join(found, F.col("_row") == F.col("id"), "left").drop("id")
+    for c, none in (("n_hit", F.lit(0)), ("n_items", F.lit(0)), ("items", F.lit(""))):
+        out = out.withColumn(c, F.coalesce(c, none))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_WORD_IN * F.col("n_hit") >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """For each row of ``docs``: ``id, n_words, n_hit, n_items, items`` (sorted, comma-joined) and ``contaminated``."""
+    row = _row(id_col, text_col)
+    found = _found(docs.select(row.alias("id"), F.col(f"`{text_col}`").alias("text")), items, item_col, item_text_col)
+    sizes = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("_row"), F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
+    return _judged(sizes, found).select(F.col("_id").alias("id"), "n_words", "n_hit", "n_items", "items", "contaminated")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Remove the contaminated rows; the others stay as they are.
-
-    Here each row is judged by itself: a row is known by its id and a digest of its text, so rows
-    without an id, and rows that repeat an id with another text, don't share a verdict.
-    """
-    own = unused("_row", docs.columns)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    row = F.sha2(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit(" "), text), 256)
-    known = docs.select(row.alias(own), text.alias("text"))
-    bad = contamination(known, items, own, "text", item_col, item_text_col).where("contaminated").select(F.col("id").alias(own)).distinct()
+    """Remove the contaminated rows; the others stay as they are."""
+    own, row = unused("_row", docs.columns), _row(id_col, text_col)
+    text = F.col(f"`{text_col}`").alias("text")
+    found = _found(docs.select(row.alias("id"), text), items, item_col, item_text_col)
+    sizes = docs.select(row.alias("_row"), F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
+    bad = _judged(sizes, found).where("contaminated").select(F.col("_row").alias(own)).distinct()
     return docs.join(bad, row == F.col(own), "left_anti")

@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
 
 OP3_SQL = r"""
 WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -131,15 +131,15 @@ bs AS (SELECT item_id, w, least(len(w), 13) AS size FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS part
        FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM bs)),
 sizes AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT doc_id, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS part
-       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM w, sizes WHERE len(w) >= size)),
-hits AS (SELECT dw.doc_id, dw.pos, dw.size, bw.item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.part = bw.part),
-spots AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS spot FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+dw AS (SELECT r, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS part
+       FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM w, sizes WHERE len(w) >= size)),
+hits AS (SELECT dw.r, dw.pos, dw.size, bw.item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.part = bw.part),
+spots AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS spot FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
-FROM w LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM w LEFT JOIN spots USING (r) LEFT JOIN items USING (r)
 """
 
 def _op5_sql() -> str:

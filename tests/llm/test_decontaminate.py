@@ -61,3 +61,14 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     assert decontaminate.decontaminate(d, b).count() == 0
     assert decontaminate.contamination(d, b.where("false")).where("n_hit = 0").count() == 3
     assert decontaminate.contamination(d.where("false"), b).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_themselves(spark):
+    docs, items = data()
+    texts = [docs[6][1], "a b c", docs[6][1], None, "solo", docs[6][1] + " and more"]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for key in (1, None):
+        d = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+        want = sorted(brute([(0, t)], items)[0] for t in texts)
+        assert sorted((x.n_words, x.n_hit, x.n_items, x["items"], x.contaminated) for x in decontaminate.contamination(d, b).collect()) == want
+        assert sorted(x.text or "" for x in decontaminate.decontaminate(d, b).collect()) == ["", "a b c"]
