@@ -63,13 +63,24 @@ def _joined(part: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"\0".join(part) + b"\0", np.uint8), np.repeat(np.array(owner, np.int64), [len(p) + 1 for p in part])
 
 
+def characters(data: np.ndarray, owner: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """A block's characters, each as a number made of its UTF-8 bytes, with the text's number; and how many of them the block before had."""
+    first = (data & 0xC0) != 0x80
+    if first.all():
+        return data.astype(np.uint32), owner, seen
+    starts = np.flatnonzero(first)
+    inner = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    value = data[starts[0] :].astype(np.uint32) << (8 * np.minimum(inner, 3)).astype(np.uint32)
+    return np.add.reduceat(value, starts - starts[0], dtype=np.uint32), owner[starts], int(np.count_nonzero(first[:seen]))
+
+
 def _index(h: np.ndarray, bits: int) -> np.ndarray:
     h = h ^ (h >> np.uint32(15))
     return (h * _GOLDEN) >> np.uint32(32 - bits)
 
 
 def char_grams(data: np.ndarray, sizes: tuple[int, ...], bits: int, seen: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: the positions at which an n-gram of bytes begins, and its feature; none within the first ``seen`` bytes."""
+    """For each size: the positions at which an n-gram of bytes (or characters) begins, and its feature; none within the first ``seen``."""
     wide, inside = data.astype(np.uint32), data != 0
     h, ok = wide, inside
     for n in range(2, max(sizes) + 1):

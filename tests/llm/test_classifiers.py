@@ -114,50 +114,93 @@ def test_features_do_not_depend_on_the_block(monkeypatch):
 
 
 def brute_grams(text, sizes):
-    b = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
-    return {b[i : i + n] for n in sizes for i in range(len(b) - n + 1)}
+    t = re.sub(r"[\t\n\x0b\x0c\r]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return Counter(t[i : i + n] for n in sizes for i in range(len(t) - n + 1)), len(t)
 
 
 def toxic_feature(gram):
-    (data, *_), = blocks([gram])
-    return int(next(iter(char_grams(data, (len(gram),), toxicity.BITS)))[1][0])
+    (data, owner, seen), = blocks([gram.encode()])
+    chars, *_ = linear.characters(data, owner, seen)
+    return int(next(iter(char_grams(chars, (len(gram),), toxicity.BITS)))[1][0])
+
+
+def test_characters_are_code_points(monkeypatch):
+    texts = ["aé日🙂b" * 9 + " x", "", "ünïcödé words and 🙂🙂 more " * 5, "plain"]
+    for size in (1 << 20, 64, 100):
+        monkeypatch.setattr(linear, "BLOCK", size)
+        row, feature, value = toxicity._values([t.encode() for t in texts])
+        got = {(int(r), int(f)): float(v) for r, f, v in zip(row, feature, value)}
+        want = {}
+        for i, t in enumerate(texts):
+            grams, n = brute_grams(t, toxicity.SIZES)
+            for g, c in grams.items():
+                want[i, toxic_feature(g)] = math.log1p(1000 * c / n)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
 def test_toxicity_against_brute_force(spark):
-    """The same model over the n-grams themselves (no hashing): ratios, fit, pruning, calibration and score."""
+    """The same model over the n-grams themselves (no hashing): ratios, fit and score."""
     rows, labels = labelled(150)
     docs, known = frames(spark, rows + [(9005, "NASTYGIT " + "river été " * 200, "x", 0.0), (9006, "", "x", 0.0)], labels)
     got = {x.id: x.score for x in toxicity.toxicity(docs, known).collect()}
-    apart = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
     tox = {i: t for i, _, t in labels}
-    grams = {i: brute_grams(t, (3, 4, 5)) for i, t, *_ in rows}
-    names = sorted(set().union(*(grams[i] for i in tox if i not in apart)))
-    count = lambda k: Counter(g for i, y in tox.items() if y == k and i not in apart for g in grams[i])
-    one, zero = count(1), count(0)
-    dims = 1 << toxicity.BITS  # each n-gram has one of so many smoothed counts, most of them empty
-    all_one, all_zero = sum(one.values()) + dims, sum(zero.values()) + dims
-    ratio = {g: math.log((one[g] + 1) / all_one) - math.log((zero[g] + 1) / all_zero) for g in names}
-    ratio = {g: x for g, x in ratio.items() if abs(x) >= toxicity.LEAST_RATIO and one[g] + zero[g] >= toxicity.LEAST_TEXTS}
-    names = sorted(ratio)
-    ids = sorted(tox)
-    x = np.array([[ratio[g] * (g in grams[i]) for g in names] for i in ids])
-    y, w8 = np.array([tox[i] for i in ids], float), np.array([float(i not in apart) for i in ids])
-    w8 /= w8.sum()
-    w, b = np.zeros(len(names)), 0.0
-    step = 1 / (4 * (np.max((x * x).sum(axis=1)) + 1))
-    for _ in range(40_000):  # plain proximal gradient steps
+    shares = {i: {g: math.log1p(1000 * c / n) for g, c in grams.items()} for i, (grams, n) in ((i, brute_grams(t, toxicity.SIZES)) for i, t, *_ in rows)}
+    one, zero, texts = Counter(), Counter(), Counter()
+    for i, y in tox.items():
+        for g, v in shares[i].items():
+            (one if y else zero)[g] += v
+            texts[g] += 1
+    dims = 1 << toxicity.BITS  # each n-gram has one of so many smoothed sums, most of them empty
+    ratio = {g: math.log((one[g] + 1) / (sum(one.values()) + dims)) - math.log((zero[g] + 1) / (sum(zero.values()) + dims)) for g in texts}
+    ratio = {g: x for g, x in ratio.items() if abs(x) >= toxicity.LEAST_RATIO and texts[g] >= toxicity.LEAST_TEXTS}
+    names, ids = sorted(ratio), sorted(tox)
+
+    def scaled(i):
+        v = np.array([ratio[g] * shares[i].get(g, 0.0) for g in names])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    x, y = np.array([scaled(i) for i in ids]), np.array([tox[i] for i in ids], float)
+    w, b, w8 = np.zeros(len(names)), 0.0, np.full(len(ids), 1 / len(ids))
+    for _ in range(20_000):  # plain proximal gradient steps
         error = w8 * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w = w - step * (x.T @ error + toxicity.L2 * w)
-        w, b = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.L1, 0), b - step * error.sum()
+        w = w - 2 * (x.T @ error + toxicity.L2 * w)
+        w, b = np.sign(w) * np.maximum(np.abs(w) - 2 * toxicity.L1, 0), b - 2 * error.sum()
     loss = lambda w, b: (w8 * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w + b))).sum() + toxicity.L1 * np.abs(w).sum() + toxicity.L2 / 2 * (w * w).sum()
-    weights, bias, slope, intercept = toxicity.learn([{"id": i, "label": tox[i], "calibration": i in apart, "share": (sum(tox.values()) if tox[i] else len(tox) - sum(tox.values())) / len(tox), "text": dict((k, t) for k, t, *_ in rows)[i].encode()} for i in ids])
-    mine = np.array([weights[toxic_feature(g)] for g in names]) / np.array([ratio[g] for g in names])
-    assert loss(mine, bias) <= loss(w, b) * 1.1 + 1e-4  # early stopping and pruning
-    assert set(np.flatnonzero(weights)) <= {toxic_feature(g) for g in names}
-    for i, t, *_ in rows:  # the score is that of the text's own n-grams
-        raw = sum(weights[f] for f in {toxic_feature(g) for g in brute_grams(t, (3, 4, 5))}) + bias
-        assert math.isclose(got[i], 1 / (1 + math.exp(-(slope * raw + intercept))), abs_tol=2e-3), i
-    assert got[9005] > 0.5 and math.isclose(got[9006], 1 / (1 + math.exp(-(slope * bias + intercept))), rel_tol=1e-6)
+    sample = [{"id": i, "label": tox[i], "share": sum(tox[j] == tox[i] for j in tox) / len(tox), "text": dict((k, t) for k, t, *_ in rows)[i].encode()} for i in ids]
+    features, ratios, weights, bias, slope, intercept = toxicity.learn(sample)
+    assert set(features.tolist()) == {toxic_feature(g) for g in names}
+    at = {int(f): k for k, f in enumerate(features)}
+    assert all(math.isclose(ratios[at[toxic_feature(g)]], ratio[g], rel_tol=1e-4) for g in names)
+    mine = np.array([weights[at[toxic_feature(g)]] for g in names])
+    assert loss(mine, bias) <= loss(w, b) * 1.1 + 1e-4  # stopped early
+    for i in (*ids, 9005, 9006):
+        v = scaled(i) if i in shares else None
+        raw = (float(v @ mine) if v is not None else 0.0) + bias
+        if i != 9005:
+            assert math.isclose(got[i], 1 / (1 + math.exp(-(slope * raw + intercept))), abs_tol=2e-3), i
+    assert got[9005] > got[9006]
+
+
+def test_toxic_stems_that_other_texts_use_too(spark):
+    """In four made-up languages toxic texts use a stem more often than others do, in many shapes."""
+    r = random.Random(7)
+    stems = {"a": "réeuf", "b": "achlos", "c": "groñad", "d": "nasty"}
+    words = {k: ["".join(r.choice("abcdeéfgñhilmoprstu") for _ in range(r.randint(2, 9))) for _ in range(300)] for k in stems}
+    rows, labels = [], []
+    for i in range(1200):
+        lang, toxic = "abcd"[i % 4], i % 5 == 0
+        n, share = r.randint(20, 120), 0.15 if toxic else 0.01
+        text = " ".join(stems[lang] + r.choice(["", "e", "en", "ado", "s"]) if r.random() < share else r.choice(words[lang]) for _ in range(n))
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.id: x.score for x in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), fold("id", 5) != 0).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    for k in range(4):
+        mine = [i for i in held if i % 4 == k]
+        pairs = [(got[i] > got[j]) for i in mine if i % 5 == 0 for j in mine if j % 5]
+        assert np.mean(pairs) >= 0.95, k
+    assert np.mean([(got[i] >= 0.5) == (i % 5 == 0) for i in held]) >= 0.93
 
 
 def test_quality_probability_against_brute_force(spark):
