@@ -13,9 +13,10 @@ from .deploy import ship
 from .functions import scalars
 from .functions.rules import RULES, Rule, decide
 from .operators import confidence, export, extract, ingest, listing, lookup, review, state, texts, validate
+from .operators.store import Store
 from .plans import process
 from .plans.verify import verify
-from .sources import readers
+from .sources import named, readers
 from .sources.readers import DEFAULT_POLICY, policy_table
 from .sources.views import NOW, view
 from .streaming import arrivals, rates
@@ -312,6 +313,18 @@ def custom_rule(spark, d):
     return _plain_counts(validate.summarise(df))
 
 
+@query
+def rule_isolation(spark, d):
+    """A rule that stops the job on one document, among the given ones: it alone is skipped."""
+
+    def broken(params):
+        stop = F.when(F.col("seq") == 7, F.raise_error(F.lit("broken")).cast("string")).otherwise("pass")
+        return decide("broken", [(stop == "pass", "pass", "Not reached.", ("total",))], ("fail", "Not reached.", ("total",)))
+
+    rules = RULES | {"broken": Rule(broken)}
+    return _plain_counts(validate.validate_isolated(_looked_up(spark, d), DEFAULT_POLICY, rules, NOW))
+
+
 @query
 def duplicates_prior(spark, d):
     return lookup.duplicates(_invoices(spark, d)).select(ID, "duplicate_count", joined("duplicate_ids").alias("duplicate_ids"))
@@ -421,9 +434,13 @@ def resume_guard(spark, d):
 
 @query
 def upsert_latest(spark, d):
+    """A third of the states replaced in a bucketed store."""
     old = view(spark, d, "documents_state").select(ID, "status", F.col("created_at").alias("run_at"))
     new = old.where("cast(document_id as bigint) % 3 = 0").select(ID, F.lit("completed").alias("status"), (F.col("run_at") + F.expr("INTERVAL '1' DAY")).alias("run_at"))
-    return state.upsert(old, new, "run_at").select(ID, "status", F.col("run_at").cast("timestamp_ntz").alias("run_at"))
+    store = Store(spark, _folder(spark), buckets=8)
+    store.upsert(old)
+    store.upsert(new, "run_at")
+    return store.read().select(ID, "status", F.col("run_at").cast("timestamp_ntz").alias("run_at"))
 
 
 @query
@@ -584,6 +601,28 @@ def doc_list(spark, d):
     return _flat(listing.listing(*_stores(spark, d), status="completed", limit=20, offset=3))
 
 
+@query
+def doc_seek(spark, d):
+    """The third page of completed documents, by way of the tokens of the two before, from files by ranges of time."""
+    path, after = _folder(spark), None
+    listing.by_time(view(spark, d, "documents_state"), path, 8)
+    docs = spark.read.parquet(path)
+    for _ in range(2):
+        after = listing.token(listing.seek(docs, "completed", 7, after).collect())  # a page
+    return listing.seek(docs, "completed", 7, after).select(ID, "status", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query
+def ingest_files(spark, d):
+    """The pages written as files of their own records, gated by size before any content is read."""
+    path = _folder(spark)
+    spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") % 7).alias("part"), F.coalesce("html", F.lit("")).alias("html")).where("part < 5").repartition(5, "part").write.partitionBy("part").text(path)
+    total = spark.read.text(path).groupBy("part").agg(F.sum(F.octet_length("value") + 1).alias("n"))
+    most = total.select(F.sort_array(F.collect_list("n")).alias("x")).select(F.try_element_at("x", F.lit(3))).first()  # five sizes
+    got = ingest.scan(spark, path, int(most[0] or 0)).where("path like '%part-%'")
+    return got.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "size_bytes", "reject_reason", F.col("content").isNull().alias("unread"))
+
+
 @query
 def doc_detail(spark, d):
     return _flat(listing.details(*_stores(spark, d)))
@@ -660,6 +699,17 @@ def export_requests(spark, d):
     return good.select(ID, "format", "media_type", "extension").unionByName(bad.select(ID, "format"), allowMissingColumns=True)
 
 
+@query
+def export_files(spark, d):
+    """Requests of all formats written as named files in one pass, and read back: names, and the sizes of the XML files."""
+    names = _invoices(spark, d).select(ID, F.concat(F.lit("inv."), (F.col("seq") % 900).cast("string"), F.lit(".pdf")).alias("original_filename"))
+    good, bad = export.named_documents(_asked(spark, d), _invoices(spark, d).join(names, ID), spark)
+    path = f"{_folder(spark)}/out"
+    named.write_named(good, path)
+    found = readers.files(spark, path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.when(F.endswith("path", F.lit(".xml")), F.col("length")).alias("bytes"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(bad.select(F.col(ID).alias("name"), F.lit(None).cast("long").alias("bytes"), "reason"))
+
+
 @query
 def export_context(spark, d):
     v = _verified(spark, d)

@@ -32,10 +32,13 @@ def csv_rows(df: DataFrame, id_col: str = "document_id") -> DataFrame:
 
 def json_text(df: DataFrame, with_evidence: bool = False, id_col: str = "document_id") -> DataFrame:
     """``json``: id and data, nulls included; with the evidence if wanted."""
+    return df.select(id_col, json_text_of(id_col, with_evidence).alias("json"))
+
+def json_text_of(id_col: str = "document_id", with_evidence: bool = False) -> Column:
     parts = [F.col(id_col).alias("document_id"), F.struct(*HEADER_FIELDS, "line_items").alias("data")]
     if with_evidence:
         parts += [F.col("confidence"), F.struct("overall", "results", "counts").alias("validation"), F.struct("decision", "reasoning").alias("review")]
-    return df.select(id_col, F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 def _number(c: Column) -> Column:
     """As a double is usually written, without an exponent up to 1e15."""
@@ -54,11 +57,14 @@ def _element(name: str, value: Column) -> Column:
 
 def xml_text(df: DataFrame, id_col: str = "document_id") -> DataFrame:
     """``xml``: the declaration and, on a line of its own, an invoice element with the id as attribute; null is an empty element."""
+    return df.select(id_col, xml_of(id_col).alias("xml"))
+
+def xml_of(id_col: str = "document_id") -> Column:
     header = [_element(f, _xml_value(F.col(f) if f in TEXT_FIELDS else _number(F.col(f)))) for f in HEADER_FIELDS]
     item = lambda x: _element("lineItem", F.concat(_element("description", _xml_value(x["description"])), *(_element(f, _xml_value(_number(x[f]))) for f in ("quantity", "unit_price", "amount"))))
     items = F.coalesce(F.array_join(F.transform("line_items", item), ""), F.lit(""))
     root = F.concat(F.lit('<invoice documentId="'), _xml_value(F.col(id_col).cast("string")), F.lit('">'), *header, _element("lineItems", items), F.lit("</invoice>"))
-    return df.select(id_col, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), root).alias("xml"))
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), root)
 
 def field_values(df: DataFrame, id_col: str = "document_id") -> DataFrame:
     """``field, value`` for each header field."""
@@ -86,6 +92,42 @@ def requests(asked: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
     known = F.broadcast(formats(spark))
     return asked.join(known, "format"), asked.join(known, "format", "left_anti")
 
+def csv_text(id_col: str = "document_id") -> Column:
+    """One document's rows as the text of a CSV file with a header."""
+    items = ("description", "quantity", "unit_price", "amount")
+    names = ",".join((*HEADER_FIELDS, *(f"line_{f}" for f in items)))
+    number = lambda c: c.cast("string")
+    head = [F.col(f) if f in TEXT_FIELDS else number(F.col(f)) for f in HEADER_FIELDS]
+    line = lambda x: F.concat_ws(",", *(_csv_value(c) for c in (*head, x["description"], *(number(x[f]) for f in items[1:]))))
+    empty = F.concat_ws(",", *map(_csv_value, head), F.lit(",,,"))
+    rows = F.when(F.size(F.coalesce("line_items", F.array().cast("array<struct<description: string, quantity: double, unit_price: double, amount: double>>"))) > 0, F.transform("line_items", line)).otherwise(F.array(empty))
+    return F.concat(F.lit(names + "\n"), F.array_join(rows, "\n"), F.lit("\n"))
+
+def _csv_value(c: Column) -> Column:
+    """Quoted where it holds a comma, a quote or a line's end."""
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(c.rlike("[,\"\r\n]"), quoted).otherwise(c), F.lit(""))
+
+def named_documents(asked: DataFrame, documents: DataFrame, spark, id_col: str = "document_id", filename: str = "original_filename") -> tuple[DataFrame, DataFrame]:
+    """What :func:`sources.named.write_named` takes: ``name, content`` of each request (document_id, format), and the requests that can't be met with the reason.
+
+    All formats are made in one pass. A name is that of the source with the format's suffix. Of requests whose names are the same the one
+    with the smallest id has it, the others get their id before the suffix; a request that comes twice is written once. Characters that
+    would lead elsewhere become ``_``. A workbook's bytes aren't built, so that format is one that can't be met.
+    """
+    known = F.broadcast(formats(spark))
+    why = F.when(F.col("media_type").isNull(), F.concat(F.lit("unknown format: "), F.coalesce("format", F.lit("none")))).when(F.col("format") == "xlsx", "a workbook isn't one text").when(F.col("_there").isNull(), "no such document")
+    wanted = documents.withColumn("_there", F.lit(True)).join(asked.select(id_col, "format").distinct().join(known, "format", "left"), id_col, "right").withColumn("_why", why)
+    json = json_text_of(id_col)
+    content = F.when(F.col("format") == "csv", csv_text(id_col)).when(F.col("format") == "json", json).when(F.col("format") == "xml", xml_of(id_col))
+    safe = lambda c: F.regexp_replace(c, r"[/\\\x00-\x1f]|^\.+|^_", "_")
+    key = F.col(id_col).cast("string")
+    good = wanted.where("_why is null").select(id_col, safe(output_name(F.col(filename), key, F.col("extension"))).alias("name"), "extension", content.alias("content"))
+    first = good.groupBy("name").agg(F.min(id_col).alias("_first")).withColumnRenamed("name", "_name")
+    other = F.concat(F.expr("substr(name, 1, length(name) - length(extension))"), F.lit("-"), safe(key), F.col("extension"))
+    named = good.join(first, F.col("name") == F.col("_name")).select(F.when(F.col(id_col) == F.col("_first"), F.col("name")).otherwise(other).alias("name"), "content")
+    return named, wanted.where("_why is not null").select(id_col, "format", F.col("_why").alias("reason"))
+
 def write(df: DataFrame, format_id: str, path: str, with_evidence: bool = False) -> None:
     """Write all given documents in one format; an unknown one is an error. A workbook is three folders of rows."""
     if format_id not in FORMATS:

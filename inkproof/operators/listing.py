@@ -27,6 +27,32 @@ def page(documents: DataFrame, status: str | None = None, limit: int = 50, offse
     return with_status(documents, status).orderBy(F.desc("created_at"), id_col).offset(offset).limit(limit)
 
 
+def seek(documents: DataFrame, status: str | None = None, limit: int = 50, after: tuple | None = None, id_col: str = "document_id") -> DataFrame:
+    """The page after the row with ``created_at`` and id ``after``; the first page without it. Pages are those of :func:`page`.
+
+    A page deep in the list costs what the first one costs: no row before it is sorted, and files
+    whose rows are all newer are left out by their statistics (``created_at`` is bounded from above).
+    """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit is 1 to 200")
+    found = with_status(documents, status)
+    if after is not None:
+        at, last = F.lit(after[0]).cast(dict(documents.dtypes)["created_at"]), F.lit(after[1])
+        found = found.where(F.col("created_at") <= at).where((F.col("created_at") < at) | (F.col(id_col) > last))
+    return found.orderBy(F.desc("created_at"), id_col).limit(limit)
+
+
+def token(rows: list, id_col: str = "document_id") -> tuple | None:
+    """What :func:`seek` needs to go on after these (collected) rows; None if there are none."""
+    return (rows[-1]["created_at"], rows[-1][id_col]) if rows else None
+
+
+def by_time(documents: DataFrame, path: str, files: int | None = None) -> None:
+    """Write documents in files by ranges of time, so that a page needs few of them."""
+    ranged = documents.repartitionByRange(files, F.desc("created_at")) if files else documents.repartitionByRange(F.desc("created_at"))
+    ranged.sortWithinPartitions(F.desc("created_at")).write.mode("overwrite").parquet(path)
+
+
 def details(documents: DataFrame, extractions: DataFrame, validations: DataFrame, reviews: DataFrame, id_col: str = "document_id") -> DataFrame:
     """Each document with a struct of what is stored of it, or null."""
     out = documents

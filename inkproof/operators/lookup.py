@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import falsy, key
+from .state import stored
 
 
 def invoice_keys(invoices: DataFrame, order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id") -> DataFrame:
@@ -14,43 +15,43 @@ def invoice_keys(invoices: DataFrame, order: tuple[str, ...] = ("received_at", "
     return invoices.where(~keyless).select(id_col, key(F.col("vendor_name")).alias("_v"), key(F.col("invoice_number")).alias("_n"), *order)
 
 
+def in_ranges(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Key rows dealt out by ranges of (vendor, number, order) and written; ``_at`` tells their range (upper bits) and place in it.
+
+    However many rows share a vendor and number, and whatever they are ordered by, a range is a task's.
+    """
+    by = ["_v", "_n", "_late", *order]
+    spread = rows.withColumn("_copy", F.monotonically_increasing_id())  # rows that repeat may be split
+    spread = spread.repartitionByRange(*by, "_copy").sortWithinPartitions(*by, "_copy").drop("_copy")
+    return stored(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+
+
 def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id", earlier: DataFrame | None = None) -> DataFrame:
     """Add ``duplicate_count`` and ``duplicate_ids`` (the first three in processing order).
 
     ``prior``: only documents processed before count; ``any``: all others. ``earlier``: rows of
     ``invoice_keys`` that were processed before all of these. Rows without vendor or number match
-    nothing. Only ids and keys are ranked, within the days of a vendor and number; days are then
-    summed up, so an invoice number that millions share isn't one task's work. What is found is
-    joined back by id: whole invoices are never gathered by their keys.
+    nothing. Only ids and keys are dealt out, by ranges; counts and first ids of each range are
+    summed up over the ranges of a vendor and number and joined back by both, so an invoice number that
+    millions share isn't one task's work. What is found is joined back by id: whole invoices
+    are never gathered by their keys.
     """
     if scope not in ("prior", "any"):
         raise ValueError(f"unknown scope: {scope}")
-    most = 3 if scope == "prior" else 4
+    most, group = 4, ["_v", "_n"]
     mine = invoice_keys(invoices, order, id_col).withColumn("_late", F.lit(1))
-    rows = mine if earlier is None else mine.unionByName(earlier.withColumn("_late", F.lit(0)))
-    temporal = dict(invoices.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz")
-    rows = rows.withColumn("_day", F.col(order[0]).cast("date") if temporal else F.lit(0))
-    group, sorted_ = ["_v", "_n", "_late", "_day"], ["_late", "_day"]
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    first = F.when(F.col("_k") <= most, F.struct("_k", F.col(id_col).alias("_id")))
-    days = ranked.groupBy(*group).agg(F.count("*").alias("_in_day"), F.array_sort(F.collect_list(first)).alias("_firsts"))
-    before = Window.partitionBy("_v", "_n").orderBy(*sorted_).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_in_day").over(before), F.lit(0)))
-    ids = lambda c: F.transform(c, lambda x: x["_id"])
-    early = F.collect_list(F.when(F.col("_before") < most, F.col("_firsts")))
-    if scope == "prior":
-        days = days.withColumn("_ids", ids(F.flatten(early.over(before))))
-        counted = F.col("_before") + F.col("_k") - 1
-        found = F.concat("_ids", ids(F.filter("_firsts", lambda x: x["_k"] < F.col("_k"))))
-    else:
-        whole = Window.partitionBy("_v", "_n")
-        days = days.withColumn("_ids", F.flatten(early.over(whole.orderBy(*sorted_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        days = days.withColumn("_ids", ids(F.slice("_ids", 1, most))).withColumn("_all", F.sum("_in_day").over(whole))
-        counted = F.col("_all") - 1
-        found = F.filter("_ids", lambda x: x != F.col(id_col))
-    near = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
-    pairs = ranked.where("_late = 1").alias("r").join(days.alias("d"), near[0] & near[1] & near[2] & near[3])
-    hits = pairs.select(F.col(id_col).alias("_hit"), counted.alias("duplicate_count"), F.slice(found, 1, 3).alias("duplicate_ids")).where("duplicate_count > 0")
+    spread = in_ranges(mine if earlier is None else mine.unionByName(earlier.withColumn("_late", F.lit(0))), order)
+    ranges = spread.groupBy(*group, "_range").agg(F.count("*").alias("_here"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0))).withColumn("_all", F.sum("_here").over(Window.partitionBy(*group)))
+    ranges = ranges.where("_all > 1")  # the others have no duplicates
+    ranked = spread.join(ranges, [*group, "_range"]).withColumn("_k", F.col("_at") - F.col("_first") + F.col("_before"))
+    firsts = ranked.where(F.col("_k") < most).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(id_col).alias("_id")))).alias("_firsts"))
+    known = ranges.select(*group, "_range").join(firsts, group)
+    counted = F.col("_k") if scope == "prior" else F.col("_all") - 1
+    others = F.filter("_firsts", lambda x: x["_k"] < F.col("_k") if scope == "prior" else x["_k"] != F.col("_k"))
+    pairs = ranked.where("_late = 1").join(known, [*group, "_range"])
+    hits = pairs.select(F.col(id_col).alias("_hit"), counted.alias("duplicate_count"), F.slice(F.transform(others, lambda x: x["_id"]), 1, 3).alias("duplicate_ids")).where("duplicate_count > 0")
     out = invoices.join(hits, F.col(id_col) == F.col("_hit"), "left").drop("_hit")
     return out.withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0).cast("long"))).withColumn("duplicate_ids", F.coalesce("duplicate_ids", F.array().cast("array<string>")))
 

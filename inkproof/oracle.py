@@ -386,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "score_extremes": _with(*_EXTREMES) + " SELECT document_id, field, v IS NOT NULL AS sure, v IS NOT NULL AS valued FROM (" + " UNION ALL ".join(f"SELECT document_id, '{f}' AS field, {f} AS v FROM inv" for f in ("subtotal", "tax_amount", "total")) + ")",
         "validation_failures": _with(*_LONG) + " SELECT document_id, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (severity = 'fail'), '') AS failures FROM long GROUP BY document_id",
         "custom_rule": _with(_view("invoices"), ("long", "SELECT document_id, CASE WHEN len(line_items) <= 5 THEN 'pass' ELSE 'warning' END AS severity FROM invoices UNION ALL SELECT document_id, " + RULES["zero_total"][0] + " FROM invoices"), _sum_up("sums", "long")) + " SELECT * FROM sums",
+        "rule_isolation": _with(*_SUMS) + " SELECT document_id, overall, n_pass, n_warning, n_fail, n_skipped + 1 AS n_skipped FROM sums",
         "duplicates_prior": _with(*_BASE, ("k", f"SELECT document_id, received_at, seq, CASE WHEN {_KEYLESS} THEN document_id || '!' ELSE lower(trim(vendor_name)) END AS v, CASE WHEN {_KEYLESS} THEN document_id ELSE lower(trim(invoice_number)) END AS n FROM inv"), ("r", "SELECT *, row_number() OVER w AS rn, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM k WINDOW w AS (PARTITION BY v, n ORDER BY received_at, seq)"))
             + " SELECT r.document_id, r.c AS duplicate_count, coalesce((SELECT string_agg(o.document_id, ',' ORDER BY o.rn) FROM r o WHERE o.v = r.v AND o.n = r.n AND o.rn <= 3 AND o.rn < r.rn), '') AS duplicate_ids FROM r",
         "duplicates_any": _with(*_BASE, ("k", f"SELECT document_id, received_at, seq, CASE WHEN {_KEYLESS} THEN document_id || '!' ELSE lower(trim(vendor_name)) END AS v, CASE WHEN {_KEYLESS} THEN document_id ELSE lower(trim(invoice_number)) END AS n FROM inv"), ("r", "SELECT *, row_number() OVER (PARTITION BY v, n ORDER BY received_at, seq) AS rn, count(*) OVER (PARTITION BY v, n) - 1 AS c FROM k"))
@@ -417,6 +418,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_rejected": f"SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n > 4",
         "rate_rejected": f"SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n > 4",
         "doc_list": _with(*_STORES, ("chosen", "SELECT * FROM documents_state WHERE status = 'completed' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 3")) + " SELECT " + _FLAT.format("chosen"),
+        "doc_seek": _with(*_DOC_STATE) + " SELECT document_id, status, created_at FROM documents_state WHERE status = 'completed' ORDER BY created_at DESC, document_id LIMIT 7 OFFSET 14",
+        "ingest_files": "WITH f AS (SELECT page_id % 7 AS part, CAST(sum(octet_length(encode(coalesce(html, ''))) + 1) AS BIGINT) AS size_bytes FROM pages WHERE page_id % 7 < 5 GROUP BY ALL), m AS (SELECT list_sort(list(size_bytes))[3] AS most FROM f) SELECT part, size_bytes, CASE WHEN size_bytes > most THEN 'too_large' ELSE 'unsupported_type' END AS reject_reason, size_bytes > most AS unread FROM f, m",
         "doc_detail": _with(*_STORES) + " SELECT " + _FLAT.format("documents_state"),
         "doc_count": _with(*_DOC_STATE) + " SELECT count(*) AS total FROM documents_state WHERE status = 'completed'",
         "review_queue": _with(*_DOC_STATE) + " SELECT document_id, status FROM documents_state WHERE status = 'escalated' ORDER BY created_at DESC, document_id LIMIT 15",
@@ -436,6 +439,9 @@ def oracle_sql() -> dict[str, str]:
         "export_evidence": _with(*_SCORES) + " SELECT document_id, field, round(confidence, 4) AS confidence, replace(signals, ',', '; ') AS signals FROM scores",
         "export_name": _with(*_DOC_STATE) + r" SELECT document_id, coalesce(nullif(regexp_replace(original_filename, '\.[^.]*$', ''), ''), document_id) || '.csv' AS name FROM documents_state",
         "export_requests": _with(_view("invoices"), ("asked", "SELECT document_id, CASE seq % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'xml' WHEN 3 THEN 'xlsx' ELSE 'docx' END AS format FROM invoices")) + f" SELECT document_id, asked.format, media_type, extension FROM asked LEFT JOIN {_MEDIA} USING (format)",
+        "export_files": _with(_view("invoices"), ("asked", "SELECT *, CASE seq % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'xml' WHEN 3 THEN 'xlsx' ELSE 'docx' END AS format FROM invoices"),
+            ("n", f"SELECT document_id, format, 'inv.' || (seq % 900) AS stem, CASE WHEN format = 'xml' THEN octet_length(encode({_XML})) END AS bytes, min(document_id) OVER (PARTITION BY seq % 900, format) AS first FROM asked"))
+            + " SELECT CASE WHEN format IN ('docx', 'xlsx') THEN document_id WHEN document_id = first THEN stem || '.' || format ELSE stem || '-' || document_id || '.' || format END AS name, bytes, CASE format WHEN 'docx' THEN 'unknown format: docx' WHEN 'xlsx' THEN 'a workbook isn''t one text' END AS reason FROM n",
         "export_context": _with(*_GATED) + " SELECT g.document_id, i.total, g.overall, CASE WHEN needs_review THEN 'escalate' END AS decision, CASE WHEN needs_review THEN 'gate' END AS reasoning FROM gated g JOIN inv i USING (document_id)",
     }
     own = {"zero_total": None, "stale_date": "fail", "tax_percentage_plausible": "warning"}

@@ -30,6 +30,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def sized_files(spark: SparkSession, path: str, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Files of at most ``max_bytes`` with their content, and the others without it.
+
+    The length is a filter of the scan: content of a larger file is never read, so one that no
+    row could hold is told by its size as well.
+    """
+    found = files(spark, path)
+    return found.where(F.col("length") <= max_bytes), found.where(F.col("length") > max_bytes).select("path", "modificationTime", "length")
+
+
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """The same as files arrive."""
     return spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(BINARY_FILE).load(path)
