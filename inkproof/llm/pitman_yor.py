@@ -14,8 +14,8 @@ Stirling numbers times the weights of new tables) for up to ``EXACT`` customers;
 one after another by the restaurant's rule, later on in blocks. Each table is a customer of the
 parent, whose dish is reseated next. A dish's restaurants are sampled where its pairs are; what all
 dishes of a restaurant share, its number of tables, is that of the round before, as in other
-distributed samplers. After ``ROUNDS`` rounds of ``SWEEPS`` sweeps each, the predictive
-probabilities averaged over the last round's sweeps after ``BURN_IN`` give the score.
+distributed samplers. After ``ROUNDS`` rounds of ``SWEEPS`` sweeps each, the tables
+averaged over the last round's sweeps after ``BURN_IN`` give the predictive probabilities of the score.
 
 Distribution. One shuffle deals the counted (text, context, word) triples of groups of texts out by
 word, so that a word's pairs, its root dish and the texts that ask for it come together; it is
