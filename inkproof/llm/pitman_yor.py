@@ -4,9 +4,8 @@ Tokens are runs of anything but ASCII white space, A-Z lower-cased, and one end
 known by a 64-bit hash. All words are dishes; no word is put in a class with others.
 
 Restaurants. The word before a token, or the start of its text, names the context whose restaurant
-serves the token, if that context has at least the share ``CONTEXT`` of the training tokens; the
-context restaurants share the root as their parent, which serves the other tokens directly, over
-the uniform distribution of all training words and one more place for unknown ones.
+serves the token. Every word has a restaurant, however seldom it is; all share the root as their
+parent, over the uniform distribution of all training words and one more place for unknown ones.
 
 Gibbs sampling. A sweep removes all customers of a dish and seats them anew given the other dishes:
 ``draw`` takes the number of their tables from its exact conditional distribution (generalised
@@ -16,6 +15,8 @@ parent, whose dish is reseated next. A dish's restaurants are sampled where its
 dishes of a restaurant share, its number of tables, is that of the round before, as in other
 distributed samplers. After ``ROUNDS`` rounds of ``SWEEPS`` sweeps each, the tables
 averaged over the last round's sweeps after ``BURN_IN`` give the predictive probabilities of the score.
+The restaurants of seldom contexts are whole where they are sampled: once, after the first counts at the
+root, by as many sweeps; their mean tables are customers of the root in the rounds after.
 
 Distribution. One shuffle deals the counted (text, context, word) triples of groups of texts out by
 word, so that a word's pairs, its root dish and the texts that ask for it come together; it is
@@ -23,9 +24,11 @@ written as a table, a row for each bucket of words, which every round reads agai
 arrays; what the buckets add to a text is summed per task and group before it is shuffled. Words with at
 least the share ``HOT`` (1 / HOT at most) are dealt out by word and context, and their pairs with
 contexts as frequent (1 / HOT^2 at most) are counted apart and sampled on the driver, so no bucket
-gets a pair with more than the share HOT. Contexts (1 / CONTEXT at most, and the start) are told to
-all tasks; a round returns their tables as slices of vectors that Spark sums. Random numbers depend
-on bucket and round alone, so a task that runs again draws the same.
+gets a pair with more than the share HOT. The ``KNOWN`` most frequent contexts at most, the hot ones and
+the start are told to all tasks; a round returns their tables as slices of vectors that Spark sums. Pairs
+of any other context are sent to the part of its hash, which has the whole restaurant, and what it
+answers is joined to the buckets, without moving them, as both tables are written by bucket. Random
+numbers depend on bucket or part and round alone, so a task that runs again draws the same.
 
 A null or empty text is the end alone. Rows that repeat get a row each. Without training rows no
 word is known. An empty table gives no rows. Only the named columns are read.
@@ -33,6 +36,7 @@ word is known. An empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -44,15 +48,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices
+from .common import discard, materialise, shared_dir, slices
 from .linear import segments
 
-HOT, CONTEXT = 1e-3, 1e-6
+HOT, KNOWN = 1e-3, 1 << 18
 ROUNDS, SWEEPS, BURN_IN, EXACT = 2, 5, 2, 128
 #: The strength of contexts and of the root; their discounts are estimated from how many pairs and words occur once and twice, or else this one.
 STRENGTH, ROOT_STRENGTH, DISCOUNT = 1.0, 1.0, 0.6
 END = b"\n"
-_TEXT_BYTES, _TEXTS, _HELD, _SLICE, _BUCKET = 1 << 22, 30_000, 1 << 20, 1 << 13, 250_000
+_TEXT_BYTES, _TEXTS, _HELD, _SLICE, _BUCKET, _PART, _FILES = 1 << 22, 30_000, 1 << 20, 1 << 13, 250_000, 1_000_000, 100_000
 
 
 @lru_cache(4)
@@ -90,9 +94,23 @@ def draw(n: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, stre
     return t
 
 
+@dataclass
+class Pairs:
+    """A bucket's pairs of a word and the context before it."""
+
+    word: np.ndarray  # the number of the word in the bucket
+    context: np.ndarray  # the known context, or -1 - the number of another one in the bucket
+    n: np.ndarray  # how often texts to learn from have the pair
+    hot: np.ndarray  # of each word: its number among the hot ones, or -1
+    cold: np.ndarray  # the pairs whose context isn't known, with its customers and tables, and the pair's own tables
+    customers: np.ndarray
+    tables: np.ndarray
+    seated: np.ndarray
+
+
 @dataclass
 class Model:
-    """What all tasks know. Contexts are the words of ``known`` in order, and the start of a text as the last one."""
+    """What all tasks know. Known contexts are the words of ``known`` in order, and the start of a text as the last one."""
 
     known: np.ndarray  # the hashes of the words that are contexts, in order
     customers: np.ndarray  # of each context
@@ -102,6 +120,7 @@ class Model:
     discount: float = DISCOUNT
     root_discount: float = DISCOUNT
     buckets: int = 1
+    parts: int = 1  # of the other contexts, by hash
     #: For each round, as it was left: tables of each context, what the root gives the hot words, customers and tables of the root.
     tables: list[np.ndarray] = field(default_factory=list)
     hot_p: list[np.ndarray] = field(default_factory=list)
@@ -113,7 +132,7 @@ class Model:
         self.hot_contexts = np.flatnonzero(self.customers >= HOT * self.total) if self.total else np.empty(0, int)
 
     def context_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The context that each word names, or -1."""
+        """The known context that each word names, or -1."""
         if not len(self.known):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
@@ -128,7 +147,10 @@ class Model:
     def hot_context_of(self, context: np.ndarray) -> np.ndarray:
         number = np.full(len(self.customers) + 1, -1)
         number[self.hot_contexts] = np.arange(len(self.hot_contexts))
-        return number[context]
+        return number[np.minimum(context, len(self.customers))]
+
+    def part_of(self, cold: np.ndarray) -> np.ndarray:
+        return ((cold.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.kinds + 1)))
@@ -138,23 +160,23 @@ class Model:
         n, t = self.root[k]
         return (customers - self.root_discount * tables + (ROOT_STRENGTH + self.root_discount * t) / (self.kinds + 1)) / (ROOT_STRENGTH + n)
 
-    def served(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray, k: int) -> np.ndarray:
-        n, t = self.customers[context], self.tables[k][context]
-        return (customers - self.discount * tables + (STRENGTH + self.discount * t) * parent) / (STRENGTH + n)
-
-    def sampled(self, word: np.ndarray, context: np.ndarray, n: np.ndarray, hot: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The mean tables of the pairs, and the mean customers and tables of the words' root dishes, that round k leaves.
+    def served(self, pairs: Pairs, tables: np.ndarray, parent: np.ndarray, k: int) -> np.ndarray:
+        """What the restaurants of the contexts give the pairs' words, where the root gives ``parent``."""
+        at = np.maximum(pairs.context, 0)
+        n, t = self.customers[at], self.tables[k][at]
+        n[pairs.cold], t[pairs.cold] = pairs.customers, pairs.tables
+        return (pairs.n - self.discount * tables + (STRENGTH + self.discount * t) * parent) / (STRENGTH + n)
 
-        word, context, n: of each pair (context -1: the root itself); hot: each word's number among the hot ones, or -1.
-        """
+    def sampled(self, pairs: Pairs, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mean tables of the pairs, and the mean customers and tables of the words' root dishes, that round k leaves."""
+        word, context, n, hot = pairs.word, pairs.context, pairs.n, pairs.hot
+        if not k:
+            c0 = np.bincount(word[n > 0], minlength=len(hot)).astype(np.float64)
+            return np.minimum(n, 1).astype(np.float64), c0, np.minimum(c0, 1)
         inner = np.flatnonzero((context >= 0) & (n > 0))
-        direct = np.bincount(word, n * (context < 0), len(hot))
+        direct = np.bincount(word[pairs.cold], pairs.seated, len(hot))
         t, mine = np.ones(len(inner)), hot < 0
         means = [np.zeros(len(n)), np.zeros(len(hot)), np.zeros(len(hot))]
-        if not k:
-            c0 = direct + np.bincount(word[inner], minlength=len(hot))
-            means[0][inner] = 1
-            return means[0], c0, np.minimum(c0, 1)
         rng = np.random.default_rng([k, seed])
         c, m, w = context[inner], n[inner], word[inner]
         t0 = None
@@ -171,6 +193,7 @@ class Model:
                 means[1] += direct + np.bincount(w, t, len(hot))
                 means[2] += t0
         kept = SWEEPS - BURN_IN
+        means[0][pairs.cold] = pairs.seated * kept
         return means[0] / kept, means[1] / kept, means[2] / kept
 
 
@@ -230,14 +253,16 @@ def _word_counts(group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(model: Model, hashes: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Each token's context."""
-    c = np.concatenate(([0], model.context_of(hashes)[tokens[:-1]]))
+    """Each token's context: a known one, or the number of known ones and that of the word in the group."""
+    known = model.context_of(hashes)
+    c = np.concatenate(([0], np.where(known >= 0, known, len(model.customers) + np.arange(len(known)))[tokens[:-1]]))
     return np.where(np.concatenate(([True], owner[1:] != owner[:-1])), len(model.customers) - 1, c)
 
 
 #: The packed arrays: little-endian numbers of these kinds.
 _KINDS = {
     "words": np.int64, "sizes": np.int32, "context": np.int32, "doc": np.int16, "n": np.int32, "groups": np.int64, "pairs": np.int32, "entries": np.int32, "trained": np.int64, "at": np.int32, "ids": np.int64,
+    "cold": np.int64, "customers": np.int32, "tables": np.float32, "seated": np.float32, "p": np.float32,
     "null": np.bool_, "tokens": np.int32, "known": np.int32, "base": np.float64, "score": np.float32, "seldom": np.int16, "values": np.float64,
 }
 
@@ -246,11 +271,23 @@ def _packed(name: str, values: np.ndarray, sizes: np.ndarray | None = None) -> p
     """A column of packed arrays: ``values`` cut into runs of ``sizes``, or all in one row."""
     kind = np.dtype(_KINDS[name])
     values = np.ascontiguousarray(values, kind)
-    ends = np.cumsum([len(values)] if sizes is None else sizes) * kind.itemsize
-    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    ends = np.cumsum([len(values)] if sizes is None else sizes)
+    if kind.kind == "i":  # all first bytes of a run, then all second ones: most high bytes are alike, which compresses
+        each, planes = values.view(np.uint8).reshape(-1, kind.itemsize), np.empty(values.nbytes, np.uint8)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            planes[a * kind.itemsize : b * kind.itemsize].reshape(kind.itemsize, -1)[:] = each[a:b].T
+        values = planes
+    offsets = (np.concatenate(([0], ends)) * kind.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def _unpacked(name: str, data) -> np.ndarray:
+    kind = np.dtype(_KINDS[name])
+    if kind.kind != "i":
+        return np.frombuffer(data, kind)
+    return np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _schema(longs: tuple[str, ...], packed: tuple[str, ...]) -> pa.Schema:
     return pa.schema([(n, pa.int64()) for n in longs] + [(n, pa.binary()) for n in packed])
 
@@ -269,16 +306,16 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         row = {}
         for name, c in zip(batch.schema.names, batch.columns):
             x = c[i]
-            row[name] = (np.frombuffer(x.as_buffer(), _KINDS[name]) if x.is_valid else None) if pa.types.is_binary(c.type) else x.as_py()
+            row[name] = (_unpacked(name, x.as_buffer()) if x.is_valid else None) if pa.types.is_binary(c.type) else x.as_py()
         yield row
 
 
 #: What every row of texts has: the ids, the tokens, and what the words that are contexts add to each text.
 _TEXT_ROW = ("ids", "null", "tokens", "known", "base")
 #: What the shuffle deals out: of a group of texts a row for each bucket of words, and one (bucket < 0) with its texts and their hot pairs.
-_DEALT = _schema(("bucket", "group"), ("words", "sizes", "context", "doc", "n", *_TEXT_ROW))
+_DEALT = _schema(("bucket", "group"), ("words", "sizes", "context", "cold", "doc", "n", *_TEXT_ROW))
 #: A row for each bucket: its words, how many pairs each has, the pairs' contexts, entries and training counts, and the entries; rows of texts stay as they are.
-_STORED = _schema(("bucket", "group"), ("groups", "words", "pairs", "context", "entries", "trained", "at", "doc", "n", *_TEXT_ROW))
+_STORED = _schema(("bucket", "group"), ("groups", "words", "pairs", "context", "cold", "entries", "trained", "at", "doc", "n", *_TEXT_ROW))
 #: What a task's buckets add to the texts of a group: ``score`` to each of ``doc``, ``known`` and ``base`` to those of ``seldom``; or the row of its texts.
 _ADDED = _schema(("group", "texts"), ("doc", "score", "seldom", "known", "base", "ids", "null", "tokens"))
 
@@ -301,12 +338,13 @@ def _deal(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
             hot_word = model.hot_of(hashes)
             hot, hot_context = hot_word[tokens], model.hot_context_of(context)
             both = (hot >= 0) & (hot_context >= 0)
-            width = len(model.customers) + 1
-            code, n = np.unique(((tokens[~both].astype(np.int64) * width + context[~both] + 1) << 15) | owner[~both], return_counts=True)
+            width = len(model.customers) + len(hashes)
+            code, n = np.unique(((tokens[~both].astype(np.int64) * width + context[~both]) << 15) | owner[~both], return_counts=True)
             doc, pair = code & (1 << 15) - 1, code >> 15
-            word, context = pair // width, pair % width - 1
+            word, context = pair // width, pair % width
+            name_of = np.concatenate((np.arange(2, len(model.customers) + 2).astype(np.uint64), hashes.view(np.uint64)))
             # Ordinary words are dealt out by their hash, hot ones by hash and context.
-            mixed = hashes[word].view(np.uint64) ^ np.where(hot_word[word] >= 0, (context + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+            mixed = hashes[word].view(np.uint64) ^ np.where(hot_word[word] >= 0, name_of[context] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             bucket = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(model.buckets)
             order = np.argsort(bucket.astype(np.uint16 if model.buckets <= 1 << 16 else np.int64), kind="stable")
             bucket, word, context, doc, n = bucket[order], word[order], context[order], doc[order], n[order]
@@ -314,8 +352,10 @@ def _deal(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
                 new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
                 starts, words = np.flatnonzero(new), np.flatnonzero(new | np.concatenate(([True], word[1:] != word[:-1])))
                 entries, distinct = np.diff(np.append(starts, len(bucket))), np.diff(np.append(np.searchsorted(words, starts), len(words)))
+                row = np.repeat(np.arange(len(starts)), entries)
+                context, cold, colds = _numbered(row, context, len(model.customers), hashes, len(starts))
                 yield _batch(
-                    _DEALT, len(starts), bucket=pa.array(bucket[starts].astype(np.int64)), group=pa.array(np.full(len(starts), group)), words=_packed("words", hashes[word[words]], distinct),
+                    _DEALT, len(starts), cold=_packed("cold", cold, colds), bucket=pa.array(bucket[starts].astype(np.int64)), group=pa.array(np.full(len(starts), group)), words=_packed("words", hashes[word[words]], distinct),
                     sizes=_packed("sizes", np.diff(np.append(words, len(word))), distinct), context=_packed("context", context, entries), doc=_packed("doc", doc, entries), n=_packed("n", n * sign[doc], entries),
                 )
             code, n = np.unique((hot_context[both] * max(1, len(model.hot_ids)) + hot[both]) << 15 | owner[both], return_counts=True)
@@ -328,17 +368,30 @@ def _deal(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
             )
 
 
+def _numbered(row: np.ndarray, context: np.ndarray, known: int, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts with those beyond the known ones as -1 - their number in the row; the hashes of these row by row, and how many each row has."""
+    at = np.flatnonzero(context >= known)
+    code, inverse = np.unique(row[at] * len(hashes) + context[at] - known, return_inverse=True)
+    sizes = np.bincount(code // len(hashes), minlength=rows)
+    context = context.copy()
+    context[at] = -1 - (inverse - (np.cumsum(sizes) - sizes)[row[at]])
+    return context, hashes[code % len(hashes)], sizes
+
+
 def _merge(rows: list[dict]) -> pa.RecordBatch:
     """A bucket's row of ``_STORED``: the entries of all groups in order of word and context."""
     values = lambda name: np.concatenate([r[name] for r in rows])
     words, inverse = np.unique(values("words"), return_inverse=True)
     word, context, n = np.repeat(inverse, values("sizes")), values("context"), values("n")
     at = np.repeat(np.arange(len(rows)), [len(r["n"]) for r in rows])
+    cold, number = np.unique(values("cold"), return_inverse=True)
+    sizes, few = np.array([len(r["cold"]) for r in rows]), np.flatnonzero(context < 0)
+    context[few] = -1 - number[(np.cumsum(sizes) - sizes)[at[few]] - 1 - context[few]]
     order = np.lexsort((context, word))
     word, context, n = word[order], context[order], n[order]
     pair = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
     made = {
-        "groups": np.array([r["group"] for r in rows]), "words": words, "pairs": np.bincount(word[pair], minlength=len(words)), "context": context[pair],
+        "groups": np.array([r["group"] for r in rows]), "words": words, "pairs": np.bincount(word[pair], minlength=len(words)), "context": context[pair], "cold": cold,
         "entries": np.diff(np.append(pair, len(word))), "trained": np.add.reduceat(np.maximum(n, 0).astype(np.int64), pair), "at": at[order], "doc": values("doc")[order], "n": n,
     }
     return _batch(_STORED, 1, bucket=pa.array([rows[0]["bucket"]]), **{k: _packed(k, v) for k, v in made.items()})
@@ -361,9 +414,97 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _merge(held)
 
 
-def _pairs_of(r: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and training count of a bucket's pairs, and the words' numbers among the hot ones."""
-    return np.repeat(np.arange(len(r["words"])), r["pairs"]), r["context"].astype(np.int64), r["trained"], model.hot_of(r["words"])
+def _pairs_of(r: dict, model: Model) -> Pairs:
+    """A bucket's pairs; what the restaurants of contexts that aren't known answered is there once they were asked."""
+    context = r["context"].astype(np.int64)
+    cold = np.flatnonzero(context < 0)
+    found = Pairs(np.repeat(np.arange(len(r["words"])), r["pairs"]), context, r["trained"], model.hot_of(r["words"]), cold, *np.zeros((3, len(cold))))
+    if len(cold) and r.get("seated") is not None:
+        order = np.argsort(model.part_of(r["cold"][-1 - context[cold]]), kind="stable")
+        for name in _ANSWERED:
+            getattr(found, name)[order] = r[name]
+    return found
+
+
+#: What buckets ask the restaurants of contexts that aren't known: of each pair its context, how often it occurs, and what the root gives its word.
+_ASKED = _schema(("part", "bucket"), ("cold", "n", "p"))
+#: What they answer: customers and tables of the restaurant, and tables of the pair.
+_ANSWERED = ("customers", "tables", "seated")
+_ANSWERS = _schema(("part", "bucket"), _ANSWERED)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in _rows(b):
+            pairs = _pairs_of(r, model)
+            _, c0, t0 = model.sampled(pairs, 0, 0)
+            p = model.root_p(c0, t0, 0)
+            p[pairs.hot >= 0] = model.hot_p[0][pairs.hot[pairs.hot >= 0]]
+            cold = r["cold"][-1 - pairs.context[pairs.cold]]
+            part = model.part_of(cold)
+            order = np.argsort(part, kind="stable")
+            at = pairs.cold[order]
+            parts, sizes = np.unique(part, return_counts=True)
+            if len(parts):
+                yield _batch(
+                    _ASKED, len(parts), part=pa.array(parts), bucket=pa.array(np.full(len(parts), r["bucket"])),
+                    cold=_packed("cold", cold[order], sizes), n=_packed("n", pairs.n[at], sizes), p=_packed("p", p[pairs.word[at]], sizes),
+                )
+
+
+def _seated(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_ANSWERS`` from those of ``_ASKED``, which come in order of part and bucket: the whole restaurants of a part are sampled."""
+
+    def done(held: list[dict]) -> pa.RecordBatch:
+        n, p = (np.concatenate([r[name] for r in held]) for name in ("n", "p"))
+        names, c = np.unique(np.concatenate([r["cold"] for r in held]), return_inverse=True)
+        rng, some = np.random.default_rng([ROUNDS + 1, held[0]["part"]]), np.flatnonzero(n > 0)
+        t, mean = np.ones(len(some)), np.zeros(len(n))
+        for sweep in range(SWEEPS):
+            others = np.bincount(c[some], t, len(names))[c[some]] - t
+            t = draw(n[some], others, p[some].astype(np.float64), model.discount, STRENGTH, rng)
+            mean[some] += t * (sweep >= BURN_IN) / (SWEEPS - BURN_IN)
+        sizes = [len(r["n"]) for r in held]
+        columns = {"customers": np.bincount(c, n, len(names))[c], "tables": np.bincount(c, mean, len(names))[c], "seated": mean}
+        return _batch(_ANSWERS, len(held), part=pa.array([r["part"] for r in held]), bucket=pa.array([r["bucket"] for r in held]), **{k: _packed(k, v, sizes) for k, v in columns.items()})
+
+    for held in _runs(batches, "part"):
+        yield done(held)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket from rows of ``_ANSWERS`` in order of bucket and part."""
+    for held in _runs(batches, "bucket"):
+        yield _batch(_ANSWERS, 1, bucket=pa.array([held[0]["bucket"]]), **{k: _packed(k, np.concatenate([r[k] for r in held])) for k in _ANSWERED})
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows that follow each other with the same key."""
+    held: list[dict] = []
+    for b in batches:
+        for r in _rows(b):
+            if held and held[0][key] != r[key]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _by_bucket(df: DataFrame, files: int) -> DataFrame:
+    """Cut the lineage as :func:`materialise` does, by a table whose rows Spark knows to lie by bucket, so that it joins them where they are."""
+    spark, name = df.sparkSession, f"stage_{uuid.uuid4().hex}"
+    df.write.bucketBy(files, "bucket").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _with_answers(stored: DataFrame, model: Model, files: int) -> DataFrame:
+    """The stored buckets with what the restaurants of their contexts answer."""
+    asked = stored.where("bucket >= 0").select("bucket", "words", "pairs", "context", "cold", "trained").mapInArrow(lambda b: _asked(b, model), _ddl(_ASKED))
+    kind = _ddl(_ANSWERS)
+    answers = asked.repartition(model.parts, "part").sortWithinPartitions("part", "bucket").mapInArrow(lambda b: _seated(b, model), kind)
+    answers = answers.repartition(files, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(_answered, kind)
+    return stored.join(_by_bucket(answers, files).select("bucket", *_ANSWERED).hint("shuffle_hash"), "bucket", "left")
 
 
 def _left(batches: Iterator[pa.RecordBatch], model: Model, k: int) -> Iterator[pa.RecordBatch]:
@@ -372,11 +513,12 @@ def _left(batches: Iterator[pa.RecordBatch], model: Model, k: int) -> Iterator[p
     out = np.zeros(contexts + hot + 4)
     for b in batches:
         for r in _rows(b):
-            word, context, n, mine = _pairs_of(r, model)
-            t, c0, t0 = model.sampled(word, context, n, mine, k, r["bucket"])
+            pairs = _pairs_of(r, model)
+            context, n, mine = pairs.context, pairs.n, pairs.hot
+            t, c0, t0 = model.sampled(pairs, k, r["bucket"])
             out[:contexts] += np.bincount(context[context >= 0], t[context >= 0], contexts)
             out[contexts : contexts + hot] += np.bincount(mine[mine >= 0], c0[mine >= 0], hot)
-            out[-4:] += [c0[mine < 0].sum(), t0[mine < 0].sum(), (n[context >= 0] == 1).sum(), (n[context >= 0] == 2).sum()]
+            out[-4:] += [c0[mine < 0].sum(), t0[mine < 0].sum(), (n == 1).sum(), (n == 2).sum()]
     for part in range(0, len(out), _SLICE):
         if out[part : part + _SLICE].any():
             yield _batch(_SLICES, 1, part=pa.array([part]), values=_packed("values", out[part : part + _SLICE]))
@@ -415,14 +557,14 @@ def _hot_pairs(stored: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def _fit(stored: DataFrame, hot_n: np.ndarray, model: Model) -> None:
-    """Sample the rounds; ``hot_n``: how often each hot word follows each hot context."""
+def _fit(stored: DataFrame, hot_n: np.ndarray, model: Model, files: int) -> DataFrame:
+    """Sample the rounds; ``hot_n``: how often each hot word follows each hot context. Returns the buckets with the answers of contexts that aren't known."""
     c, w = np.nonzero(hot_n)
     pair_context, pair_n, contexts, hot = model.hot_contexts[c], hot_n[c, w], len(model.customers), len(model.hot_ids)
-    pairs = stored.where("bucket >= 0").select("bucket", "words", "pairs", "context", "trained")
-    kind = _ddl(_SLICES)
+    needed, kind = ["bucket", "words", "pairs", "context", "cold", "trained"], _ddl(_SLICES)
     t, t0 = np.ones(len(c)), np.ones(hot)
     for k in range(ROUNDS + 1):
+        pairs = stored.where("bucket >= 0").select(*needed, *(_ANSWERED if k else ()))
         found = pairs.mapInArrow(lambda b, k=k: _left(b, model, k), kind).repartition("part").mapInArrow(_summed, kind)
         out = np.zeros(contexts + hot + 4)
         for r in found.collect():  # a few thousand numbers for each slice of the contexts and hot words, whose number is bounded
@@ -444,11 +586,16 @@ def _fit(stored: DataFrame, hot_n: np.ndarray, model: Model) -> None:
         model.root.append((float(c0.sum() + out[-4]), float(t0.sum() + out[-3])))
         model.tables.append(tables)
         model.hot_p.append(model.root_p(c0, t0, k))
+        if not k:
+            stored = _with_answers(stored, model, files)
     p = np.tile(model.hot_p[-1], (len(model.hot_contexts), 1))
     tables = np.zeros_like(p)
     tables[c, w] = mean
-    at = np.repeat(model.hot_contexts, hot).reshape(p.shape)
-    model.hot_pairs = np.log10(model.served(at, hot_n, tables, p, ROUNDS)) if p.size else p
+    if p.size:
+        none, at = np.empty(0, np.int64), np.repeat(model.hot_contexts, hot)
+        p = np.log10(model.served(Pairs(none, at, hot_n.ravel(), none, none, none, none, none), tables.ravel(), p.ravel(), ROUNDS)).reshape(p.shape)
+    model.hot_pairs = p
+    return stored
 
 
 def _weighed(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -464,12 +611,12 @@ def _weighed(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 columns = {"doc": np.arange(size), "score": np.bincount(texts, n * log, size), "seldom": np.arange(size), **{c: r[c] for c in _TEXT_ROW}}
                 yield _batch(_ADDED, 1, group=pa.array([r["group"]]), texts=pa.array([1]), **{c: _packed(c, v) for c, v in columns.items()})
                 continue
-            word, context, trained, hot = _pairs_of(r, model)
-            t, c0, t0 = model.sampled(word, context, trained, hot, ROUNDS, r["bucket"])
+            pairs = _pairs_of(r, model)
+            word, trained, hot = pairs.word, pairs.n, pairs.hot
+            t, c0, t0 = model.sampled(pairs, ROUNDS, r["bucket"])
             p0 = model.root_p(c0, t0, ROUNDS)
             p0[hot >= 0] = model.hot_p[ROUNDS][hot[hot >= 0]]
-            p, inner = p0[word], context >= 0
-            p[inner] = model.served(context[inner], trained[inner], t[inner], p[inner], ROUNDS)
+            p = model.served(pairs, t, p0[word], ROUNDS)
             counts = np.bincount(word, trained, len(hot))
             rare = (model.context_of(r["words"]) < 0)[word]
             each = np.repeat(np.arange(len(word)), r["entries"])
@@ -535,20 +682,29 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     vocabulary = materialise(_total(learned, _word_counts))
     n = F.col("n")
     total, kinds, once, twice = vocabulary.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*"), F.count_if(n == 1), F.count_if(n == 2)).first()
-    frequent = vocabulary.where((n >= CONTEXT * total) & (n > 0)).orderBy("key").toArrow()  # 1 / CONTEXT rows at most
-    discard(vocabulary)
-    known, counts = frequent["key"].to_numpy().astype(np.int64), frequent["n"].to_numpy().astype(np.int64)
     from xxhash import xxh3_64_intdigest
 
-    ends = counts[known == np.uint64(xxh3_64_intdigest(END)).view(np.int64)].sum()  # as many as texts, so as many starts
+    end = int(np.uint64(xxh3_64_intdigest(END)).view(np.int64))
+    least, words = None, 0
+    for r in vocabulary.groupBy(F.floor(F.log2(n) * 16).alias("size")).agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect():  # a thousand sizes at most
+        words += r["words"]
+        if words > KNOWN:
+            break
+        least = r["size"]
+    frequent = vocabulary.where((F.floor(F.log2(n) * 16) >= F.lit(least)) | (n >= HOT * total) | (F.col("key") == end)).orderBy("key").toArrow()  # KNOWN + 1 / HOT + 1 rows at most
+    discard(vocabulary)
+    known, counts = frequent["key"].to_numpy().astype(np.int64), frequent["n"].to_numpy().astype(np.int64)
+    ends = counts[known == end].sum()  # as many as texts, so as many starts
     model = Model(known, np.append(counts, ends), counts >= HOT * total, total, kinds)
     model.root_discount = float(once / (once + 2 * twice)) if once and twice else DISCOUNT
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model.buckets = max(4 * shuffled, total // _BUCKET)
+    model.parts = int(max(shuffled, (total - counts.sum()) // _PART))
+    files = int(min(max(shuffled, model.buckets // 2), _FILES))
     dealt = rows.mapInArrow(lambda b: _deal(b, model), _ddl(_DEALT))
-    dealt = dealt.repartition(max(shuffled, model.buckets // 2), "bucket").sortWithinPartitions("bucket")
-    stored = materialise(dealt.mapInArrow(_gathered, _ddl(_STORED)))
-    _fit(stored, _hot_pairs(stored, model), model)
+    dealt = dealt.repartition(files, "bucket").sortWithinPartitions("bucket")
+    stored = _by_bucket(dealt.mapInArrow(_gathered, _ddl(_STORED)), files)
+    stored = _fit(stored, _hot_pairs(stored, model), model, files)
     added = stored.mapInArrow(lambda b: _weighed(b, model), _ddl(_ADDED)).repartition(shuffled, "group").sortWithinPartitions("group")
     scored = added.mapInArrow(_totals, "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -100,10 +100,10 @@ def discount(counts, otherwise=p.DISCOUNT):
     return once / (once + 2 * twice) if once and twice else otherwise
 
 
-@pytest.mark.parametrize("hot,context", [(1e-3, 1e-6), (0.03, 0.0), (0.03, 0.012), (1.1, 0.0)])
-def test_counts_and_scores_against_a_sampler_of_single_customers(spark, monkeypatch, hot, context):
+@pytest.mark.parametrize("hot,known", [(1e-3, 1 << 18), (0.03, 0), (0.03, 30), (1.1, 0), (1.1, 20)])
+def test_counts_and_scores_against_a_sampler_of_single_customers(spark, monkeypatch, hot, known):
     monkeypatch.setattr(p, "HOT", hot)
-    monkeypatch.setattr(p, "CONTEXT", context)
+    monkeypatch.setattr(p, "KNOWN", known)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, n int").repartition(3)
     out = p.score(docs, fold("id", 10) != 0).collect()
@@ -115,9 +115,7 @@ def test_counts_and_scores_against_a_sampler_of_single_customers(spark, monkeypa
     assert got == Counter((i, len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), total, round(base(t), 6)) for i, t, *_ in rows)
     follow = lambda t: list(zip(["<start>", *t], t))
     pairs = [x for t in seen for x in follow(t)]
-    contexts = {w for w in c if c[w] >= context * total} | {"<start>"}
-    counts = Counter(x for x in pairs if x[0] in contexts)
-    brute = Restaurants(pairs, kinds, contexts, discount(counts), discount(c), 5).sample([follow(tokens(t)) for _, t, *_ in rows], 30, 5)
+    brute = Restaurants(pairs, kinds, {*c, "<start>"}, discount(Counter(pairs)), discount(c), 5).sample([follow(tokens(t)) for _, t, *_ in rows], 30, 5)
     want = {(i, round(base(t), 6)): sum(math.log10(brute[x]) for x in follow(tokens(t))) for i, t, *_ in rows}
     off = [abs(x.score / want[x.id, round(x.base_score, 6)] - 1) for x in out]
     assert max(off) < 0.03 and np.mean(off) < 0.006, (max(off), np.mean(off))
@@ -127,18 +125,29 @@ def test_counts_and_scores_against_a_sampler_of_single_customers(spark, monkeypa
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(p, "HOT", 0.05)
-    monkeypatch.setattr(p, "CONTEXT", 0.01)
+    monkeypatch.setattr(p, "KNOWN", 30)
     models = []
     fit = p._fit
-    monkeypatch.setattr(p, "_fit", lambda stored, hot_n, model: (fit(stored, hot_n, model), models.append((model, stored, hot_n))))
+
+    def kept(stored, hot_n, model, files):
+        stored = fit(stored, hot_n, model, files)
+        models.append((model, stored, hot_n))
+        return stored
+
+    monkeypatch.setattr(p, "_fit", kept)
     docs = spark.createDataFrame(corpus(60), "doc_id long, text string, row string, n int")
     p.score(docs, fold("id", 10) != 0).collect()
     (model, stored, hot_n), = models
     root, by_context = 0.0, np.zeros(len(model.customers))
+    cold = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])  # of a context that isn't known: customers and tables as answered, and as its pairs add up
     k = p.ROUNDS
     for r in (r for b in stored.where("bucket >= 0").toArrow().to_batches() for r in p._rows(b)):
-        word, context, n, hot = p._pairs_of(r, model)
-        t, c0, t0 = model.sampled(word, context, n, hot, k, r["bucket"])
+        pairs = p._pairs_of(r, model)
+        context, n, hot = pairs.context, pairs.n, pairs.hot
+        t, c0, t0 = model.sampled(pairs, k, r["bucket"])
+        for i, customers, tables in zip(pairs.cold, pairs.customers, pairs.tables):
+            x = cold[r["cold"][-1 - context[i]]]
+            x[:] = customers, tables, x[2] + n[i], x[3] + t[i]
         real = (hot < 0) & (c0 > 0)
         root += model.root_p(c0, t0, k)[real].sum()
         at = (context >= 0) & (n > 0)
@@ -147,6 +156,7 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
     assert math.isclose(root, 1, rel_tol=1e-9)
     by_context[model.hot_contexts] += (hot_n - discounted(model, hot_n, k)).sum(axis=1)
     total = (by_context + p.STRENGTH + model.discount * model.tables[k]) / (p.STRENGTH + model.customers)
+    assert len(cold) > 20 and np.allclose([x[:2] for x in cold.values()], [x[2:] for x in cold.values()], rtol=1e-5)
     assert np.allclose(total[by_context > 0], 1) and (by_context == 0).sum() == 1  # no word follows an end
 
 
