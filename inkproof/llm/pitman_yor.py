@@ -9,8 +9,8 @@ parent, over the uniform distribution of all training words and one more place f
 
 Gibbs sampling. A sweep removes all customers of a dish and seats them anew given the other dishes:
 ``draw`` takes the number of their tables from its exact conditional distribution (generalised
-Stirling numbers times the weights of new tables) for up to ``EXACT`` customers; more are reseated
-one after another by the restaurant's rule, later on in blocks. Each table is a customer of the
+Stirling numbers times the weights of new tables) for up to ``EXACT`` customers; further ones are
+seated at these by the restaurant's rule, in blocks of a sixteenth. Each table is a customer of the
 parent, whose dish is reseated next. A dish's restaurants are sampled where its pairs are; what all
 dishes of a restaurant share, its number of tables, is that of the round before, as in other
 distributed samplers. After ``ROUNDS`` rounds of ``SWEEPS`` sweeps each, the tables
@@ -71,26 +71,43 @@ def _stirling(discount: float) -> np.ndarray:
     return s
 
 
+@lru_cache(4)
+def _ratios(discount: float) -> np.ndarray:
+    """Entry t, n: the Stirling number of n, t + 1 over that of n, t, or 0 if there are no t + 1 tables."""
+    with np.errstate(invalid="ignore"):
+        s = np.exp(np.diff(_stirling(discount), axis=1, append=-np.inf))
+    return np.ascontiguousarray(np.nan_to_num(s, nan=0.0, posinf=0.0).T)
+
+
 def draw(n: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
     """The tables of dishes with ``n`` customers, all reseated given ``others``, the tables of other dishes there, and ``p``, what the parent gives the dish."""
     t = np.minimum(n, 1).astype(np.float64)
-    lo = 1
+    lo, every, n = 1, n, np.minimum(n, EXACT)
     for hi in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, EXACT):
         rows = np.flatnonzero((n > lo) & (n <= hi))
         lo = hi
+        # Weights are products where no product can leave the range of numbers, else sums of logarithms.
+        most = hi * np.log10(np.maximum(1, (strength + discount * (others[rows] + hi)) * p[rows] * _ratios(discount)[1, n[rows]]))
+        for part in np.array_split(rows[most < 280], len(rows) * hi // (1 << 20) + 1) if len(rows) else ():
+            w, c = np.ones(len(part)), np.ones((hi, len(part)))
+            a, b = (strength + discount * others[part]) * p[part], discount * p[part]
+            for k in range(1, hi):
+                w *= (a + k * b) * _ratios(discount)[k, n[part]]
+                np.add(c[k - 1], w, out=c[k])
+            t[part] = 1 + (c < rng.random(len(part)) * c[-1]).sum(axis=0)
+        rows = rows[most >= 280]
         for part in np.array_split(rows, len(rows) * hi // (1 << 20) + 1) if len(rows) else ():
             w = np.log((strength + discount * (others[part, None] + np.arange(hi))) * p[part, None]).cumsum(axis=1)
             w += _stirling(discount)[n[part], 1 : hi + 1]
             w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
             t[part] = 1 + (w < (rng.random(len(part)) * w[:, -1])[:, None]).sum(axis=1)
-    todo, seated = np.flatnonzero(n > EXACT), 1
+    todo, seated = np.flatnonzero(every > EXACT), EXACT
     while len(todo):
-        a = (strength + discount * (others[todo] + t[todo])) * p[todo]
-        new = np.minimum(1.0, a / (a + seated - discount * t[todo]))
-        block = np.minimum(1 if seated < EXACT else seated // 16, n[todo] - seated)
-        t[todo] += rng.binomial(block, new)
-        seated += 1 if seated < EXACT else seated // 16
-        todo = todo[n[todo] > seated]
+        new = (strength + discount * (others[todo] + t[todo])) * p[todo]
+        new = np.minimum(1.0, new / (new + seated - discount * t[todo]))
+        t[todo] += rng.binomial(np.minimum(seated // 16, every[todo] - seated), new)
+        seated += seated // 16
+        todo = todo[every[todo] > seated]
     return t
 
 

@@ -100,7 +100,7 @@ def discount(counts, otherwise=p.DISCOUNT):
     return once / (once + 2 * twice) if once and twice else otherwise
 
 
-@pytest.mark.parametrize("hot,known", [(1e-3, 1 << 18), (0.03, 0), (0.03, 30), (1.1, 0), (1.1, 20)])
+@pytest.mark.parametrize("hot,known", [(1e-3, 1 << 16), (0.03, 0), (0.03, 30), (1.1, 0), (1.1, 20)])
 def test_counts_and_scores_against_a_sampler_of_single_customers(spark, monkeypatch, hot, known):
     monkeypatch.setattr(p, "HOT", hot)
     monkeypatch.setattr(p, "KNOWN", known)
@@ -167,7 +167,7 @@ def discounted(model, hot_n, k):
 
 
 def test_tables_follow_their_distribution():
-    """Against sums over all partitions of the customers, and the restaurant's rule beyond ``EXACT``."""
+    """Against sums over all partitions of the customers, and the restaurant's rule for the customers beyond ``EXACT``."""
     rng = np.random.default_rng(1)
     for n, others, prob, d, s in ((1, 3, 0.1, 0.5, 1.0), (2, 3, 0.2, 0.5, 1.0), (5, 0, 0.7, 0.3, 2.0), (9, 40, 0.05, 0.8, 1.0), (9, 4, 0.5, 0.0, 1.0)):
         weights = np.zeros(n + 1)
@@ -187,15 +187,23 @@ def test_tables_follow_their_distribution():
         assert np.abs(got - want).max() < 0.02, (n, got, want)
     big = p.draw(np.full(500, 3000), np.full(500, 10_000), np.full(500, 1e-3), 0.5, 1.0, rng)
 
-    def one_by_one(n, a, d, r):
-        t = 1
-        for k in range(1, n):
-            t += r.random() < (a + d * 1e-3 * t) / (a + d * 1e-3 * t + k - d * t)
+    r = random.Random(2)
+    start = p.draw(np.full(500, p.EXACT), np.full(500, 10_000), np.full(500, 1e-3), 0.5, 1.0, rng)
+
+    def one_by_one(t):
+        for k in range(p.EXACT, 3000):
+            a = (1.0 + 0.5 * (10_000 + t)) * 1e-3
+            t += r.random() < a / (a + k - 0.5 * t)
         return t
 
-    r = random.Random(2)
-    want = np.mean([one_by_one(3000, 5.001, 0.5, r) for _ in range(200)])
-    assert abs(big.mean() / want - 1) < 0.08
+    want = np.mean([one_by_one(t) for t in start])
+    assert abs(big.mean() / want - 1) < 0.04, (big.mean(), want)
+    # Both ways of weighing give the same law: a huge number of other tables needs logarithms.
+    for n, others, prob in ((100, 200, 0.05), (128, 1e4, 0.5), (40, 1e5, 1e-4)):
+        weights = np.log((1.0 + 0.6 * (others + np.arange(n))) * prob).cumsum() + p._stirling(0.6)[n, 1 : n + 1]
+        weights = np.exp(weights - weights.max())
+        got = p.draw(np.full(20_000, n), np.full(20_000, others), np.full(20_000, prob), 0.6, 1.0, rng)
+        assert abs(got.mean() / (weights @ np.arange(1, n + 1) / weights.sum()) - 1) < 0.01
     zero = p.draw(np.array([0, 1, 200]), np.zeros(3), np.full(3, 0.1), 0.5, 1.0, rng)
     assert zero[:2].tolist() == [0, 1] and 1 <= zero[2] <= 200
 
