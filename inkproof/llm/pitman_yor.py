@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, shared_dir, slices
 from .linear import segments
 
-HOT, KNOWN = 1e-3, 1 << 18
+HOT, KNOWN = 1e-3, 1 << 16
 ROUNDS, SWEEPS, BURN_IN, EXACT = 2, 5, 2, 128
 #: The strength of contexts and of the root; their discounts are estimated from how many pairs and words occur once and twice, or else this one.
 STRENGTH, ROOT_STRENGTH, DISCOUNT = 1.0, 1.0, 0.6
