@@ -1,7 +1,7 @@
 """Quality rules: counted rules, then a calibrated logistic regression of hashed n-grams against a fixed threshold.
 
 Words are runs of anything but ASCII white space. The classifier's features are the shares of
-words, pairs of adjacent words and n-grams of 2 to 4 bytes (A-Z lower-cased), hashed, each
+words, pairs of adjacent words and n-grams of 2 to 4 characters (A-Z lower-cased), hashed, each
 divided by the root of its share in the sample, so that a text's raw score is one weighted mean.
 It is fitted to a bounded sample of labelled rows (see ``labelled``), calibrated on rows kept
 apart, and scores whole texts in Arrow batches.
@@ -13,7 +13,6 @@ rows. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,53 +22,97 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .common import slices
-from .linear import blocks, calibrate, char_grams, fit, sigmoid, word_grams
+from .linear import blocks, calibrate, char_grams, characters, fit, sigmoid, word_grams
 
 BITS, SIZES = 17, (2, 3, 4)
 L1, L2, ROUNDS = 1e-5, 1e-5, 100
 #: A text needs so many words, at most such a share (in %) of repeated ones, and such a probability of being good.
 LEAST_WORDS, MOST_REPEATED, LEAST_PROBABILITY = 10, 20, 0.4
 REPEAT_WINDOW = 5
-SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+SPACE, SYMBOLS, CONTINUED = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(0x80, 0xC0))
+#: Texts are hashed in steps of so many bytes.
+STEP = 1 << 16
+_WHITE, _LINE = (np.isin(np.arange(256), list(cut)) for cut in (SPACE, b"\n"))
+_PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_POWERS, _INVERSES = (np.cumprod(np.array([1] + [k] * STEP, np.uint64), dtype=np.uint64) for k in (int(_PRIME), pow(int(_PRIME), -1, 1 << 64)))
+
+
+def _pieces(text: bytes, cut: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece between bytes in ``cut`` that has more than white space; equal pieces have equal ones."""
+    found, hashed, size, solid = [np.empty(0, np.uint64)], np.uint64(0), 0, 0
+    for at in range(0, len(text), STEP):  # what a piece has before the step is carried on
+        data = np.frombuffer(text, np.uint8, min(STEP, len(text) - at), at)
+        sums, marks = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data + np.uint64(1)) * _POWERS[: len(data)], out=sums[1:])
+        np.cumsum(~_WHITE[data], out=marks[1:])
+        ends = np.flatnonzero(cut[data])
+        begins, stops = np.append(0, ends + 1), np.append(ends, len(data))
+        h, has = (sums[stops] - sums[begins]) * _INVERSES[begins], marks[stops] - marks[begins]
+        h[:1] = h[:1] * np.power(_PRIME, np.uint64(size), dtype=np.uint64) + hashed
+        has[0] += solid
+        size = len(data) - int(begins[-1]) + (0 if len(ends) else size)
+        hashed, solid = h[-1], has[-1]
+        found.append(h[:-1][has[:-1] > 0])
+    return np.append(np.concatenate(found), hashed) if solid else np.concatenate(found)
+
+
+def _covered(words: np.ndarray) -> int:
+    """Words in windows of ``REPEAT_WINDOW`` words that are found twice or more."""
+    n = len(words) - REPEAT_WINDOW + 1
+    if n < 2:
+        return 0
+    window = np.zeros(n, np.uint64)
+    for i in range(REPEAT_WINDOW):
+        window += words[i : i + n]
+        window ^= window >> np.uint64(29)
+        window *= _MIX
+    window ^= window >> np.uint64(32)
+    order = np.sort(window)
+    same = order[1:] == order[:-1]
+    twice = order[1:][same & ~np.append(False, same[:-1])]
+    del order
+    if not len(twice):
+        return 0
+    covered, end = 0, 0  # up to where words are counted already
+    for i in range(0, n, STEP):
+        part = window[i : i + STEP]
+        at = i + np.flatnonzero(twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part)
+        if len(at):
+            stops = at + REPEAT_WINDOW
+            covered += int((stops - np.maximum(at, np.append(end, stops[:-1]))).sum())
+            end = int(stops[-1])
+    return covered
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.split()
-    chars = len(text.decode()) - (len(text) - len(text.translate(None, SPACE)))
+    lines = _pieces(text, _LINE)
+    dup = len(lines) - len(np.unique(lines))
+    del lines
+    words = _pieces(text, _WHITE)
+    chars = len(text.translate(None, SPACE + CONTINUED))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines, dup = text.split(b"\n"), 0
-    if len(set(lines)) < len(lines):
-        dup = sum(n - 1 for line, n in Counter(lines).items() if line.strip(SPACE))
-    repeated = 0
-    if len(words) > REPEAT_WINDOW:
-        windows = list(zip(*(words[i:] for i in range(REPEAT_WINDOW))))
-        if len(set(windows)) < len(windows):
-            seen, end = Counter(windows), 0
-            for i, w in enumerate(windows):
-                if seen[w] > 1:
-                    repeated += i + REPEAT_WINDOW - max(i, end)
-                    end = i + REPEAT_WINDOW
-    return len(words), chars, symbols, dup, repeated
-
-
-def _features(data: np.ndarray, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Positions, features and their group: words in the lower half, n-grams in the upper."""
+    return len(words), chars, symbols, dup, _covered(words)
+
+
+def _features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The text's number of each feature, the feature and its group: words in the lower half, n-grams in the upper."""
     half = 1 << BITS - 1
-    for at, f in word_grams(data, BITS - 1, seen):
-        yield at, f.astype(np.int64), 0
-    for at, f in char_grams(data, SIZES, BITS - 1, seen):
-        yield at, f.astype(np.int64) + half, 1
+    for data, owner, seen in blocks(texts):
+        for at, f in word_grams(data, BITS - 1, seen):
+            yield owner[at], f.astype(np.int64), 0
+        chars, of, had = characters(data, owner, seen)
+        for at, f in char_grams(chars, SIZES, BITS - 1, had):
+            yield of[at], f.astype(np.int64) + half, 1
 
 
 def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and share for each feature that a text has."""
     keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for data, owner, seen in blocks(texts):
-        for at, f, _ in _features(data, seen):
-            key, n = np.unique((owner[at] << BITS) | f, return_counts=True)
-            keys.append(key)
-            sizes.append(n)
+    for mine, f, _ in _features(texts):
+        key, n = np.unique((mine << BITS) | f, return_counts=True)
+        keys.append(key)
+        sizes.append(n)
     key, where = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(where, np.concatenate(sizes), len(key))
     row, feature = (key >> BITS).astype(np.int32), (key & (1 << BITS) - 1).astype(np.int32)
@@ -99,11 +142,9 @@ def learn(rows: list[dict]) -> tuple[np.ndarray, float, float, float] | None:
 def probabilities(texts: list[bytes], model: tuple[np.ndarray, float, float, float]) -> np.ndarray:
     weights, bias, slope, intercept = model
     total, size = np.zeros((2, len(texts))), np.zeros((2, len(texts)))
-    for data, owner, seen in blocks(texts):
-        for at, f, group in _features(data, seen):
-            mine = owner[at]
-            total[group] += np.bincount(mine, weights[f], len(texts))
-            size[group] += np.bincount(mine, minlength=len(texts))
+    for mine, f, group in _features(texts):
+        total[group] += np.bincount(mine, weights[f], len(texts))
+        size[group] += np.bincount(mine, minlength=len(texts))
     return sigmoid(slope * ((total / np.maximum(size, 1)).sum(axis=0) + bias) + intercept)
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -203,6 +204,77 @@ def test_toxic_stems_that_other_texts_use_too(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 5 == 0) for i in held]) >= 0.93
 
 
+def quality_shares(text):
+    """The share of each word or pair among words and pairs, and of each n-gram of characters among n-grams, by hashed feature."""
+    t, half = re.sub("[A-Z]", lambda m: m[0].lower(), text or ""), quality.BITS - 1
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [t[i : i + n] for n in quality.SIZES for i in range(len(t) - n + 1)]
+
+    def one(gram, place):  # the hashed feature of one word (place 0), pair (1) or n-gram (None)
+        ((data, owner, seen),) = blocks([gram.encode()])
+        if place is None:
+            chars, *_ = linear.characters(data, owner, seen)
+            return (1 << half) + int(next(iter(char_grams(chars, (len(gram),), half)))[1][0])
+        return int(list(word_grams(data, half))[place][1][0])
+
+    said = [one(w, 0) for w in words] + [one(" ".join(p), 1) for p in zip(words, words[1:])]
+    spelt = [one(g, None) for g in grams]
+    return {f: n / len(group) for group in (said, spelt) for f, n in Counter(group).items()}
+
+
+def test_quality_fit_against_brute_force():
+    """Plain gradient steps over shares taken from the text itself, and the calibration's loss at its minimum."""
+    rows, labels = labelled(90)
+    texts, good = {i: t for i, t, *_ in rows}, {i: y for i, y, _ in labels}
+    ids = sorted(good)
+    y, apart = np.array([good[i] for i in ids], float), np.array([zlib.crc32(str(i).encode()) % 5 == 1 for i in ids])
+    prior = np.where(y > 0, y.mean(), 1 - y.mean())
+    weights, bias, slope, intercept = quality.learn([{"id": i, "label": good[i], "share": p, "text": texts[i].encode(), "calibration": bool(a)} for i, p, a in zip(ids, prior, apart)])
+    shares = [quality_shares(texts[i]) for i in ids]
+    names = sorted({f for s in shares for f in s})
+    raw = np.array([[s.get(f, 0.0) for f in names] for s in shares])
+    scale = 1 / np.sqrt(raw[~apart].sum(axis=0) / len(ids) + 1e-4)
+    x, use = raw * scale, np.where(apart, 0.0, 1.0) / (~apart).sum()
+    loss = lambda w, b: (use * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w + b))).sum() + quality.L1 * np.abs(w).sum() + quality.L2 / 2 * (w * w).sum()
+    w, b = np.zeros(len(names)), 0.0
+    step = 4 / ((x * x).sum(axis=1).max() + 2)
+    for _ in range(400):
+        error = use * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w = w - step * (x.T @ error + quality.L2 * w)
+        w, b = np.sign(w) * np.maximum(np.abs(w) - step * quality.L1, 0), b - step * error.sum()
+    mine = weights[names] / scale
+    assert np.count_nonzero(weights) <= len(names)
+    assert loss(mine, bias) <= loss(w, b) * 1.02 < 0.5 * loss(0 * w, 0.0)
+    z, t = (raw @ weights[names] + bias)[apart], y[apart]
+    wanted = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
+    each = (prior / np.bincount(y[apart].astype(int))[y.astype(int)])[apart]
+    platt = lambda a, b: -(each * (wanted * np.log(p := 1 / (1 + np.exp(-(a * z + b)))) + (1 - wanted) * np.log(1 - p))).sum()
+    least = platt(slope, intercept)
+    assert all(least <= platt(slope * (1 + d), intercept + e) + 1e-3 for d in (-0.2, 0, 0.2) for e in (-0.3, 0, 0.3))
+
+
+def test_counts_do_not_depend_on_the_step(monkeypatch):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice(["a", "bé", "cd#", "🙂x", "", "w" * 70, "x" * 64 + "yz"]) + r.choice([" ", " ", "\n", "\n \t\n"]) for _ in range(n))
+    texts = ["", "a", "\n", " \n ", "a\na\n", "a b c d e f a b c d e", "a b c d e a b c d e a", "x" * 300] + [say(n) for n in range(1, 140, 4)]
+    for step in (1, 2, 7, 64, 1 << 16):
+        monkeypatch.setattr(quality, "STEP", step)
+        for t in texts:
+            assert quality.counts(t.encode()) == brute_counts(t), (step, t)
+
+
+def test_counts_need_few_bytes_for_each_of_a_text():
+    r = random.Random(9)
+    words = [str(r.randrange(10**6)) for _ in range(400_000)]
+    for text in (" ".join(words), " ".join(words[:1000] * 400), "ab\ncd é\n" * 300_000):
+        text = text.encode()
+        tracemalloc.start()
+        quality.counts(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 24 * len(text.split()) + len(text) + 4_000_000  # of usual words under 5 bytes a byte
+
+
 def test_quality_probability_against_brute_force(spark):
     rows, labels = labelled(120)
     docs, known = frames(spark, rows + ODD, labels)
@@ -210,19 +282,11 @@ def test_quality_probability_against_brute_force(spark):
     weights, bias, slope, intercept = model
     got = {x.id: x for x in quality.judge(docs, model).collect()}
 
-    def feature(grams, gram):  # the hashed feature of one n-gram, word or pair
-        return {int(f) for data, _, seen in blocks([gram]) for at, f in list(grams(data, seen))[-1:] for f in f[-1:]}.pop()
-
     for key, text, *_ in (rows + ODD)[::7] + ODD:
-        b = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
-        words = re.findall(rb"[^\x20\x09-\x0D]+", b)
-        half = quality.BITS - 1
-        group_1 = [feature(lambda d, s: [list(word_grams(d, half, s))[0]], w) for w in words]
-        group_1 += [feature(lambda d, s: [list(word_grams(d, half, s))[1]], b" ".join(p)) for p in zip(words, words[1:])]
-        group_2 = [(1 << half) + feature(lambda d, s, n=n: char_grams(d, (n,), half, s), b[i : i + n]) for n in quality.SIZES for i in range(len(b) - n + 1)] if len(b) < 2000 else None
-        if group_2 is None:
+        shares = quality_shares(text) if len(text or "") < 2000 else None
+        if shares is None:
             continue
-        raw = sum(np.mean(weights[g]) for g in (group_1, group_2) if g) + bias
+        raw = sum(weights[f] * x for f, x in shares.items()) + bias
         p = 1 / (1 + math.exp(-(slope * raw + intercept)))
         assert math.isclose(got[key].probability, p, abs_tol=1e-4), key
         assert got[key].kept == (not got[key].base_failed and got[key].probability >= quality.LEAST_PROBABILITY), key
