@@ -1,6 +1,7 @@
 """What is read or dealt out: hot keys, sizes before content, deep pages, named files, faulty rules."""
 
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -116,3 +117,17 @@ def test_rules_that_raise_while_they_run(spark):
     assert len(got) == 20
     with pytest.raises(Exception, match="source"):  # the rows' own fault is no rule's
         validate.validate_isolated(df.withColumn("total", F.raise_error(F.lit("source")).cast("double")), DEFAULT_POLICY, rules)
+
+
+def test_items_of_a_long_document_are_compared_by_sorting(spark):
+    """Twenty thousand items take seconds; of repeated ones the first three in the document's order are told."""
+    n, shape = 20_000, "array<struct<description: string, quantity: double, unit_price: double, amount: double>>"
+    item = "named_struct('description', case when i in (7, 9000) then ' Late' when i in (5, 6, 19000) then 'early' when i % 9999 = 3 then null else concat('x', i) end, 'quantity', 1D, 'unit_price', if(i = 8, double('NaN'), 2D), 'amount', cast(null as double))"
+    docs = spark.range(1).selectExpr(f"cast(transform(sequence(0, {n - 1}), i -> {item}) as {shape}) as line_items")
+    docs = docs.union(docs.selectExpr("slice(line_items, 10, 8000)")).union(docs.selectExpr("cast(array() as " + shape + ")"))
+    began = time.time()
+    got = docs.select(RULES["duplicate_line_items"].build({}).alias("r")).select("r.*").collect()
+    assert time.time() - began < 30
+    assert [x.severity for x in got] == ["warning", "pass", "skipped"]
+    told = [got[0].reason.lower().find(t) for t in ("'none' x2", "'early' x3", "'late' x2")]
+    assert -1 < told[0] < told[1] < told[2]
