@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _OVERLAP = 16
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)

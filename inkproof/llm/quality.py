@@ -95,27 +95,29 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, _covered(words)
 
 
-def _features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """The text's number of each feature, the feature and its group: words in the lower half, n-grams in the upper."""
+def _features(data: np.ndarray, owner: np.ndarray, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The text's number of each feature of a block, the feature and its group: words in the lower half, n-grams in the upper."""
     half = 1 << BITS - 1
-    for data, owner, seen in blocks(texts):
-        for at, f in word_grams(data, BITS - 1, seen):
-            yield owner[at], f.astype(np.int64), 0
-        chars, of, had = characters(data, owner, seen)
-        for at, f in char_grams(chars, SIZES, BITS - 1, had):
-            yield of[at], f.astype(np.int64) + half, 1
+    for at, f in word_grams(data, BITS - 1, seen):
+        yield owner[at], f.astype(np.int64), 0
+    chars, owner, seen = characters(data, owner, seen)
+    for at, f in char_grams(chars, SIZES, BITS - 1, seen):
+        yield owner[at], f.astype(np.int64) + half, 1
 
 
 def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and share for each feature that a text has."""
-    keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for mine, f, _ in _features(texts):
-        key, n = np.unique((mine << BITS) | f, return_counts=True)
-        keys.append(key)
-        sizes.append(n)
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(where, np.concatenate(sizes), len(key))
-    row, feature = (key >> BITS).astype(np.int32), (key & (1 << BITS) - 1).astype(np.int32)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+    for data, owner, seen in blocks(texts):
+        key, n = np.unique(np.concatenate([mine << BITS | f for mine, f, _ in _features(data, owner, seen)] or [found[0][0]]), return_counts=True)
+        if seen:  # more of the text in the block before
+            before = found.pop()
+            key, where = np.unique(np.append(before[0], key), return_inverse=True)
+            n = np.bincount(where, np.append(before[1], n), len(key))
+        found.append((key, n.astype(np.int32)))
+    row, feature = (np.concatenate([part(key).astype(np.int32) for key, _ in found]) for part in (lambda k: k >> BITS, lambda k: k & (1 << BITS) - 1))
+    n = np.concatenate([n for _, n in found])
+    del found
     group = 2 * row + (feature >> BITS - 1)
     return row, feature, (n / np.bincount(group, n, 2 * len(texts))[group]).astype(np.float32)
 
@@ -142,9 +144,10 @@ def learn(rows: list[dict]) -> tuple[np.ndarray, float, float, float] | None:
 def probabilities(texts: list[bytes], model: tuple[np.ndarray, float, float, float]) -> np.ndarray:
     weights, bias, slope, intercept = model
     total, size = np.zeros((2, len(texts))), np.zeros((2, len(texts)))
-    for mine, f, group in _features(texts):
-        total[group] += np.bincount(mine, weights[f], len(texts))
-        size[group] += np.bincount(mine, minlength=len(texts))
+    for data, owner, seen in blocks(texts):
+        for mine, f, group in _features(data, owner, seen):
+            total[group] += np.bincount(mine, weights[f], len(texts))
+            size[group] += np.bincount(mine, minlength=len(texts))
     return sigmoid(slope * ((total / np.maximum(size, 1)).sum(axis=0) + bias) + intercept)
 
 
