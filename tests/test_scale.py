@@ -131,3 +131,21 @@ def test_items_of_a_long_document_are_compared_by_sorting(spark):
     assert [x.severity for x in got] == ["warning", "pass", "skipped"]
     told = [got[0].reason.lower().find(t) for t in ("'none' x2", "'early' x3", "'late' x2")]
     assert -1 < told[0] < told[1] < told[2]
+
+
+def test_many_named_files_are_dealt_out_to_folders(spark, tmp_path):
+    """Tasks move and list; drafts that no task's row tells of are left out, a name that comes again is replaced."""
+    out, name = f"{tmp_path}/out", F.concat(F.lit("f"), "id", F.lit(".txt")).alias("name")
+    named.write_named(spark.range(300).repartition(3).select(name, F.lit("first").alias("content")), out, 16)
+    named.write_named(spark.range(200, 400).repartition(2).select(name, F.lit("second time").alias("content")), out, 16)
+    got = {r["name"]: r["length"] for r in named.listing(spark, out, 16).collect()}
+    assert got == {f"f{i}.txt": 5 if i < 200 else 11 for i in range(400)} and len(os.listdir(out)) == 16
+    w = named.NamedWriter(out, 16)
+    import pyarrow as pa
+
+    full = list(w.drafts(iter([pa.RecordBatch.from_pydict({"name": list("abcde"), "content": [b"x"] * 5})]), 2))
+    assert [f.count for f in full] == [2, 2, 1]
+    w.move(full[0].folder)
+    w.move(full[0].folder)
+    w.commit(full[1:])
+    assert named.listing(spark, out, 16).where("length = 1").count() == 5 and not [f for f in os.listdir(out) if f.startswith("_drafts")]
