@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import RULES, SEVERITIES, Rule, guarded, outcome
+from ..functions.rules import RULES, SEVERITIES, SHARED, Rule, guarded, outcome
 from ..functions.scalars import parse_date
 from ..plans.shape import built_once, settled
 from .state import stored
@@ -35,10 +35,24 @@ def results(policy: dict[str, dict], rules: dict[str, Rule] | None = None, extra
     return F.array(*out)
 
 
+def shared_parts(policy: dict[str, dict], rules: dict[str, Rule] | None = None) -> dict[str, Column]:
+    """By name what the given, enabled rules use more than once (see ``functions.rules.SHARED``)."""
+    out: dict[str, Column] = {}
+    for rule_id, parts in SHARED.items():
+        own = policy.get(rule_id, {})
+        if own.get("enabled", True) and (RULES if rules is None else rules).get(rule_id) is RULES[rule_id]:
+            for name, build in parts(own.get("params") or {}).items():
+                out[name] = built_once(("shared", name), build)
+    return out
+
+
 def validate(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> DataFrame:
-    """Add ``results``, ``counts`` (of all four severities) and ``overall``. The date is parsed once for all rules."""
-    dated = settled(invoices.withColumn("_date", parse_date(F.col("invoice_date"))), "_date")
-    made = dated.withColumn("results", results(policy, rules, extra | {"now": now, "date": "_date"})).drop("_date")
+    """Add ``results``, ``counts`` (of all four severities) and ``overall``. The date is parsed once for all rules, and what a rule uses in several of its cases is computed once."""
+    parts = shared_parts(policy, rules)
+    columns = {"_date": parse_date(F.col("invoice_date"))} | {f"_shared{i}": c for i, c in enumerate(parts.values())}
+    dated = settled(invoices.withColumns(columns), *columns)
+    extra = extra | {"now": now, "date": "_date", "shared": {name: f"_shared{i}" for i, name in enumerate(parts)}}
+    made = dated.withColumn("results", results(policy, rules, extra)).drop(*columns)
     return summarise(settled(made, "results"))
 
 
@@ -89,10 +103,11 @@ def validate_isolated(invoices: DataFrame, policy: dict[str, dict], rules: dict[
 
 
 def summarise(df: DataFrame) -> DataFrame:
-    count = lambda s: F.size(F.filter("results", lambda r: r["severity"] == s))
+    told = F.col("results")["severity"]
+    count = lambda s: F.size("results") - F.size(F.array_remove(told, s))
     each = F.array(*map(count, SEVERITIES))
     df = df.withColumn("counts", F.map_from_arrays(F.array(*map(F.lit, SEVERITIES)), each))
-    has = lambda s: F.exists("results", lambda r: r["severity"] == s)
+    has = lambda s: F.array_contains(told, s)
     return df.withColumn("overall", F.when(has("fail"), "fail").when(has("warning"), "warning").otherwise("pass"))
 
 

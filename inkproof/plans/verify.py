@@ -27,9 +27,9 @@ def verify(
     and projections. The source text is needed by the scores only. A missing directory or
     ``scope=None`` skips its rule; ``scope="given"``: the invoices have ``duplicate_count`` and ``duplicate_ids`` already. ``earlier``: keys of invoices that were processed before these.
     """
-    df = confidence.report(invoices, strategy)
-    df = lookup.duplicates(df, scope, earlier=earlier) if scope not in (None, "given") else df
+    df = lookup.duplicates(invoices, scope, earlier=earlier) if scope not in (None, "given") else invoices  # before the scores, which keys don't need
     df = lookup.known_vendors(df, vendors) if vendors is not None else df
+    df = confidence.report(df, strategy)
     df = validate.validate(df, DEFAULT_POLICY if policy is None else policy, rules, now, lookup=bool(scope), directory=vendors is not None)
     df = df.withColumn("needs_review", review.needs_review(threshold))
     return df.withColumn("status", F.when(F.col("needs_review"), "review").otherwise("completed"))

@@ -149,3 +149,29 @@ def test_many_named_files_are_dealt_out_to_folders(spark, tmp_path):
     w.move(full[0].folder)
     w.commit(full[1:])
     assert named.listing(spark, out, 16).where("length = 1").count() == 5 and not [f for f in os.listdir(out) if f.startswith("_drafts")]
+
+
+def test_keys_are_looked_up_before_the_scores_and_read_once(spark, monkeypatch):
+    """The lookup's plan has no scores in it, and ranges are made of a stored table."""
+    from inkproof.plans.verify import verify
+
+    seen, ranges = [], lookup.in_ranges
+    monkeypatch.setattr(lookup, "in_ranges", lambda rows, order: (seen.append((rows.columns, rows.inputFiles())), ranges(rows, order))[1])
+    items = "array(named_struct('description', 'a', 'quantity', -1D, 'unit_price', 2D, 'amount', 3D), named_struct('description', 'A ', 'quantity', -1D, 'unit_price', 2D, 'amount', 3D))"
+    df = spark.range(2).selectExpr("cast(id as string) as document_id", "id as seq", "id as received_at", "'N-1' as invoice_number", "'2024-01-01' as invoice_date", "'Acme' as vendor_name", "string(null) as vendor_tax_id", "'EUR' as currency", "6D as subtotal", "0D as tax_amount", "0D as discount", "6D as total", f"{items} as line_items", "array('') as injection_flags", "'N-1' as source_text")
+    made = []
+    given = lookup.duplicates
+    monkeypatch.setattr(lookup, "duplicates", lambda rows, *a, **k: (made.append(rows.columns), given(rows, *a, **k))[1])
+    got = verify(df, now="2024-02-01 00:00:00").orderBy("document_id").collect()
+    assert "scores" not in made[0] and seen[0][1] and [r.duplicate_count for r in got] == [0, 1]
+    told = {r.rule_id: r.severity for r in got[1].results}
+    assert (told["duplicate_invoice"], told["duplicate_line_items"], told["negative_quantity"], told["line_item_amount_consistency"], told["subtotal_matches_line_items"]) == ("fail", "warning", "fail", "fail", "pass")
+
+
+def test_parts_that_rules_share_follow_the_parameters(spark):
+    """A rule under other parameters doesn't take what was computed for the policy's."""
+    assert set(RULES) >= set(validate.SHARED)
+    df = spark.range(1).selectExpr("'x' as document_id", "'2024-01-01' as invoice_date", "array(named_struct('description', 'a', 'quantity', 0D, 'unit_price', 2D, 'amount', 0.5D)) as line_items")
+    rules = {"negative_quantity": RULES["negative_quantity"], "line_item_amount_consistency": RULES["line_item_amount_consistency"], "lenient": Rule(lambda p: RULES["negative_quantity"].build(p | {"allow_zero": True}))}
+    got = validate.validate(df, {"line_item_amount_consistency": {"params": {"tolerance": 1.0}}}, rules).first().results
+    assert [r.severity for r in got] == ["pass", "pass", "fail"]
