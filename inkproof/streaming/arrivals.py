@@ -34,7 +34,7 @@ def earlier_invoices(stream: DataFrame, order: tuple[str, ...] = ("received_at",
     keyless = falsy(F.col("vendor_name")) | falsy(F.col("invoice_number"))
     own = F.when(keyless, F.concat(F.lit("\x02"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).otherwise(F.concat_ws("\x01", key(F.col("vendor_name")), key(F.col("invoice_number"))))
     packed = stream.select(own.alias("key"), keyless.alias("keyless"), F.col(id_col).cast("string").alias("own_id"), *(F.col(c).alias(f"order{k}") for k, c in enumerate(order)), F.to_json(F.struct(*stream.columns), _JSON).alias("packed"))
-    found = packed.groupBy("key").transformWithStateInPandas(FirstOfKey([f"order{k}" for k in range(len(order))]), "packed string, duplicate_count long, duplicate_ids array<string>", "append", "none")
+    found = packed.groupBy("key").transformWithState(FirstOfKey([f"order{k}" for k in range(len(order))]), "packed string, duplicate_count long, duplicate_ids array<string>", "append", "none")
     return found.select(F.from_json("packed", stream.schema, _JSON).alias("_r"), "duplicate_count", "duplicate_ids").select("_r.*", "duplicate_count", "duplicate_ids")
 
 

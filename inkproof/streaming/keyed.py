@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,26 +31,22 @@ class FirstOfKey(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "n long, firsts array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows), ignore_index=True)
-        if df["keyless"].iloc[0]:
-            yield pd.DataFrame({"packed": df["packed"], "duplicate_count": 0, "duplicate_ids": [[]] * len(df)})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        if rows[0]["keyless"]:
+            for r in rows:
+                yield Row(packed=r["packed"], duplicate_count=0, duplicate_ids=[])
             return
-        df = df.sort_values([*self.order, "own_id"], kind="stable", na_position="first", ignore_index=True)
-        n, firsts = 0, []
-        if self.seen.exists():
-            n, firsts = self.seen.get()
-        firsts, before = list(firsts), []
-        for i in df["own_id"]:  # once ``most`` ids are known, all later rows have the same
-            if len(firsts) >= self.most:
-                break
-            before.append(list(firsts))
-            firsts.append(i)
-        before += [firsts] * (len(df) - len(before))
-        self.seen.update((n + len(df), firsts))
-        yield pd.DataFrame({"packed": df["packed"], "duplicate_count": range(n, n + len(df)), "duplicate_ids": before})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows.sort(key=lambda r: [(r[c] is not None, r[c]) for c in (*self.order, "own_id")])  # nulls first
+        found = self.seen.get()
+        n, firsts = (found[0], list(found[1])) if found is not None else (0, [])
+        self.seen.update((n + len(rows), [*firsts, *(r["own_id"] for r in rows)][: self.most]))
+        for i, r in enumerate(rows):
+            yield Row(packed=r["packed"], duplicate_count=n + i, duplicate_ids=list(firsts))
+            if len(firsts) < self.most:
+                firsts.append(r["own_id"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return iter(())
 
     def close(self) -> None:
@@ -71,25 +66,21 @@ class NumberInWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.count = handle, handle.getValueState("count", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         end = (int(key[-1]) + self.seconds) * 1000
         if timerValues.getCurrentWatermarkInMs() >= end:
             return
-        df = pd.concat(list(rows), ignore_index=True)
-        known = self.count.exists()
-        n = self.count.get()[0] if known else 0
-        if not known:
+        rows = sorted(rows, key=lambda r: [(r[c] is None, r[c]) for c in (self.at, *self.order)])  # nulls last
+        found = self.count.get()
+        n = 0 if found is None else found[0]
+        if found is None:
             self.handle.registerTimer(end)
-        df = df.sort_values([self.at, *self.order], kind="stable", ignore_index=True)
-        self.count.update((n + len(df),))
-        for name, value in zip(self.keys, key):
-            df[name] = [value] * len(df)
-        df = df[self.columns]
-        df["n"] = range(n + 1, n + len(df) + 1)
-        df["over_limit"] = df["n"] > self.limit
-        yield df
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.update((n + len(rows),))
+        own = dict(zip(self.keys, key))
+        for i, r in enumerate(rows, n + 1):
+            yield Row(**{c: own[c] if c in own else r[c] for c in self.columns}, n=i, over_limit=i > self.limit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.count.clear()
         return iter(())
 

@@ -28,5 +28,5 @@ def numbered(stream: DataFrame, key: str, at: str, limit: int, seconds: int = 60
     start = F.floor(F.unix_micros(at) / F.lit(1_000_000 * seconds)) * seconds
     timed = stream.withWatermark(at, late).withColumn("_window", start.cast("long"))
     fields = ", ".join(f"`{c}` {kind}" for c, kind in timed.dtypes)
-    out = timed.groupBy(key, "_window").transformWithStateInPandas(NumberInWindow([key, "_window"], timed.columns, at, list(order), limit, seconds), f"{fields}, n long, over_limit boolean", "append", "eventTime")
+    out = timed.groupBy(key, "_window").transformWithState(NumberInWindow([key, "_window"], timed.columns, at, list(order), limit, seconds), f"{fields}, n long, over_limit boolean", "append", "eventTime")
     return out.withColumn("window_start", F.timestamp_seconds("_window")).drop("_window")

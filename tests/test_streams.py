@@ -91,3 +91,45 @@ def test_windows_expire(spark, tmp_path):
     got = sorted((r.w, r.n, r.over_limit) for r in spark.read.parquet(out).select(F.date_format("window_start", "HH:mm").alias("w"), "n", "over_limit").collect())
     assert got == [("10:00", 2, True), ("10:01", 1, False), ("10:10", 3, True)]
     assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) <= 2
+
+
+def test_a_key_costs_one_read_and_one_write_of_state():
+    """Rows go through as they are, without a frame for each key; nulls come first among invoices, last among requests."""
+    from pyspark.sql import Row
+
+    from inkproof.streaming.keyed import FirstOfKey, NumberInWindow
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    first = FirstOfKey(["order0"])
+    first.seen = State()
+    row = lambda i, at: Row(keyless=False, own_id=i, order0=at, packed=f"p{i}")
+    got = [tuple(r) for r in first.handleInputRows(("k",), iter([row("2", 5), row("1", None)]), None)]
+    got += [tuple(r) for r in first.handleInputRows(("k",), iter([row("4", 7), row("3", 6)]), None)]
+    assert got == [("p1", 0, []), ("p2", 1, ["1"]), ("p3", 2, ["1", "2"]), ("p4", 3, ["1", "2", "3"])]
+    assert first.seen.calls == 4 and first.seen.value == (4, ["1", "2", "3"])
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    class Handle:
+        timers = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    number = NumberInWindow(["user", "_window"], ["user", "at", "_window"], "at", ["e"], 1, 60)
+    number.count, number.handle = State(), Handle()
+    for want in ([("u", 1, 60, 1, False), ("u", 1, 60, 2, True)], [("u", 1, 60, 3, True), ("u", 1, 60, 4, True)]):
+        assert [tuple(r) for r in number.handleInputRows(("u", 60), iter([Row(at=1, e=None), Row(at=1, e=2)]), Timers())] == want
+    assert number.count.calls == 4 and Handle.timers == [120_000]
