@@ -22,9 +22,9 @@ BUDGET, BLOCKED_RETRY, ACCEPTED = "retry budget exhausted", "another reading can
 UNUSABLE = "the decider's answer can't be used"
 
 
-def needs_review(threshold: float = THRESHOLD) -> Column:
+def needs_review(threshold: float = THRESHOLD, confidence: Column | None = None) -> Column:
     """Low confidence, or any warning or failure."""
-    return (F.col("confidence.overall") < threshold) | (F.col("overall") != "pass")
+    return ((F.col("confidence.overall") if confidence is None else confidence) < threshold) | (F.col("overall") != "pass")
 
 
 def grounded_fields(fields: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,68 @@ def shared_parts(policy: dict[str, dict], rules: dict[str, Rule] | None = None)
     return out
 
 
+def judged(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> tuple[DataFrame, Column, dict[str, Column]]:
+    """The rows with each rule's case in columns ``_case…``, the array of results told from these, and for each severity an array of whether a rule has it.
+
+    The date is parsed once for all rules, and what a rule uses in several of its cases is computed once. Reasons are in the array
+    of results alone: whoever doesn't take it pays for the cases only. Own rules without a ``decision`` give their results at once.
+    """
+    rules, parts = RULES if rules is None else rules, shared_parts(policy, rules)
+    date = "_parsed" if "_parsed" in invoices.columns else "_date"  # scores parse it too
+    columns = {"_date": parse_date(F.col("invoice_date"))} if date == "_date" else {}
+    columns |= {f"_shared{i}": c for i, c in enumerate(parts.values())}
+    dated = settled(invoices.withColumns(columns), *columns) if columns else invoices
+    extra = extra | {"now": now, "date": date, "shared": {name: f"_shared{i}" for i, name in enumerate(parts)}}
+    cases, told, has = {}, [], {s: [] for s in SEVERITIES}
+    for i, rule_id in enumerate(sorted(rules)):
+        own = policy.get(rule_id, {})
+        if not own.get("enabled", True):
+            continue
+        rule, at, params, severity = rules[rule_id], F.col(f"_case{i}"), (own.get("params") or {}) | extra, own.get("severity")
+        if rule.decision is None:
+            cases[f"_case{i}"], result, known = _overridden(guarded(rule_id, rule, params), severity), at, None
+        else:
+            make = lambda: _parts(rule_id, rule, params, severity, at)  # noqa: B023, E731
+            cases[f"_case{i}"], result, known = built_once(("parts", i, rule_id, params, severity), make) if rule is RULES.get(rule_id) else make()
+        told.append(result)
+        for s in SEVERITIES:
+            if known is None:
+                has[s].append(at["severity"] == s)
+            elif s in known:
+                has[s].append(at.isin(*(k for k, x in enumerate(known) if x == s)))
+    return (settled(dated.withColumns(cases), *cases) if cases else dated), F.array(*told), has
+
+
+def _parts(rule_id: str, rule: Rule, params: dict, severity: str | None, at: Column) -> tuple[Column, Column, list[str]]:
+    """A rule's case, its result by the case in ``at``, and the cases' severities."""
+    try:
+        made = rule.decision(params).moved(severity)
+        return made.case(), made.result(at), made.severities
+    except Exception:  # as ``guarded``: a rule that can't be built is skipped
+        return F.lit(0), guarded(rule_id, rule, params), ["skipped"]
+
+
+def counted(has: dict[str, list[Column]]) -> Column:
+    """A map of how many rules have each severity."""
+    count = lambda s: sum((F.coalesce(c.cast("int"), F.lit(0)) for c in has[s]), F.lit(0))
+    return F.map_from_arrays(F.array(*map(F.lit, SEVERITIES)), F.array(*map(count, SEVERITIES)))
+
+
+def worst(has: dict[str, list[Column]]) -> Column:
+    """The document's severity: fail, warning or pass."""
+    some = lambda s: reduce(lambda a, c: a | c, has[s], F.lit(False))
+    return F.when(some("fail"), "fail").when(some("warning"), "warning").otherwise("pass")
+
+
+def unjudged(df: DataFrame) -> DataFrame:
+    """Without the columns of :func:`judged`."""
+    return df.drop(*(c for c in df.columns if c == "_date" or c.startswith(("_case", "_shared"))))
+
+
 def validate(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> DataFrame:
-    """Add ``results``, ``counts`` (of all four severities) and ``overall``. The date is parsed once for all rules, and what a rule uses in several of its cases is computed once."""
-    parts = shared_parts(policy, rules)
-    columns = {"_date": parse_date(F.col("invoice_date"))} | {f"_shared{i}": c for i, c in enumerate(parts.values())}
-    dated = settled(invoices.withColumns(columns), *columns)
-    extra = extra | {"now": now, "date": "_date", "shared": {name: f"_shared{i}" for i, name in enumerate(parts)}}
-    made = dated.withColumn("results", results(policy, rules, extra)).drop(*columns)
-    return summarise(settled(made, "results"))
+    """Add ``results``, ``counts`` (of all four severities) and ``overall``. See :func:`judged`."""
+    df, results, has = judged(invoices, policy, rules, now, **extra)
+    return unjudged(df.withColumns({"results": results, "counts": counted(has), "overall": worst(has)}))
 
 
 def faulty_rules(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule], extra: dict | None = None) -> set[str]:

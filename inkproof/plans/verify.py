@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rule
 from ..operators import confidence, lookup, review, validate
 from ..sources.readers import DEFAULT_POLICY
+from .shape import settled
 
 
 def verify(
@@ -29,7 +30,11 @@ def verify(
     """
     df = lookup.duplicates(invoices, scope, earlier=earlier) if scope not in (None, "given") else invoices  # before the scores, which keys don't need
     df = lookup.known_vendors(df, vendors) if vendors is not None else df
-    df = confidence.report(df, strategy)
-    df = validate.validate(df, DEFAULT_POLICY if policy is None else policy, rules, now, lookup=bool(scope), directory=vendors is not None)
-    df = df.withColumn("needs_review", review.needs_review(threshold))
-    return df.withColumn("status", F.when(F.col("needs_review"), "review").otherwise("completed"))
+    # First what is measured and decided, once for each row; then what is told of it, which a query that doesn't take it doesn't pay for.
+    given = df.columns
+    df = confidence.measured(df).withColumn("_overall", confidence.rated(strategy))
+    df, results, has = validate.judged(settled(df, "_overall"), DEFAULT_POLICY if policy is None else policy, rules, now, lookup=bool(scope), directory=vendors is not None)
+    df = df.withColumns({"counts": validate.counted(has), "overall": validate.worst(has)}).withColumn("needs_review", review.needs_review(threshold, F.col("_overall")))
+    df = settled(df, "counts", "overall", "needs_review")
+    df = df.withColumns({"scores": confidence.told(), "confidence": confidence.summary(strategy), "results": results, "status": F.when(F.col("needs_review"), "review").otherwise("completed")})
+    return df.select(*given, "scores", "confidence", "results", "counts", "overall", "needs_review", "status")

@@ -175,3 +175,21 @@ def test_parts_that_rules_share_follow_the_parameters(spark):
     rules = {"negative_quantity": RULES["negative_quantity"], "line_item_amount_consistency": RULES["line_item_amount_consistency"], "lenient": Rule(lambda p: RULES["negative_quantity"].build(p | {"allow_zero": True}))}
     got = validate.validate(df, {"line_item_amount_consistency": {"params": {"tolerance": 1.0}}}, rules).first().results
     assert [r.severity for r in got] == ["pass", "pass", "fail"]
+
+
+def test_texts_are_made_only_for_who_takes_them(spark):
+    """Gates and counts pay for the rules' cases and the scores' numbers, not for reasons, values and signals."""
+    from inkproof.plans.verify import verify
+
+    items = "array(named_struct('description', 'a', 'quantity', 1D, 'unit_price', 6D, 'amount', 6D))"
+    df = spark.range(1).selectExpr("cast(id as string) as document_id", "id as seq", "id as received_at", "'N-1' as invoice_number", "'2024-01-01' as invoice_date", "'　Acme ' as vendor_name", "string(null) as vendor_tax_id", "'EUR' as currency", "6D as subtotal", "0D as tax_amount", "0D as discount", "6D as total", f"{items} as line_items", "array('x') as injection_flags", "'N-1 acme' as source_text")
+    done = verify(df, now="2024-02-01 00:00:00", scope=None)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    lean = done.select("document_id", "confidence.overall", F.col("overall").alias("checks"), "counts", "needs_review")
+    assert not [t for t in ("The parts add up", "Patterns of manipulation", "not_found_in_source") if t in plan(lean)]
+    assert "The parts add up" in plan(done) and "not_found_in_source" in plan(done)
+    got, told = lean.first(), done.first()
+    assert (got.overall, got.checks, got.counts, got.needs_review) == (told.confidence.overall, told.overall, told.counts, told.needs_review)
+    severities = [r.severity for r in told.results]
+    assert told.counts == {s: severities.count(s) for s in ("pass", "warning", "fail", "skipped")} and told.overall == "fail" and len(severities) == 18
+    assert [f.signals[1] for f in told.confidence.fields if f.field == "vendor_name"] == ["grounded_in_source(+0.30)"]
