@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, SEVERITIES, SHARED, Rule, guarded, outcome
 from ..functions.scalars import parse_date
-from ..plans.shape import built_once, settled
+from ..plans.shape import apart, built_once, settled
 from .state import stored
 
 _BAD = ("fail", "warning")
@@ -77,6 +77,8 @@ def judged(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule]
                 has[s].append(at["severity"] == s)
             elif s in known:
                 has[s].append(at.isin(*(k for k, x in enumerate(known) if x == s)))
+    if cases:
+        cases["_case_apart"] = apart(date)
     return (settled(dated.withColumns(cases), *cases) if cases else dated), F.array(*told), has
 
 

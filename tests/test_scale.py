@@ -193,3 +193,29 @@ def test_texts_are_made_only_for_who_takes_them(spark):
     severities = [r.severity for r in told.results]
     assert told.counts == {s: severities.count(s) for s in ("pass", "warning", "fail", "skipped")} and told.overall == "fail" and len(severities) == 18
     assert [f.signals[1] for f in told.confidence.fields if f.field == "vendor_name"] == ["grounded_in_source(+0.30)"]
+
+
+def test_no_layer_of_checks_is_too_large_to_be_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes for good."""
+    from inkproof.plans.verify import verify
+
+    df = spark.createDataFrame([invoice("1", "one.pdf")], INVOICES).withColumns({"source_text": F.lit("x"), "injection_flags": F.array().cast("array<string>"), "duplicate_count": F.lit(0), "duplicate_ids": F.array().cast("array<string>")})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = verify(df, None, now="2024-06-01 00:00:00", scope="given").select("document_id", "counts", "overall", "needs_review")._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+        found = debug.codegenStringSeq(plan)
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_dates_are_read_as_by_all_patterns_in_turn(spark):
+    from inkproof.functions.scalars import DATE_PATTERNS, parse_date, strip
+
+    texts = ["05/01/2024", "31/01/2024", "01/31/2024", "13/13/2024", "0005/01/2024", "2024/1/5", "2024-01-05", "5-1-2024", "12024-1-1", "+12024-1-1", "2024-1-0005", "007/012/2024", "5 Jan 2024", "5 January 2024", "January 5, 2024", "Jan  5, 2024", "May 5, 2024", "May 5 2024", "Smarch 5, 2024", "1/2-2024", "2024-1-1\n", "soon", "", None]
+    c = F.regexp_replace(strip(F.col("t")), r"(?U)\s+", " ")
+    every = F.coalesce(*(F.try_to_timestamp(c, F.lit(p)) for p in DATE_PATTERNS)).cast("timestamp_ntz")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", every.cast("string").alias("want"), parse_date(F.col("t")).cast("string").alias("got")).collect()
+    assert [r.t for r in got if r.want != r.got] == [] and sum(r.got is not None for r in got) >= 12
