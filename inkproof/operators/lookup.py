@@ -26,7 +26,7 @@ def in_ranges(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return stored(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
 
 
-def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id", earlier: DataFrame | None = None) -> DataFrame:
+def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...] = ("received_at", "seq"), id_col: str = "document_id", earlier: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """Add ``duplicate_count`` and ``duplicate_ids`` (the first three in processing order).
 
     ``prior``: only documents processed before count; ``any``: all others. ``earlier``: rows of
@@ -34,7 +34,7 @@ def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...]
     nothing. Only ids and keys are dealt out, by ranges; counts and first ids of each range are
     summed up over the ranges of a vendor and number and joined back by both, so an invoice number that
     millions share isn't one task's work. What is found is joined back by id: whole invoices
-    are never gathered by their keys.
+    are never gathered by their keys. ``wanted``: some of the invoices, to which alone it is joined.
     """
     if scope not in ("prior", "any"):
         raise ValueError(f"unknown scope: {scope}")
@@ -53,7 +53,7 @@ def duplicates(invoices: DataFrame, scope: str = "prior", order: tuple[str, ...]
     others = F.filter("_firsts", lambda x: x["_k"] < F.col("_k") if scope == "prior" else x["_k"] != F.col("_k"))
     pairs = ranked.where("_late = 1").join(known, [*group, "_range"])
     hits = pairs.select(F.col(id_col).alias("_hit"), counted.alias("duplicate_count"), F.slice(F.transform(others, lambda x: x["_id"]), 1, 3).alias("duplicate_ids")).where("duplicate_count > 0")
-    out = invoices.join(hits, F.col(id_col) == F.col("_hit"), "left").drop("_hit")
+    out = (invoices if wanted is None else wanted).join(hits, F.col(id_col) == F.col("_hit"), "left").drop("_hit")
     return out.withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0).cast("long"))).withColumn("duplicate_ids", F.coalesce("duplicate_ids", F.array().cast("array<string>")))
 
 

@@ -211,11 +211,14 @@ def text_of(name: str, dialect: str) -> str:
     return re.sub(r"\{(%s)\}" % "|".join(TOKENS[dialect]), lambda m: TOKENS[dialect][m[1]], VIEWS[name])
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view over the tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, near: tuple[str, str] | None = None) -> DataFrame:
+    """The view over the tables in ``sf_dir``. ``near`` (table, column): invoices are built only of the orders whose keys the column has."""
     sql = text_of(name, "spark")
     for inner in ("invoices", "page_text"):
         if inner != name:
             sql = re.sub(rf"\b(FROM|JOIN) {inner}\b", lambda m: f"{m[1]} ({text_of(inner, 'spark')})", sql)  # noqa: B023
+    if near:  # line items of other orders go before they are joined and grouped
+        for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+            sql = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 (SELECT * FROM {table} WHERE {key} IN (SELECT {near[1]} FROM {near[0]}))", sql)
     tables = "|".join(TABLES)
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({tables})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))

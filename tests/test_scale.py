@@ -219,3 +219,41 @@ def test_dates_are_read_as_by_all_patterns_in_turn(spark):
     every = F.coalesce(*(F.try_to_timestamp(c, F.lit(p)) for p in DATE_PATTERNS)).cast("timestamp_ntz")
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", every.cast("string").alias("want"), parse_date(F.col("t")).cast("string").alias("got")).collect()
     assert [r.t for r in got if r.want != r.got] == [] and sum(r.got is not None for r in got) >= 12
+
+
+def test_rows_are_computed_twice_at_most_to_isolate_rules(spark):
+    """Once until a rule stops the job, and once more to be written; tries read what was written."""
+    def broken(at):
+        stop = F.when(F.col("total") == at, F.raise_error(F.lit("broken")).cast("string")).otherwise("pass")
+        return Rule(lambda params: decide(f"broken_{at}", [(stop == "pass", "pass", "Good.", ())], ("fail", "Bad.", ())))
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    df = spark.range(1).select(F.lit("1").alias("document_id"), F.lit(3.0).alias("total"), F.lit("2024-01-01").alias("invoice_date"))
+    df = df.mapInArrow(count, df.schema)
+    rules = {f"broken_{k}": broken(k) for k in (3, 5, 7, 9)} | {"zero_total": RULES["zero_total"]}
+    [r] = validate.validate_isolated(df, DEFAULT_POLICY, rules).collect()
+    assert {x.rule_id: x.severity for x in r.results} == {"broken_3": "skipped", "broken_5": "pass", "broken_7": "pass", "broken_9": "pass", "zero_total": "pass"}
+    assert computed.value <= 2
+
+
+def test_invoices_of_documents_alone(spark):
+    """Orders that no document has go before line items are joined and grouped; the invoices are the same."""
+    from inkproof.sources.views import view
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the given tables aren't here")
+    near, every = view(spark, d, "invoices", ("documents", "doc_id")), view(spark, d, "invoices")
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"))
+    want = every.join(ids, "document_id", "left_semi").select(every.columns).collect()
+    assert sorted(near.collect()) == sorted(want) and 0 < len(want) < every.count()
+    for name in ("doc_answers", "doc_pages"):
+        assert sorted(map(repr, view(spark, d, name, ("documents", "doc_id")).collect())) == sorted(map(repr, view(spark, d, name).collect()))
+    looked = lookup.duplicates(every, wanted=near).select("document_id", "duplicate_count", "duplicate_ids")
+    assert sorted(looked.collect()) == sorted(lookup.duplicates(every).join(ids, "document_id", "left_semi").select(looked.columns).collect())
