@@ -115,7 +115,10 @@ def validate(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule
 
 
 def faulty_rules(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule], extra: dict | None = None) -> set[str]:
-    """Of these rules those that stop a job over these rows, found by halves; an error of the rows themselves is raised."""
+    """Of these rules those that stop a job over these rows, found by halves; an error of the rows themselves is raised.
+
+    Each try computes the rows anew: give them stored, if they cost much.
+    """
 
     def fails(ids: list[str]) -> bool:
         try:
@@ -145,19 +148,20 @@ def quarantined(rules: dict[str, Rule], faulty: set[str]) -> dict[str, Rule]:
 def validate_isolated(invoices: DataFrame, policy: dict[str, dict], rules: dict[str, Rule] | None = None, now: str | None = None, **extra) -> DataFrame:
     """As :func:`validate`, and written; rules of one's own that raise while they run are found and skipped.
 
-    Without a fault this is one pass. After one, the rules that aren't given here run apart, by
-    halves, until the faulty ones are known; all others have their results.
+    Without a fault this is one pass. After one, the rows are written, so that what they are made of isn't computed
+    again, and the rules that aren't given here run apart over them, by halves, until the faulty ones are known; all
+    others have their results.
     """
     rules = RULES if rules is None else rules
     try:
         return stored(validate(invoices, policy, rules, now, **extra))
     except Exception:
         own = {k: r for k, r in rules.items() if r is not RULES.get(k)}
-        dated = invoices.withColumn("_date", parse_date(F.col("invoice_date")))
-        bad = faulty_rules(dated, policy, own, extra | {"now": now, "date": "_date"})
+        kept = stored(invoices.withColumn("_date", parse_date(F.col("invoice_date"))))
+        bad = faulty_rules(kept, policy, own, extra | {"now": now, "date": "_date"})
         if not bad:
             raise
-        return stored(validate(invoices, policy, quarantined(rules, bad), now, **extra))
+        return stored(validate(kept.drop("_date"), policy, quarantined(rules, bad), now, **extra))
 
 
 def summarise(df: DataFrame) -> DataFrame:
