@@ -37,6 +37,7 @@ def ask_all(ask: Callable[[str], str], prompts: list[str], concurrency: int, tim
                 got = (ask(prompts[k]), None)
             except Exception as e:  # one call's fault must not stop the others
                 got = (None, f"{type(e).__name__}: {e}"[:500])
+            began.pop(k, None)  # only running calls are looked at, however many answers wait
             done.put((k, got))
             if found[k] is not None:  # given up meanwhile: another thread has taken this one's place
                 return
@@ -54,13 +55,38 @@ def ask_all(ask: Callable[[str], str], prompts: list[str], concurrency: int, tim
             pass
         for k, at in list(began.items()):
             if found[k] is not None:
-                began.pop(k)
+                began.pop(k, None)
             elif time.monotonic() - at > timeout:
                 found[k], left = (None, f"TimeoutError: no answer within {timeout:g} s"), left - 1
                 start()
     return found
 
 
+def asked(rows: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str, error: str, concurrency: int = 8, timeout: float = 120.0, more: str = "") -> DataFrame:
+    """The rows with the model's answer to each prompt, followed by ``more``, and why there is none. Nothing is shuffled."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = model()
+        for b in batches:
+            got = ask_all(ask, [p + more for p in b.column(names.index(prompt)).to_pylist()], concurrency, timeout)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=[*names, out, error])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*rows.dtypes, (out, "string"), (error, "string")]))
+
+
+def prompts(df: DataFrame, prompt: str, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows' columns ``keep`` with a digest of their prompt in ``_mine``, and ``_digest, _prompt`` of each prompt that differs; null prompts aren't among these.
+
+    Prompts are made once and written, and shuffled once, by their digests; the rows read their digests alone.
+    """
+    from .state import stored
+
+    rows = stored(df.select(*dict.fromkeys((*keep, prompt)), F.col(prompt).alias("_prompt"), F.sha2(F.col(prompt), 256).alias("_mine")))
+    each = rows.where("_prompt is not null").groupBy(F.col("_mine").alias("_digest")).agg(F.first("_prompt").alias("_prompt"))
+    return rows.select(*keep, "_mine"), each
+
+
 def infer(
     df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]], out: str = "response", keep: tuple[str, ...] = ("document_id",), error: str = "call_error", concurrency: int = 8, timeout: float = 120.0
 ) -> DataFrame:
@@ -71,16 +97,8 @@ def infer(
     answer and an error, and no other row suffers. Equal prompts are asked once, wherever they
     are: prompts are gathered by a digest, and answers joined back by it. A null prompt isn't asked.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = model()
-        for b in batches:
-            got = ask_all(ask, b.column(1).to_pylist(), concurrency, timeout)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["_digest", out, error])
-
-    rows = df.select(*dict.fromkeys((*keep, prompt))).withColumn("_mine", F.sha2(F.col(prompt), 256))
-    asked = rows.where(F.col(prompt).isNotNull()).groupBy("_mine").agg(F.first(prompt).alias("_prompt"))
-    answers = asked.select(F.col("_mine").alias("_digest"), "_prompt").mapInArrow(run, f"_digest string, `{out}` string, `{error}` string")
+    rows, each = prompts(df, prompt, keep)
+    answers = asked(each, "_prompt", model, out, error, concurrency, timeout).drop("_prompt")
     return rows.join(answers, F.col("_mine") == F.col("_digest"), "left").select(*keep, out, error)
 
 
@@ -135,15 +153,17 @@ def extract(df: DataFrame, prompt: str, model: Callable[[], Callable[[str], str]
     from .state import stored
 
     names, done = ["response_1"], None
-    asked = stored(infer(df, prompt, model, "response_1", tuple(dict.fromkeys((*keep, prompt))), concurrency=concurrency, timeout=timeout))
+    rows, each = prompts(df, prompt, keep)
+    told = stored(asked(each, "_prompt", model, "response_1", "call_error", concurrency, timeout))
     for n in range(2, retries + 2):
         usable = first_usable(names)[1].isNotNull()
-        good = asked.where(usable)
+        good = told.where(usable).drop("_prompt")
         done = good if done is None else done.unionByName(good, allowMissingColumns=True)
-        bad = asked.where(~usable).drop("call_error").withColumn("_again", F.concat(prompt, F.lit(FIRMER)))
-        again = infer(bad, "_again", model, f"response_{n}", tuple(c for c in bad.columns if c != "_again"), concurrency=concurrency, timeout=timeout)
+        # Prompts differ already, and so they do with firmer words.
+        told = stored(asked(told.where(~usable).drop("call_error"), "_prompt", model, f"response_{n}", "call_error", concurrency, timeout, FIRMER))
         names.append(f"response_{n}")
-        asked = stored(again)
-    every = asked if done is None else done.unionByName(asked, allowMissingColumns=True)
+    told = told.drop("_prompt")
+    every = told if done is None else done.unionByName(told, allowMissingColumns=True)
+    every = rows.join(every, F.col("_mine") == F.col("_digest"), "left")
     every = every.withColumn("call_error", F.when(first_usable(names)[1].isNull(), F.col("call_error")))
     return typed(every, names, (*keep, "call_error"))

@@ -69,3 +69,26 @@ def test_a_failing_model_gives_all_rows(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("document_id"), F.concat("id", F.lit(" prompt")).alias("prompt"))
     got = {r.document_id: (r.call_error, r.data.total) for r in extract.extract(df, "prompt", model, retries=2).collect()}
     assert got == {str(i): (("ConnectionError: refused", None) if i % 5 == 0 else (None, 3.0)) for i in range(50)}
+
+
+def test_prompts_are_made_once_and_shuffled_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(30).select(F.col("id").cast("string").alias("document_id"), F.concat(F.col("id") % 20, F.lit(" prompt")).alias("prompt")).mapInArrow(count, "document_id string, prompt string")
+    got = extract.extract(df, "prompt", lambda: lambda p: '{"total": 4}' if p.endswith(extract.FIRMER) or p < "15" else "no", retries=1)
+    assert sorted((int(r.document_id), r.data.total, r.parse_attempts) for r in got.collect()) == [(i, 4.0, 1 if f"{i % 20} prompt" < "15" else 2) for i in range(30)]
+    assert made.value == 30
+
+
+def test_many_quick_answers_take_time_by_their_number():
+    took = {}
+    for n in (4_000, 16_000):
+        began = time.monotonic()
+        assert extract.ask_all(lambda p: p.upper(), ["a"] * n, 8, 60) == [("A", None)] * n
+        took[n] = time.monotonic() - began
+    assert took[16_000] < 8 * took[4_000] + 0.5, took
