@@ -257,3 +257,15 @@ def test_invoices_of_documents_alone(spark):
         assert sorted(map(repr, view(spark, d, name, ("documents", "doc_id")).collect())) == sorted(map(repr, view(spark, d, name).collect()))
     looked = lookup.duplicates(every, wanted=near).select("document_id", "duplicate_count", "duplicate_ids")
     assert sorted(looked.collect()) == sorted(lookup.duplicates(every).join(ids, "document_id", "left_semi").select(looked.columns).collect())
+
+
+def test_a_review_writes_its_rows_once_a_round(spark, monkeypatch):
+    from inkproof import catalogue
+    from inkproof.operators import review
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the given tables aren't here")
+    written = []
+    monkeypatch.setattr(review, "stored", lambda df: written.append(df) or df)
+    catalogue._reviewed(spark, "/root/testdata/sf0.001")
+    assert len(written) == 1  # two rounds, of which the last is the caller's
