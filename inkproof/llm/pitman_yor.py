@@ -41,7 +41,6 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -79,35 +78,53 @@ def _ratios(discount: float) -> np.ndarray:
     return np.ascontiguousarray(np.nan_to_num(s, nan=0.0, posinf=0.0).T)
 
 
-def draw(n: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """The tables of dishes with ``n`` customers, all reseated given ``others``, the tables of other dishes there, and ``p``, what the parent gives the dish."""
+#: Dishes are drawn together whose customers are more than one of these and not more than the next; further ones seat them in blocks.
+_SIZES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, EXACT])
+_SIZE_OF = np.searchsorted(_SIZES, np.arange(EXACT + 1)).astype(np.uint8)
+#: So many weights at once stay in a core's cache.
+_WEIGHTS = 1 << 17
+
+
+def alike(n: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Which dishes :func:`draw` takes together, and the most customers they have."""
+    some = np.flatnonzero(n > 1)
+    size = _SIZE_OF[np.minimum(n[some], EXACT)]
+    rows = np.split(some[np.argsort(size, kind="stable")], np.bincount(size, minlength=len(_SIZES)).cumsum()[:-1])
+    return [(int(hi), r) for hi, r in zip(_SIZES, rows) if len(r)]
+
+
+def draw(n: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator, groups: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
+    """The tables of dishes with ``n`` customers, all reseated given ``others``, the tables of other dishes there, and ``p``, what the parent gives the dish; ``groups``: ``alike(n)``, if made before."""
     t = np.minimum(n, 1).astype(np.float64)
-    lo, every, n = 1, n, np.minimum(n, EXACT)
-    for hi in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, EXACT):
-        rows = np.flatnonzero((n > lo) & (n <= hi))
-        lo = hi
-        # Weights are products where no product can leave the range of numbers, else sums of logarithms.
-        most = hi * np.log10(np.maximum(1, (strength + discount * (others[rows] + hi)) * p[rows] * _ratios(discount)[1, n[rows]]))
-        for part in np.array_split(rows[most < 280], len(rows) * hi // (1 << 20) + 1) if len(rows) else ():
-            w, c = np.ones(len(part)), np.ones((hi, len(part)))
-            a, b = (strength + discount * others[part]) * p[part], discount * p[part]
+    ratios = _ratios(discount)
+    for hi, rows in alike(n) if groups is None else groups:
+        for part in np.array_split(rows, len(rows) * hi // _WEIGHTS + 1):
+            m, b = np.minimum(n[part], EXACT), p[part]
+            a = (strength + discount * others[part]) * b
+            b *= discount
+            # Weights are products where no product can leave the range of numbers, else sums of logarithms.
+            fit = (a + hi * b) * ratios[1].take(m) < 10.0 ** (280 / hi)
+            if not fit.all():
+                far = part[~fit]
+                w = np.log((strength + discount * (others[far, None] + np.arange(hi))) * p[far, None]).cumsum(axis=1)
+                w += _stirling(discount)[m[~fit], 1 : hi + 1]
+                w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+                t[far] = 1 + (w < (rng.random(len(far)) * w[:, -1])[:, None]).sum(axis=1)
+                part, m, a, b = part[fit], m[fit], a[fit], b[fit]
+            w, c, more = np.ones(len(part)), np.ones((hi, len(part))), np.empty(len(part))
             for k in range(1, hi):
-                w *= (a + k * b) * _ratios(discount)[k, n[part]]
+                a += b
+                np.multiply(a, ratios[k].take(m), out=more)
+                w *= more
                 np.add(c[k - 1], w, out=c[k])
-            t[part] = 1 + (c < rng.random(len(part)) * c[-1]).sum(axis=0)
-        rows = rows[most >= 280]
-        for part in np.array_split(rows, len(rows) * hi // (1 << 20) + 1) if len(rows) else ():
-            w = np.log((strength + discount * (others[part, None] + np.arange(hi))) * p[part, None]).cumsum(axis=1)
-            w += _stirling(discount)[n[part], 1 : hi + 1]
-            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[part] = 1 + (w < (rng.random(len(part)) * w[:, -1])[:, None]).sum(axis=1)
-    todo, seated = np.flatnonzero(every > EXACT), EXACT
+            t[part] = 1 + (c < rng.random(len(part)) * c[-1]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+    todo, seated = np.flatnonzero(n > EXACT), EXACT
     while len(todo):
         new = (strength + discount * (others[todo] + t[todo])) * p[todo]
         new = np.minimum(1.0, new / (new + seated - discount * t[todo]))
-        t[todo] += rng.binomial(np.minimum(seated // 16, every[todo] - seated), new)
+        t[todo] += rng.binomial(np.minimum(seated // 16, n[todo] - seated), new)
         seated += seated // 16
-        todo = todo[every[todo] > seated]
+        todo = todo[n[todo] > seated]
     return t
 
 
@@ -125,6 +142,14 @@ class Pairs:
     seated: np.ndarray
 
 
+def _find(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash is among ``known`` ones, which are in order, or -1."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
 @dataclass
 class Model:
     """What all tasks know. Known contexts are the words of ``known`` in order, and the start of a text as the last one."""
@@ -150,16 +175,11 @@ class Model:
 
     def context_of(self, hashes: np.ndarray) -> np.ndarray:
         """The known context that each word names, or -1."""
-        if not len(self.known):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at, -1)
+        return _find(self.known, hashes)
 
     def hot_of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word among the hot ones, or -1."""
-        number = np.full(len(self.known) + 1, -1)
-        number[self.hot_ids] = np.arange(len(self.hot_ids))
-        return number[self.context_of(hashes)]
+        return _find(self.known[self.hot_ids], hashes)
 
     def hot_context_of(self, context: np.ndarray) -> np.ndarray:
         number = np.full(len(self.customers) + 1, -1)
@@ -191,23 +211,26 @@ class Model:
             c0 = np.bincount(word[n > 0], minlength=len(hot)).astype(np.float64)
             return np.minimum(n, 1).astype(np.float64), c0, np.minimum(c0, 1)
         inner = np.flatnonzero((context >= 0) & (n > 0))
-        direct = np.bincount(word[pairs.cold], pairs.seated, len(hot))
-        t, mine = np.ones(len(inner)), hot < 0
+        once = inner[n[inner] == 1]  # these have one table always
         means = [np.zeros(len(n)), np.zeros(len(hot)), np.zeros(len(hot))]
+        means[0][once] = SWEEPS - BURN_IN
+        inner = inner[n[inner] > 1]
+        direct, alone = np.bincount(word[pairs.cold], pairs.seated, len(hot)), np.bincount(word[once], minlength=len(hot))
+        t, mine = np.ones(len(inner)), hot < 0
         rng = np.random.default_rng([k, seed])
-        c, m, w = context[inner], n[inner], word[inner]
-        t0 = None
+        m, w, tables = n[inner], word[inner], self.tables[k - 1][context[inner]]
+        t0, groups = None, alike(m)
         for sweep in range(SWEEPS):
-            c0 = direct + np.bincount(w, t, len(hot))
+            c0 = direct + (alone + np.bincount(w, t, len(hot)))
             whole = np.round(c0).astype(np.int64)
             total = np.full(len(hot), self.root[k - 1][1])
             t0 = draw(np.where(mine, whole, 0), np.maximum(0, total - (t0 if t0 is not None else 1)), np.full(len(hot), 1 / (self.kinds + 1)), self.root_discount, ROOT_STRENGTH, rng)
             p0 = self.root_p(c0, t0, k - 1)
             p0[~mine] = self.hot_p[k - 1][hot[~mine]]
-            t = draw(m, np.maximum(0, self.tables[k - 1][c] - t), p0[w], self.discount, STRENGTH, rng)
+            t = draw(m, np.maximum(0, tables - t), p0[w], self.discount, STRENGTH, rng, groups)
             if sweep >= BURN_IN:
                 means[0][inner] += t
-                means[1] += direct + np.bincount(w, t, len(hot))
+                means[1] += direct + (alone + np.bincount(w, t, len(hot)))
                 means[2] += t0
         kept = SWEEPS - BURN_IN
         means[0][pairs.cold] = pairs.seated * kept
@@ -221,23 +244,36 @@ def _read(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     group, size, first = [], 0, 0
     for i, t in enumerate([*texts, None]):
         if group and (t is None or size + len(t) > _TEXT_BYTES or len(group) == _TEXTS):
-            number = defaultdict(count().__next__)
-            tokens, owner = [], []
-            for k, text in enumerate(group):
-                for part in segments(text):
-                    words = part.lower().split()
-                    tokens.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                    owner.append(np.full(len(words), k, np.int32))
-                tokens.append(np.array([number[END]], np.int32))
-                owner.append(np.array([k], np.int32))
-            hashes = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, len(number)).view(np.int64)
-            yield first, len(group), hashes, np.concatenate(tokens), np.concatenate(owner)
+            words, owner = _words(group)
+            words = words.dictionary_encode()
+            distinct, number = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+            hashes = np.fromiter(map(xxh3_64_intdigest, [*distinct, END]), np.uint64, len(distinct) + 1).view(np.int64)
+            ends = np.searchsorted(owner, np.arange(len(group)), "right")
+            yield first, len(group), hashes, np.insert(number, ends, len(distinct)), np.insert(owner, ends, np.arange(len(group)))
             group, size, first = [], 0, i
         if t is not None:
             group.append(t)
             size += len(t)
 
 
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts, A-Z lower-cased, and the text of each."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at, letters, sizes, starts = 0, [], [], []
+    for part in segments(b" ".join(texts)):
+        data = np.frombuffer(part.lower(), np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)  # not a space, nor from tab to carriage return
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        letters.append(data[inside[1:-1]])
+        sizes.append(edges[1::2] - edges[::2])
+        starts.append(edges[::2] + at)
+        at += len(data)
+    offsets = np.concatenate(([0], *sizes)).cumsum().astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(letters))])
+    return words, np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(np.concatenate(starts), begins)))
+
+
 def _counted(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator[pa.RecordBatch]:
     """``key, n`` summed over a task's texts as far as they fit the bound; ``keys(group)``: keys and their counts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -302,7 +338,11 @@ def _unpacked(name: str, data) -> np.ndarray:
     kind = np.dtype(_KINDS[name])
     if kind.kind != "i":
         return np.frombuffer(data, kind)
-    return np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+    values = np.empty(planes.shape[::-1], np.uint8)
+    for k, plane in enumerate(planes):
+        values[:, k] = plane
+    return values.view(kind).ravel()
 
 
 def _schema(longs: tuple[str, ...], packed: tuple[str, ...]) -> pa.Schema:
@@ -363,7 +403,7 @@ def _deal(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
             # Ordinary words are dealt out by their hash, hot ones by hash and context.
             mixed = hashes[word].view(np.uint64) ^ np.where(hot_word[word] >= 0, name_of[context] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             bucket = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(model.buckets)
-            order = np.argsort(bucket.astype(np.uint16 if model.buckets <= 1 << 16 else np.int64), kind="stable")
+            order = _order(bucket, model.buckets)
             bucket, word, context, doc, n = bucket[order], word[order], context[order], doc[order], n[order]
             if len(bucket):
                 new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
@@ -385,6 +425,11 @@ def _deal(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
             )
 
 
+def _order(values: np.ndarray, below: int) -> np.ndarray:
+    """The order of numbers, equal ones as they come; small ones are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16 if below <= 1 << 16 else np.int64), kind="stable")
+
+
 def _numbered(row: np.ndarray, context: np.ndarray, known: int, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The contexts with those beyond the known ones as -1 - their number in the row; the hashes of these row by row, and how many each row has."""
     at = np.flatnonzero(context >= known)
@@ -404,7 +449,8 @@ def _merge(rows: list[dict]) -> pa.RecordBatch:
     cold, number = np.unique(values("cold"), return_inverse=True)
     sizes, few = np.array([len(r["cold"]) for r in rows]), np.flatnonzero(context < 0)
     context[few] = -1 - number[(np.cumsum(sizes) - sizes)[at[few]] - 1 - context[few]]
-    order = np.lexsort((context, word))
+    least = context.min(initial=0)
+    order = np.argsort(word * (int(context.max(initial=0)) - int(least) + 1) + (context - least), kind="stable")
     word, context, n = word[order], context[order], n[order]
     pair = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
     made = {
@@ -437,7 +483,7 @@ def _pairs_of(r: dict, model: Model) -> Pairs:
     cold = np.flatnonzero(context < 0)
     found = Pairs(np.repeat(np.arange(len(r["words"])), r["pairs"]), context, r["trained"], model.hot_of(r["words"]), cold, *np.zeros((3, len(cold))))
     if len(cold) and r.get("seated") is not None:
-        order = np.argsort(model.part_of(r["cold"][-1 - context[cold]]), kind="stable")
+        order = _order(model.part_of(r["cold"][-1 - context[cold]]), model.parts)
         for name in _ANSWERED:
             getattr(found, name)[order] = r[name]
     return found
@@ -459,7 +505,7 @@ def _asked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             p[pairs.hot >= 0] = model.hot_p[0][pairs.hot[pairs.hot >= 0]]
             cold = r["cold"][-1 - pairs.context[pairs.cold]]
             part = model.part_of(cold)
-            order = np.argsort(part, kind="stable")
+            order = _order(part, model.parts)
             at = pairs.cold[order]
             parts, sizes = np.unique(part, return_counts=True)
             if len(parts):

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from inkproof.llm import linear
 from inkproof.llm import pitman_yor as p
@@ -208,6 +209,42 @@ def test_tables_follow_their_distribution():
     assert zero[:2].tolist() == [0, 1] and 1 <= zero[2] <= 200
 
 
+def test_pairs_that_occur_once_are_not_drawn(monkeypatch):
+    """They have one table always; of the others each sweep draws all."""
+    r = np.random.default_rng(3)
+    model = p.Model(np.arange(50), np.full(51, 100), np.zeros(50, bool), 5000, 50, discount=0.5, root_discount=0.3)
+    model.tables, model.root, model.hot_p = [np.full(51, 20.0)], [(1000.0, 40.0)], [np.empty(0)]
+    none, n = np.empty(0, np.int64), r.integers(0, 5, 1000)
+    n[:3] = 1, p.EXACT, 3000
+    pairs = p.Pairs(np.repeat(np.arange(40), 25), np.tile(np.arange(25), 40), n, np.full(40, -1), none, none, none, none)
+    drawn, draw = [], p.draw
+
+    def seen(n, others, prob, discount, *rest):
+        drawn.append((discount, n))
+        return draw(n, others, prob, discount, *rest)
+
+    monkeypatch.setattr(p, "draw", seen)
+    t, c0, t0 = model.sampled(pairs, 1, 7)
+    of_pairs = [x for d, x in drawn if d == 0.5]
+    assert len(of_pairs) == p.SWEEPS and all(x.tolist() == n[n > 1].tolist() for x in of_pairs)
+    assert (t[n < 2] == n[n < 2]).all() and (t[n > 1] >= 1).all() and (t <= n).all() and t[n > 1].max() > 1
+    assert np.allclose(c0, np.bincount(pairs.word, t)) and (t0 <= c0).all()
+
+
+@pytest.mark.parametrize("block", [1 << 18, 50])
+def test_words_as_read(monkeypatch, block):
+    monkeypatch.setattr(linear, "BLOCK", block)
+    monkeypatch.setattr(p, "_TEXTS", 7)
+    texts = [b"", b" \t\r\n\x0b\x0c", b"a", b" The the\tTHE ", b"x\0y \0", b"\x1c \x85 \xc2\xa0b \xff\xfe", "Ä ä É".encode(), b"a" * 300 + b" b", b"", b"w " * 200 + b"end", b"\n", b"a"]
+    got = {}
+    for first, size, hashes, number, owner in p._read(texts):
+        assert size <= 7 and len(set(hashes.tolist())) == len(hashes)
+        for i in range(size):
+            got[first + i] = hashes[number[owner == i]].view(np.uint64).tolist()
+        assert (np.diff(owner) >= 0).all()
+    assert got == {i: [xxh3_64_intdigest(w) for w in [*t.lower().split(), p.END]] for i, t in enumerate(texts)}
+
+
 def test_long_texts_keep_their_words(spark, monkeypatch):
     long = [(1, "a" * (1 << 20) + "bcd efg"), (2, "\t".join(f"w{i % 5000}" for i in range(300_000))), (3, "x" * (3 << 20)), (4, "a " * (1 << 19) + "b"), (5, "a" * ((1 << 20) - 1) + " b\r\x0bc"), (6, "")]
     docs = spark.createDataFrame(long, "doc_id long, text string")
