@@ -259,19 +259,19 @@ def _read(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """The words of the texts, A-Z lower-cased, and the text of each."""
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    at, letters, sizes, starts = 0, [], [], []
+    at, letters, sizes, before = 0, [], [], np.zeros(len(begins), np.int64)
     for part in segments(b" ".join(texts)):
         data = np.frombuffer(part.lower(), np.uint8)
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)  # not a space, nor from tab to carriage return
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         letters.append(data[inside[1:-1]])
-        sizes.append(edges[1::2] - edges[::2])
-        starts.append(edges[::2] + at)
+        sizes.append((edges[1::2] - edges[::2]).astype(np.int32))
+        before += np.searchsorted(edges[::2], begins - at)
         at += len(data)
-    offsets = np.concatenate(([0], *sizes)).cumsum().astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(letters))])
-    return words, np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(np.concatenate(starts), begins)))
+    letters, offsets = np.concatenate(letters), np.cumsum(np.concatenate(([0], *sizes), dtype=np.int32), dtype=np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    return words, np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(before))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator[pa.RecordBatch]:
