@@ -4,7 +4,8 @@ Leaves of a group ascend by a key; while multiple nodes remain, every ``FANOUT``
 (the last run: fewer) are hashed to their parent. Leaves get their rank without gathering a group:
 they are dealt out by key ranges and written, ranges count their rows, and offsets are summed
 over the ranges. An aligned block of ``FANOUT ** LOCAL`` leaves is then one row, which hashes its
-own subtree and has its leaves' lower proofs. For the upper levels blocks exchange their nodes:
+own subtree and gives its leaves their lower proofs; it is written as rows of leaves, as readers take
+thousands of rows at a time. For the upper levels blocks exchange their nodes:
 in round j, aligned groups of ``FANOUT`` subtrees of FANOUT^j blocks swap their roots, each block with
 those at its own place in the others, and each hashes the common ancestor itself. So after the last
 round every block has its whole upper proof, and nothing is handed down. In a last, smaller
@@ -77,7 +78,7 @@ def ranked(leaves: DataFrame, key: str) -> DataFrame:
 
 
 def _blocks(leaves: DataFrame, fanout: int, local: int, carried: list[str]) -> DataFrame:
-    """``group, block, blocks, node, members``: each block's root, and its leaves with their lower proofs."""
+    """A row a leaf: ``group, block, blocks, node`` (its block's root), its ``place`` there, ``leaf``, what is ``carried``, and its lower ``proof``."""
     size = fanout**local
     rows = leaves.select("group", (F.col("rank") / size).cast("long").alias("block"), "n", F.struct((F.col("rank") % size).cast("int").alias("place"), "leaf", *carried).alias("m"))
     out = rows.groupBy("group", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("m"), lambda a, b: a["place"] - b["place"]).alias("members"))
@@ -98,7 +99,8 @@ def _blocks(leaves: DataFrame, fanout: int, local: int, carried: list[str]) -> D
         return m.withField("proof", F.concat(*steps).cast(_PROOF))
 
     blocks = F.floor((F.col("n") + size - 1) / size).cast("long").alias("blocks")
-    return out.select("group", "block", blocks, F.col(f"d{local}")[0].alias("node"), F.transform("members", lower).alias("members"))
+    out = out.select("group", "block", blocks, F.col(f"d{local}")[0].alias("node"), F.explode(F.transform("members", lower)).alias("m"))
+    return out.select("group", "block", "blocks", "node", *(F.col(f"m.`{c}`") for c in ("place", "leaf", *carried, "proof")))
 
 
 def _swap(blocks: DataFrame, span: int, fanout: int) -> DataFrame:
@@ -131,15 +133,14 @@ def _swap(blocks: DataFrame, span: int, fanout: int) -> DataFrame:
 def tree(leaves: DataFrame, key: str, fanout: int = FANOUT, local: int = LOCAL) -> DataFrame:
     """``leaves`` (``group, leaf``, ``key`` and more) with ``root``, the group's, and ``proof``: siblings (``left``, ``right``) of each level."""
     carried = [c for c in leaves.columns if c not in ("group", "leaf")]
-    blocks = materialise(_blocks(ranked(leaves, key), fanout, local, carried))
-    most = blocks.agg(F.max("blocks")).first()[0] or 0
-    upper, span = blocks.select("group", "block", "blocks", "node", F.array().cast(_PROOF).alias("proof")), 1
+    rows = materialise(_blocks(ranked(leaves, key), fanout, local, carried))
+    most = rows.agg(F.max("blocks")).first()[0] or 0
+    upper, span = rows.where("place = 0").select("group", "block", "blocks", "node", F.array().cast(_PROOF).alias("proof")), 1
     while span < most:
         upper, span = _swap(upper, span, fanout), span * fanout
     upper = upper.select(F.col("group").alias("_group"), F.col("block").alias("_block"), F.col("node").alias("root"), F.col("proof").alias("_upper"))
-    out = blocks.join(upper, F.col("group").eqNullSafe(F.col("_group")) & (F.col("block") == F.col("_block")))
-    out = out.select("group", "root", "_upper", F.explode("members").alias("m"))
-    return out.select("group", "m.leaf", *(F.col(f"m.`{c}`") for c in carried), "root", F.concat("m.proof", "_upper").alias("proof"))
+    out = rows.join(upper, F.col("group").eqNullSafe(F.col("_group")) & (F.col("block") == F.col("_block")))
+    return out.select("group", "leaf", *carried, "root", F.concat("proof", "_upper").alias("proof"))
 
 
 def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang", fanout: int = FANOUT, local: int = LOCAL) -> DataFrame:

@@ -87,3 +87,14 @@ def test_query_finds_tampered_rows(spark, tmp_path):
         assert got[i].verified == (not changed) == (got[i].folded_root == got[i].root), i
     want = {r[0]: r for r in plain(rows, 8)}
     assert all(got[i].proof_sha256 == h(*(a + b for a, b in want[i][4])) and got[i].root == want[i][3] for i in got)
+
+
+def test_stored_rows_are_leaves(spark, monkeypatch):
+    """No stored row holds a block's members: a reader takes thousands of rows at a time, whatever their size."""
+    stored, real = [], merkle.materialise
+    monkeypatch.setattr(merkle, "materialise", lambda df: stored.append(real(df)) or stored[-1])
+    rows = [(i, "s", "en", 1, f"Text {i}") for i in range(1500)]
+    got = {r.id: (r.root, [tuple(p) for p in r.proof]) for r in merkle.manifest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (root, p) for i, _, _, root, p in plain(rows, 8)}
+    most = max(df.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] or 0 for df in stored)
+    assert most < 8_000
