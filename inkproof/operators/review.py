@@ -136,13 +136,17 @@ def entry() -> Column:
 HISTORY = "array<struct<attempt: int, proposed: string, final: string, reasoning: string, overridden: boolean, override_reason: string>>"
 
 
-def review(df: DataFrame, propose: Callable[[DataFrame], DataFrame], reprocess: Callable[[DataFrame], DataFrame] | None, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def review(df: DataFrame, propose: Callable[[DataFrame], DataFrame], reprocess: Callable[[DataFrame], DataFrame] | None, max_attempts: int = MAX_ATTEMPTS, keep: tuple[str, ...] | None = None, anew: tuple[str, ...] = (), wanted: str | None = None) -> DataFrame:
     """The bounded review of rows with results and confidence.
 
     ``propose`` adds ``proposed``, ``reasoning`` and ``retry_hint``; ``reprocess`` takes the rows
     to read again and gives them with new data, results and confidence. Each round handles only
     the rows still in retry; the attempt is counted here, whatever the callables do, and after
     ``max_attempts`` rounds nothing is left. Adds ``decision``, ``attempts``, ``history``, ``status``.
+
+    ``keep``: all that the caller takes of the rows' own columns. The others are then written between rounds
+    for rows to read again only, and not at all if ``reprocess`` makes them ``anew``. ``wanted``: a column; rows for which it
+    is false go along undecided, with the status they came with.
     """
     can = F.lit(reprocess is not None)
     todo = df.withColumn("attempts", F.lit(1)).withColumn("history", F.array().cast(HISTORY))
@@ -151,15 +155,29 @@ def review(df: DataFrame, propose: Callable[[DataFrame], DataFrame], reprocess:
     for n in range(1, max_attempts + 1):
         decided = guard(propose(classify(todo)), max_attempts)
         decided = decided.withColumn("history", F.concat("history", F.array(entry())).cast(HISTORY))
+        if wanted and n == 1:
+            decided = decided.withColumn("decision", F.when(F.col(wanted), F.col("decision")))
         if n < max_attempts:
-            decided = stored(decided)
-        over = decided.where("decision <> 'retry'")
+            decided = stored(decided if keep is None else _narrowed(decided, keep, anew))
+        over = decided.where("not decision <=> 'retry'")
+        over = over if keep is None else over.select(*keep, *_DECIDED)
         done = over if done is None else done.unionByName(over, allowMissingColumns=True)
         if n == max_attempts or reprocess is None:
             break
         again = decided.where("decision = 'retry'").withColumn("attempts", F.col("attempts") + 1)
         todo = reprocess(again).drop("proposed", "reasoning", "decision", "overridden", "override_reason", "classes", "blocking", "retryable")
-    return done.withColumn("status", final_status(F.col("decision")))
+    given = [F.col("status")] if wanted and "status" in done.columns else []
+    return done.withColumn("status", F.coalesce(final_status(F.col("decision")), *given))
+
+
+_DECIDED = ("attempts", "history", "decision", "overridden", "override_reason")
+
+
+def _narrowed(decided: DataFrame, keep: tuple[str, ...], anew: tuple[str, ...]) -> DataFrame:
+    """The rows with ``keep`` and what was decided; of the other columns the values of rows to read again."""
+    own = (*keep, *_DECIDED)
+    rest = [c for c in decided.columns if c not in (*own, *anew, "proposed", "reasoning", "classes", "blocking", "retryable")]
+    return decided.select(*own, *(F.when(F.col("decision") == "retry", F.col(c)).alias(c) for c in rest))
 
 
 def final_status(decision: Column) -> Column:

@@ -24,12 +24,13 @@ def verify(
 ) -> DataFrame:
     """Add lookups, ``confidence``, ``results``, ``counts``, ``overall``, ``needs_review`` and ``status``.
 
-    One lazy plan: the lookup of duplicates over ids and keys, joined back; a join with the vendors;
-    and projections. The source text is needed by the scores only. A missing directory or
+    One lazy plan: the lookups of duplicates and vendors over ids and keys, joined back by id; and projections. The source text is needed by the scores only. A missing directory or
     ``scope=None`` skips its rule; ``scope="given"``: the invoices have ``duplicate_count`` and ``duplicate_ids`` already. ``earlier``: keys of invoices that were processed before these.
     """
-    df = lookup.duplicates(invoices, scope, earlier=earlier) if scope not in (None, "given") else invoices  # before the scores, which keys don't need
-    df = lookup.known_vendors(df, vendors) if vendors is not None else df
+    if scope not in (None, "given"):
+        df = lookup.duplicates(invoices, scope, earlier=earlier, vendors=vendors)  # before the scores, which keys don't need
+    else:
+        df = lookup.known_vendors(invoices, vendors) if vendors is not None else invoices
     # First what is measured and decided, once for each row; then what is told of it, which a query that doesn't take it doesn't pay for.
     given = df.columns
     df = confidence.measured(df).withColumn("_overall", confidence.rated(strategy))

@@ -269,3 +269,62 @@ def test_a_review_writes_its_rows_once_a_round(spark, monkeypatch):
     monkeypatch.setattr(review, "stored", lambda df: written.append(df) or df)
     catalogue._reviewed(spark, "/root/testdata/sf0.001")
     assert len(written) == 1  # two rounds, of which the last is the caller's
+
+
+def test_whole_invoices_are_shuffled_once(spark):
+    """Duplicates and vendors are looked up over the keys alone, with the same results; null and repeated ids and names included."""
+    from datetime import datetime as at
+
+    from inkproof.plans.verify import verify
+
+    names = ["Acme", " acme ", "Other", None, "", "  ", "Gone", "ÄCME"]
+    rows = [(None if i % 13 == 0 else str(i % 40), names[i % 8], f"N{i % 3}" if i % 5 else None, at(2024, 1, 1 + i % 20), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "document_id string, vendor_name string, invoice_number string, received_at timestamp, seq long")
+    vendors = spark.createDataFrame([("ACME",), (None,), (" ",), ("äcme",)], "vendor_name string")
+    for scope in ("prior", "any"):
+        want = lookup.known_vendors(lookup.duplicates(df, scope), vendors)
+        got = lookup.duplicates(df, scope, vendors=vendors)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the given tables aren't here")
+    from inkproof.operators.state import stored
+    from inkproof.sources.views import view
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    checked = verify(stored(view(spark, d, "invoices")), spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_name as vendor_name"))
+    plan = checked._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in plan.split("\n\n") if ") Exchange\n" in x and "line_items" in x]) == 1
+
+
+def test_a_review_writes_what_is_read_again_alone(spark, monkeypatch):
+    """Decided rows are written with the columns that are taken; rows that need no review go along."""
+    from inkproof.operators import review, state
+
+    written, real = [], state.stored
+    monkeypatch.setattr(review, "stored", lambda df: written.append(real(df)) or written[-1])
+    kind = "array<struct<rule_id: string, severity: string, confidence: double, reason: string, fields: array<string>, suggestion: string>>"
+    fields = "struct<overall: double, fields: array<struct<field: string, confidence: double, value: string, signals: array<string>>>>"
+    bad = [("sum", "warning", 1.0, "no", ["total"], None)]
+    rows = [(str(i), f"v{i}", "x" * 100, bad if i % 4 else [], (0.5, [("total", 0.1, "1", [])]), i % 4 > 0, "review" if i % 4 else "completed") for i in range(20)]
+    df = spark.createDataFrame(rows, f"document_id string, vendor string, source string, results {kind}, confidence {fields}, need boolean, status string")
+    monkeypatch.setattr(review, "RULES", {"sum": Rule(None, True)})
+
+    def propose(rows):
+        return rows.withColumn("proposed", F.when(F.expr("document_id % 4 = 1 and attempts = 1"), "retry").otherwise("accept")).withColumn("reasoning", F.lit("r"))
+
+    def again(rows):
+        assert "source" in rows.columns and "results" not in rows.columns
+        return rows.withColumns({"vendor": F.upper("vendor"), "results": F.array().cast(kind), "confidence": F.lit(None).cast(fields)})
+
+    got = {r.document_id: r for r in review.review(df, propose, again, keep=("document_id", "vendor", "status"), anew=("results", "confidence"), wanted="need").collect()}
+    assert len(got) == 20
+    for i in range(20):
+        r = got[str(i)]
+        want = (None, 1, "completed") if i % 4 == 0 else ("accept", 2 if i % 4 == 1 else 1, "completed")
+        assert (r.decision, r.attempts, r.status, r.vendor) == (*want, f"V{i}" if i % 4 == 1 else f"v{i}")
+    [first] = written
+    assert not {"results", "confidence", "classes"} & set(first.columns)
+    assert {r.document_id for r in first.where("source is not null").collect()} == {str(i) for i in range(1, 20, 4)}
