@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import falsy, key
-from .keyed import FirstOfKey, use_rocksdb
+from .keyed import FirstOfKeys, use_rocksdb
 
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+#: Keys are handed to Python in so many groups. A group's rows of a batch are held by a task.
+GROUPS = 4096
+
 
 def record_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -28,13 +31,15 @@ def earlier_invoices(stream: DataFrame, order: tuple[str, ...] = ("received_at",
     """Add ``duplicate_count`` and ``duplicate_ids``: invoices of the same vendor and number in earlier batches, or before in this one.
 
     The state is a count and three ids for each vendor and number. A batch's rows of one vendor and number are
-    ordered by one task, as text: whole rows go along packed, and are unpacked after.
+    ordered by one task, as text: whole rows go along packed, and are unpacked after. Keys go to Python by groups, of which each
+    looks up its own keys of the batch.
     """
     use_rocksdb(stream.sparkSession)
     keyless = falsy(F.col("vendor_name")) | falsy(F.col("invoice_number"))
     own = F.when(keyless, F.concat(F.lit("\x02"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).otherwise(F.concat_ws("\x01", key(F.col("vendor_name")), key(F.col("invoice_number"))))
     packed = stream.select(own.alias("key"), keyless.alias("keyless"), F.col(id_col).cast("string").alias("own_id"), *(F.col(c).alias(f"order{k}") for k, c in enumerate(order)), F.to_json(F.struct(*stream.columns), _JSON).alias("packed"))
-    found = packed.groupBy("key").transformWithState(FirstOfKey([f"order{k}" for k in range(len(order))]), "packed string, duplicate_count long, duplicate_ids array<string>", "append", "none")
+    packed = packed.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+    found = packed.groupBy("group").transformWithState(FirstOfKeys([f"order{k}" for k in range(len(order))]), "packed string, duplicate_count long, duplicate_ids array<string>", "append", "none")
     return found.select(F.from_json("packed", stream.schema, _JSON).alias("_r"), "duplicate_count", "duplicate_ids").select("_r.*", "duplicate_count", "duplicate_ids")
 
 

@@ -7,6 +7,7 @@ state is part of the checkpoint, so a batch that comes again finds the state it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -53,6 +54,34 @@ class FirstOfKey(StatefulProcessor):
         pass
 
 
+class _AtKey:
+    """The entry of one key, as :class:`FirstOfKey` uses a state."""
+
+    def __init__(self, entries, key: str) -> None:
+        self.entries, self.key = entries, (key,)
+
+    def get(self):
+        return self.entries.getValue(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.entries.updateValue(self.key, value)
+
+
+class FirstOfKeys(FirstOfKey):
+    """As :class:`FirstOfKey`, for groups of keys, told apart by ``key``: each key has a state of its own, and a group's rows leave Python together.
+
+    Spark sends one message to the state and one table of rows for each group, which costs more than the rows themselves.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("seen", "key string", "n long, firsts array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for own, mine in groupby(sorted(rows, key=lambda r: r["key"]), lambda r: r["key"]):
+            self.seen = _AtKey(self.entries, own)
+            yield from super().handleInputRows((own,), mine, timerValues)
+
+
 class NumberInWindow(StatefulProcessor):
     """Numbers the rows of one identity and window as they arrive, in the order of time within a batch, and forgets the window by a timer.
 

@@ -133,3 +133,44 @@ def test_a_key_costs_one_read_and_one_write_of_state():
     for want in ([("u", 1, 60, 1, False), ("u", 1, 60, 2, True)], [("u", 1, 60, 3, True), ("u", 1, 60, 4, True)]):
         assert [tuple(r) for r in number.handleInputRows(("u", 60), iter([Row(at=1, e=None), Row(at=1, e=2)]), Timers())] == want
     assert number.count.calls == 4 and Handle.timers == [120_000]
+
+
+def test_keys_go_through_python_by_groups(spark, tmp_path):
+    """Rows of several keys are handled in one call, each key by one read and one write of its own state."""
+    from pyspark.sql import Row
+
+    from inkproof.streaming.keyed import FirstOfKeys
+
+    class Entries:
+        values, calls = {}, []
+
+        def getValue(self, key):
+            self.calls.append(("get", *key))
+            return self.values.get(key)
+
+        def updateValue(self, key, value):
+            self.calls.append(("put", *key))
+            self.values[key] = value
+
+    keys = FirstOfKeys(["order0"])
+    keys.entries = Entries()
+    row = lambda k, i, at, keyless=False: Row(key=k, keyless=keyless, own_id=i, order0=at, packed=f"p{i}")
+    got = [tuple(r) for r in keys.handleInputRows((7,), iter([row("b", "2", 5), row("a", "1", 9), row("b", "3", 4), row("\x02x", "4", 1, True)]), None)]
+    assert got == [("p4", 0, []), ("p1", 0, []), ("p3", 0, []), ("p2", 1, ["3"])]
+    assert [tuple(r) for r in keys.handleInputRows((7,), iter([row("b", "5", 1)]), None)] == [("p5", 2, ["3", "2"])]
+    assert Entries.calls == [(c, k) for k in ("a", "b", "b") for c in ("get", "put")]
+
+    n = 300  # more rows than groups that they meet, so that some share one
+    arrivals_in = [(str(i), f"V{i % 150}", "N", 1 + i // 150) for i in range(n)]
+    batch(spark, f"{tmp_path}/in", *arrivals_in[:200])
+    batch(spark, f"{tmp_path}/in", *arrivals_in[200:])
+    real, arrivals.GROUPS = arrivals.GROUPS, 5
+    try:
+        stream = arrivals.record_stream(spark, f"{tmp_path}/in", SCHEMA, 1)
+        q = arrivals.run(stream, found, f"{tmp_path}/store", f"{tmp_path}/checkpoint", looked_up=True)
+        q.awaitTermination()
+    finally:
+        arrivals.GROUPS = real
+    got = {r.document_id: (r.duplicate_count, r.duplicate_ids) for r in arrivals.stored_rows(spark, f"{tmp_path}/store").collect()}
+    assert got == {str(i): (i // 150, [str(i - 150)] if i >= 150 else []) for i in range(n)}
+    assert sorted(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) == [150, 300]
