@@ -328,3 +328,20 @@ def test_a_review_writes_what_is_read_again_alone(spark, monkeypatch):
     [first] = written
     assert not {"results", "confidence", "classes"} & set(first.columns)
     assert {r.document_id for r in first.where("source is not null").collect()} == {str(i) for i in range(1, 20, 4)}
+
+
+def test_exports_write_and_sort_no_more_than_they_take(spark, monkeypatch):
+    from inkproof import catalogue
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the given tables aren't here")
+    written, given, real = [], [], catalogue.state.stored
+    monkeypatch.setattr(catalogue.state, "stored", lambda df: written.append(df.columns) or real(df))
+    monkeypatch.setattr(catalogue.named, "write_named", lambda rows, path, folders: given.append(rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    catalogue.queries()["export_files"](spark, d)
+    plan = given[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not {"source_text", "injection_flags"} & set(written[0]) and "line_items" in written[0]
+    assert not [x for x in plan.split("\n\n") if ") Sort\n" in x and "line_items" in x]
